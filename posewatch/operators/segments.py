@@ -1,0 +1,139 @@
+"""Ordered scans that stay parallel when one key holds much of the table.
+
+A plain window puts every row of a key into one task. Here the order axis is cut
+at data-driven split points, each (key, segment) is scanned on its own, and the
+segment totals, a few rows per key, carry the state across the cuts. No segment
+holds more than about one target share of the rows, whatever the key.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+ROWS_PER_SEGMENT = 4_000_000
+MAX_SEGMENTS = 20_000
+SEGMENT = "__segment"
+
+
+def plan_segments(
+    df: DataFrame, column: str, rows_per_segment: int = ROWS_PER_SEGMENT, at_least: int = 1
+) -> list[float]:
+    """Split points of a numeric order column; empty when one segment is enough.
+
+    Reads one column. The split points are plain numbers, at most MAX_SEGMENTS.
+    """
+    rows = df.count()
+    n = min(MAX_SEGMENTS, max(at_least, -(-rows // rows_per_segment)))
+    if n <= 1:
+        return []
+    probabilities = [i / n for i in range(1, n)]
+    cuts = df.select(F.col(column).cast("double").alias("v")).approxQuantile(
+        "v", probabilities, 0.25 / n
+    )
+    return sorted(set(cuts))
+
+
+def with_segment(df: DataFrame, column: str, cuts: Sequence[float]) -> DataFrame:
+    if not cuts:
+        return df.withColumn(SEGMENT, F.lit(0.0))
+    scratch = "__order_value"
+    bucketizer = Bucketizer(
+        splits=[float("-inf"), *cuts, float("inf")], inputCol=scratch, outputCol=SEGMENT
+    )
+    return bucketizer.transform(df.withColumn(scratch, F.col(column).cast("double"))).drop(scratch)
+
+
+def running_max(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: Column,
+    name: str,
+    cuts: Sequence[float] = (),
+    inclusive: bool = True,
+) -> DataFrame:
+    """Largest value so far per key, with or without the current row.
+
+    ``order[0]`` is the numeric column the cuts were planned on.
+    """
+    frame_end = 0 if inclusive else -1
+    if not cuts:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
+        return df.withColumn(name, F.max(value).over(w))
+    seg = with_segment(df, order[0], cuts).withColumn("__value", value)
+    local = Window.partitionBy(*keys, SEGMENT).orderBy(*order)
+    scanned = seg.withColumn(
+        "__local", F.max("__value").over(local.rowsBetween(Window.unboundedPreceding, frame_end))
+    )
+    before = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        seg.groupBy(*keys, SEGMENT)
+        .agg(F.max("__value").alias("__total"))
+        .select(*keys, SEGMENT, F.max("__total").over(before).alias("__carry"))
+    )
+    return (
+        scanned.join(carry, [*keys, SEGMENT])
+        .withColumn(name, F.greatest("__local", "__carry"))
+        .select(*df.columns, name)
+    )
+
+
+def numbered(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    name: str,
+    cuts: Sequence[float] = (),
+) -> DataFrame:
+    """Dense row number per key, from 1; ``order`` must be unique within a key.
+
+    With no keys this is one global numbering.
+    """
+    seg = with_segment(df, order[0], cuts)
+    local = seg.withColumn(
+        "__rn", F.row_number().over(Window.partitionBy(*keys, SEGMENT).orderBy(*order))
+    )
+    if not cuts:
+        return local.withColumn(name, F.col("__rn").cast("bigint")).select(*df.columns, name)
+    before = (
+        Window.partitionBy(*(keys or [F.lit(0)]))
+        .orderBy(SEGMENT)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carry = (
+        seg.groupBy(*keys, SEGMENT)
+        .agg(F.count("*").alias("__n"))
+        .select(*keys, SEGMENT, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    )
+    return (
+        local.join(carry, [*keys, SEGMENT])
+        .withColumn(name, F.col("__rn") + F.col("__before"))
+        .select(*df.columns, name)
+    )
+
+
+def offsets(
+    df: DataFrame, order: str, weight: str, name: str, cuts: Sequence[float] = ()
+) -> DataFrame:
+    """Sum of the weights of all earlier rows in one global order, from 0."""
+    seg = with_segment(df, order, cuts)
+    earlier = Window.partitionBy(SEGMENT).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = seg.withColumn("__inside", F.coalesce(F.sum(weight).over(earlier), F.lit(0)))
+    if not cuts:
+        return local.withColumn(name, F.col("__inside")).select(*df.columns, name)
+    before = Window.partitionBy(F.lit(0)).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        seg.groupBy(SEGMENT)
+        .agg(F.sum(weight).alias("__w"))
+        .select(SEGMENT, F.coalesce(F.sum("__w").over(before), F.lit(0)).alias("__before"))
+    )
+    # carry has one row per segment, at most MAX_SEGMENTS rows.
+    return (
+        local.join(F.broadcast(carry), SEGMENT)
+        .withColumn(name, F.col("__inside") + F.col("__before"))
+        .select(*df.columns, name)
+    )

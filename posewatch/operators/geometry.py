@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 HEAVY_ATOM_MASS = 2.5
 
@@ -126,7 +127,7 @@ def rmsd_translation(
     return staged.select("trajectory_id", "frame_no", "time_ps", F.sqrt(mean).alias("rmsd_nm"))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _rotation(covariance: pd.Series) -> pd.Series:
     """Best proper rotation for each 3×3 covariance, row-major (Kabsch 1976)."""
     h = np.stack(covariance.to_numpy()).reshape(-1, 3, 3)

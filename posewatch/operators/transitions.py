@@ -206,7 +206,7 @@ def _owned(tasks: DataFrame, messages: DataFrame) -> DataFrame:
     owners = tasks.filter((F.col("status") == "RUNNING") & F.col("claim_token").isNotNull()).select(
         "task_id", *REPLICA_KEY, "claim_token"
     )
-    return messages.join(owners, ["task_id", "claim_token"])
+    return messages.drop(*REPLICA_KEY).join(owners, ["task_id", "claim_token"])
 
 
 def apply_completion(

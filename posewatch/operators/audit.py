@@ -9,13 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posewatch.functions.identity import file_suffix, safe_relative_path
+from posewatch.functions.staging import staged
 
 MIB = 1024 * 1024
 
 
 @dataclass(frozen=True)
 class Rule:
-    """One content rule. ``detail`` is reported, or the matched text after it."""
+    """One content rule. ``detail`` is reported, or the matched text after it.
+
+    Every match holds one of the lower-case ``hints``; a plain search for them
+    spares most texts the pattern.
+    """
 
     category: str
     detail: str
@@ -23,6 +28,7 @@ class Rule:
     literal: bool = False
     show_match: bool = False
     suffixes: tuple[str, ...] | None = None
+    hints: tuple[str, ...] = ()
 
 
 # Suffix classes and patterns of the publication policy.
@@ -46,21 +52,32 @@ ACTIVITY = {
     ),
     "activity_threshold_label": r"(?iU)\b(?:1|10)[- ]?(?:u|µ|μ)m\b",
 }
+# Texts of which each match of a pattern holds at least one.
+HINTS = {
+    "activity_key": ("activity_",),
+    "activity_database": ("pdbbind", "chembl", "pubchem"),
+    "activity_measure": ("ki", "kd", "ic50", "pchembl"),
+    "activity_label": ("activity_", "label", "active/inactive"),
+    "activity_threshold_label": ("um", "µm", "μm"),
+}
 
 
 def default_rules(forbidden: Sequence[str] = (), private: Sequence[str] = PRIVATE_PREFIXES) -> list[Rule]:
     """The content rules; project-specific literals are given by the caller."""
     rules = [Rule("private_development_content", t, t, literal=True) for t in forbidden]
     rules += [
-        Rule("restricted_release_metadata", label, p, show_match=True, suffixes=METADATA_SUFFIXES)
+        Rule("restricted_release_metadata", label, p, show_match=True,
+             suffixes=METADATA_SUFFIXES, hints=HINTS[label])
         for label, p in ACTIVITY.items()
     ]
     rules += [Rule("private_path_or_identity", p, p, literal=True) for p in private]
     rules += [
-        Rule("email_address", "email-like value", EMAIL),
+        Rule("email_address", "email-like value", EMAIL, hints=("@",)),
         Rule("secret", "private key header", PRIVATE_KEY, literal=True),
-        Rule("secret", "credential-like value", CREDENTIAL),
-        Rule("forbidden_feature_or_execution", "shell execution enabled", SHELL, suffixes=(".py",)),
+        Rule("secret", "credential-like value", CREDENTIAL,
+             hints=("akia", "gho_", "ghp_", "ghs_", "ghu_")),
+        Rule("forbidden_feature_or_execution", "shell execution enabled", SHELL, suffixes=(".py",),
+             hints=("shell",)),
     ]
     return rules
 
@@ -76,6 +93,11 @@ def content_findings(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         hit = (
             F.col("text").contains(rule.pattern) if rule.literal else F.col("text").rlike(rule.pattern)
         )
+        if rule.hints:
+            hint = F.col("__low").contains(rule.hints[0])
+            for more in rule.hints[1:]:
+                hint = hint | F.col("__low").contains(more)
+            hit = hint & hit
         if rule.suffixes is not None:
             hit = F.col("suffix").isin(*rule.suffixes) & hit
         detail: Column = F.lit(rule.detail)
@@ -86,7 +108,8 @@ def content_findings(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         findings.append(
             F.when(hit, F.struct(F.lit(rule.category).alias("category"), detail.alias("detail")))
         )
-    return files.select("path", F.explode(F.array_compact(F.array(*findings))).alias("f")).select(
+    lowered = staged(files, ["path", "suffix", "text"], __low=F.lower("text"))
+    return lowered.select("path", F.explode(F.array_compact(F.array(*findings))).alias("f")).select(
         "path", "f.category", "f.detail"
     )
 

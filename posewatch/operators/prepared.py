@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from posewatch.functions.settings import close, estimated_disk_bytes, whole_steps
 from posewatch.functions.text import parse_float, parse_int
 from posewatch.schemas import REQUIRED_INDEX_GROUPS, STAGES
-from posewatch.session import materialise
+from posewatch.session import materialise, scratch_dir
 
 # --- index groups --------------------------------------------------------
 
@@ -158,25 +159,31 @@ def include_closure(roots: DataFrame, edges: DataFrame, max_depth: int = 1000) -
     number of levels is the depth of the include graph.
     """
     spark = roots.sparkSession
-    level = materialise(
-        roots.select("system", "path").distinct().withColumn("depth", F.lit(0)), "closure"
-    )
-    visited = level
-    step = edges.select("path", "target").distinct()
+    base = scratch_dir(spark, "closure")
+    columns = ["system", "path"]
+
+    def write(rows: DataFrame, depth: int) -> DataFrame:
+        path = f"{base}/depth={depth}"
+        rows.select(*columns).write.mode("overwrite").parquet(path)
+        return spark.read.schema(rows.select(*columns).schema).parquet(path)
+
+    def visited() -> DataFrame:
+        schema = roots.select(*columns).schema.add("depth", IntegerType())
+        return spark.read.schema(schema).option("basePath", base).parquet(base)
+
+    step = materialise(edges.select("path", "target").distinct(), "edges")
+    level = write(roots.select(*columns).distinct(), 0)
     for depth in range(1, max_depth + 1):
         reached = (
-            level.select("system", "path")
-            .join(step, "path")
+            level.join(step, "path")
             .select("system", F.col("target").alias("path"))
             .distinct()
-            .join(visited.select("system", "path"), ["system", "path"], "left_anti")
-            .withColumn("depth", F.lit(depth))
+            .join(visited().select(*columns), columns, "left_anti")
         )
-        level = materialise(reached, "closure")
+        level = write(reached, depth)
         if level.isEmpty():
-            return visited
-        visited = visited.unionByName(level)
-    raise RuntimeError(f"include graph of {spark.sparkContext.appName} is deeper than {max_depth}")
+            return visited()
+    raise RuntimeError(f"include graph is deeper than {max_depth} levels")
 
 
 # --- stage settings ------------------------------------------------------

@@ -15,7 +15,7 @@ from posewatch.streaming import monitor
 
 def event_stream(spark, sf):
     path = f"{sf}/events.parquet"
-    # A glob that names the one table file or the table folder.
+    # The pattern stands for a table folder as well as for a table in one file.
     return monitor.parquet_stream(spark, path[:-1] + "?", spark.read.parquet(path).schema)
 
 
@@ -116,4 +116,4 @@ def stream_event_export(spark, sf):
     twice = events.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).drop("copy")
     path = scratch_dir(spark, "event-log")
     monitor.export_events(twice, path)
-    return spark.read.schema(events.schema).parquet(path)
+    return spark.read.schema(events.schema).parquet(path).select(*events.columns)

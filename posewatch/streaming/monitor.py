@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from posewatch.functions.units import nm_to_angstrom
 from posewatch.operators import pruning
@@ -75,7 +75,7 @@ def run_changelog(stream: DataFrame, mode: str = "update", path: str | None = No
     spark = stream.sparkSession
     path = path or scratch_dir(spark, "changelog")
     drain(stream, changelog(path), mode, scratch_dir(spark, "stream-checkpoint"))
-    schema = StructType(list(stream.schema.fields)).add(BATCH, "int")
+    schema = StructType(list(stream.schema.fields)).add(BATCH, IntegerType())
     return spark.read.schema(schema).option("basePath", path).parquet(path)
 
 
@@ -157,7 +157,7 @@ def failure_runs(
     keys = list(keys)
     order_type = snapshots.schema[order].dataType
     run_schema = StructType([f for f in snapshots.schema.fields if f.name in keys])
-    for name, kind in [("last_success", order_type), ("n_failures", "bigint"),
+    for name, kind in [("last_success", order_type), ("n_failures", LongType()),
                        ("first_failure", order_type), ("last_failure", order_type)]:
         run_schema = run_schema.add(name, kind)
 
@@ -210,7 +210,7 @@ def failure_runs(
         batch.unpersist()
 
     drain(snapshots, sink, "append", scratch_dir(spark, "stream-checkpoint"))
-    log = spark.read.schema(StructType(list(run_schema.fields)).add(BATCH, "int")).option(
+    log = spark.read.schema(StructType(list(run_schema.fields)).add(BATCH, IntegerType())).option(
         "basePath", log_path
     ).parquet(log_path)
     grown = log.groupBy(*keys, F.col("first_failure")).agg(
@@ -233,7 +233,7 @@ def export_events(events: DataFrame, log_path: str) -> None:
         fresh = batch.dropDuplicates(["run_id", "sequence"])
         if batch_id > 0:
             done = (
-                batch.sparkSession.read.schema(StructType(list(batch.schema.fields)).add(BATCH, "int"))
+                batch.sparkSession.read.schema(StructType(list(batch.schema.fields)).add(BATCH, IntegerType()))
                 .option("basePath", log_path)
                 .parquet(log_path)
                 .filter(F.col(BATCH) < batch_id)

@@ -70,8 +70,9 @@ def remap_atoms(generated: DataFrame, positions: DataFrame) -> DataFrame:
     ``positions`` has (file, atom, position). An atom without a place keeps a null
     position and a reason.
     """
-    return generated.join(positions, ["file", "atom"], "left").select(
-        *generated.columns,
+    kept = [c for c in generated.columns if c not in ("position", "reason")]
+    return generated.select(*kept).join(positions, ["file", "atom"], "left").select(
+        *kept,
         "position",
         F.when(F.col("position").isNull(), "atom outside the complex").alias("reason"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -25,10 +25,10 @@ def read_pose_manifest(spark: SparkSession, path: str) -> DataFrame:
     ).select("e.*", "presence.*")
 
 
-def manifest_presence(raw_json):
+def manifest_presence(raw_json: Column) -> Column:
     """Which override keys an entry text holds, whatever their value."""
 
-    def keys(path: str):
+    def keys(path: str) -> Column:
         value = F.get_json_object(raw_json, path)
         return F.coalesce(F.json_object_keys(value), F.array().cast("array<string>"))
 
@@ -44,15 +44,11 @@ def manifest_presence(raw_json):
         "overrides.trajectory.": (trajectory, ["replicas", "base_seed", "seeds"]),
         "overrides.pruning.": (pruning, ["enabled", "threshold_angstrom", "grace_period_seconds"]),
     }
-    unknown = F.concat(
-        *[
-            F.transform(
-                F.array_except(found, F.array(*map(F.lit, names))),
-                lambda k, prefix=prefix: F.concat(F.lit(prefix), k),
-            )
-            for prefix, (found, names) in allowed.items()
-        ]
-    )
+    def unlisted(prefix: str, found: Column, names: list[str]) -> Column:
+        extra = F.array_except(found, F.array(*map(F.lit, names)))
+        return F.transform(extra, lambda key: F.concat(F.lit(prefix), key))
+
+    unknown = F.concat(*[unlisted(prefix, *pair) for prefix, pair in allowed.items()])
     flags = [
         F.array_contains(found, name).alias(f"has_{name}")
         for found, names in ((trajectory, allowed["overrides.trajectory."][1]),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posewatch import schemas
@@ -52,25 +52,20 @@ def replace_artifacts(artifacts: DataFrame, path: str) -> None:
 
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     """Well-formed structured log events; malformed lines are skipped."""
+    entry = F.from_json("value", schemas.LOG_EVENT, {"mode": "PERMISSIVE"})
     return (
-        spark.read.schema(schemas.LOG_EVENT)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(path)
-        .filter(F.col("_corrupt_record").isNull())
+        spark.read.text(path)
+        .filter(F.trim("value") != "")
+        .select(entry.alias("e"))
+        .filter(F.col("e._corrupt_record").isNull())
+        .select("e.*")
         .drop("_corrupt_record")
     )
 
 
-def state_sequence(params) -> F.Column:
-    """The integer ``state_sequence`` in a parameter text, null for any other type.
-
-    A quoted number is a string, so the raw token decides.
-    """
-    token = F.regexp_extract(params, r'"state_sequence"\s*:\s*(-?\d+)\s*[,}]', 1)
-    return F.when(
-        F.get_json_object(params, "$.state_sequence") == token, token.try_cast("bigint")
-    )
+def state_sequence(params: Column) -> Column:
+    """The integer ``state_sequence`` of a parameter text, null for any other type."""
+    return F.from_json(params, "state_sequence bigint")["state_sequence"]
 
 
 def exported_sequences(log: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def staged(df: DataFrame, keep: Sequence[str], **columns: Column) -> DataFrame:
+def staged(df: DataFrame, keep: Sequence[str | Column], **columns: Column) -> DataFrame:
     """Select ``keep`` and new columns that later steps refer to but never repeat.
 
     A filter on a derived column is pushed below the projection by copying its

@@ -17,9 +17,11 @@ SPACE_CODES = [
 LINE_END_CODES = [0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x85, 0x2028, 0x2029]
 SPACE_CHARS = "".join(map(chr, SPACE_CODES))
 SPACE = "[" + "".join(rf"\x{{{code:x}}}" for code in SPACE_CODES) + "]"
+ASCII_SPACE = r"[\t-\r\x1c- ]"
 FILE_LINE_END = r"\r\n|\n|\r"
 TEXT_LINE_END = r"\r\n|[" + "".join(rf"\x{{{code:x}}}" for code in LINE_END_CODES) + "]"
 DIGITS = r"[0-9]+(?:_[0-9]+)*"
+FLOAT_CHARS = r"^[0-9.eE+-]+\z"
 FLOAT = rf"^[+-]?(?:{DIGITS}(?:\.(?:{DIGITS})?)?|\.{DIGITS})(?:[eE][+-]?{DIGITS})?\z"
 NON_FINITE = r"^(?i:[+-]?(?:inf|infinity|nan))\z"
 INTEGER = rf"^[+-]?{DIGITS}\z"
@@ -30,16 +32,26 @@ def strip(value: Column) -> Column:
 
 
 def words(stripped: Column) -> Column:
-    """Whitespace-separated words of an already stripped, non-empty text."""
-    return F.split(stripped, SPACE + "+")
+    """Whitespace-separated words of an already stripped, non-empty text.
+
+    Plain ASCII text, which is the rule, needs only the short character class.
+    """
+    ascii_only = F.octet_length(stripped) == F.char_length(stripped)
+    return F.when(ascii_only, F.split(stripped, ASCII_SPACE + "+")).otherwise(
+        F.split(stripped, SPACE + "+")
+    )
 
 
 def parse_float(value: Column) -> Column:
     """The double a number text stands for, null for anything that is no number text.
 
-    The syntax is checked first because a plain cast also takes ``1d`` and ``0x1p3``.
+    A plain cast also takes ``1d`` and ``0x1p3``; words made only of these characters
+    are cast by the right syntax. Digit groups with ``_`` are checked in full.
     """
-    return F.when(value.rlike(FLOAT), F.replace(value, F.lit("_"), F.lit("")).try_cast("double"))
+    grouped = F.replace(value, F.lit("_"), F.lit("")).try_cast("double")
+    return F.when(value.rlike(FLOAT_CHARS), value.try_cast("double")).when(
+        value.contains("_") & value.rlike(FLOAT), grouped
+    )
 
 
 def parse_int(value: Column) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from posewatch.functions.staging import staged
+
 HEAVY_ATOM_MASS = 2.5
 
 
@@ -46,6 +48,12 @@ def _atoms(group: Sequence[int] | Column) -> Column:
     return F.array(*[F.lit(int(a)) for a in group])
 
 
+def _fit_points(frames: DataFrame, fit: Column) -> DataFrame:
+    return staged(
+        frames, frames.columns, __fit=_pick(F.col("xyz"), fit), __ref=_pick(F.col("ref_xyz"), fit)
+    )
+
+
 def image_shift(
     frames: DataFrame, complex_atoms: Sequence[int] | Column, ligand_atoms: Sequence[int] | Column
 ) -> DataFrame:
@@ -55,30 +63,29 @@ def image_shift(
     trajectory. Ties round half to even.
     """
     whole, ligand = _atoms(complex_atoms), _atoms(ligand_atoms)
-    staged = frames.withColumn("__protein", _pick(F.col("xyz"), F.array_except(whole, ligand))).withColumn(
-        "__ligand", _pick(F.col("xyz"), ligand)
-    )
-    staged = staged.withColumn(
-        "__shift",
-        F.array(
-            *[
-                F.rint((_mean(F.col("__protein"), a) - _mean(F.col("__ligand"), a)) / F.col("box_nm"))
-                * F.col("box_nm")
-                for a in range(3)
-            ]
-        ),
+    picked = staged(
+        frames,
+        frames.columns,
+        __protein=_pick(F.col("xyz"), F.array_except(whole, ligand)),
+        __ligand=_pick(F.col("xyz"), ligand),
     )
-    moved = F.transform(
-        whole,
-        lambda a: F.when(
-            F.array_contains(ligand, a),
-            F.zip_with(
-                F.element_at(F.col("xyz"), a.cast("int")), F.col("__shift"), lambda c, s: c + s
-            ),
-        ).otherwise(F.element_at(F.col("xyz"), a.cast("int"))),
+    gap = [
+        (_mean(F.col("__protein"), a) - _mean(F.col("__ligand"), a)) / F.col("box_nm")
+        for a in range(3)
+    ]
+    shifted = staged(
+        picked, frames.columns, shift=F.array(*[F.rint(g) * F.col("box_nm") for g in gap])
     )
-    return staged.select(
-        *[c for c in frames.columns if c != "xyz"], moved.alias("xyz"), F.col("__shift").alias("shift")
+
+    def place(atom: Column) -> Column:
+        point = F.element_at(F.col("xyz"), atom.cast("int"))
+        moved = F.array(
+            *[F.get(point, F.lit(a)) + F.get(F.col("shift"), F.lit(a)) for a in range(3)]
+        )
+        return F.when(F.array_contains(ligand, atom), moved).otherwise(point)
+
+    return shifted.select(
+        *[c for c in frames.columns if c != "xyz"], F.transform(whole, place).alias("xyz"), "shift"
     )
 
 
@@ -104,12 +111,11 @@ def rmsd_translation(
 ) -> DataFrame:
     """Ligand RMSD to the reference after a shift of the fit-group centroid."""
     fit, ligand = _atoms(fit_atoms), _atoms(ligand_atoms)
-    staged = (
-        frames.withColumn("__fit", _pick(F.col("xyz"), fit))
-        .withColumn("__ref", _pick(F.col("ref_xyz"), fit))
-        .withColumn(
-            "__t", F.array(*[_mean(F.col("__ref"), a) - _mean(F.col("__fit"), a) for a in range(3)])
-        )
+    ready = _fit_points(frames, fit)
+    ready = staged(
+        ready,
+        frames.columns,
+        __t=F.array(*[_mean(F.col("__ref"), a) - _mean(F.col("__fit"), a) for a in range(3)]),
     )
 
     def squared(atom: Column) -> Column:
@@ -124,7 +130,7 @@ def rmsd_translation(
     mean = F.aggregate(
         F.transform(ligand, squared), F.lit(0.0), lambda acc, v: acc + v
     ) / F.size(ligand)
-    return staged.select("trajectory_id", "frame_no", "time_ps", F.sqrt(mean).alias("rmsd_nm"))
+    return ready.select("trajectory_id", "frame_no", "time_ps", F.sqrt(mean).alias("rmsd_nm"))
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
@@ -149,12 +155,13 @@ def rmsd_rotation_translation(
     decomposition, one small matrix per frame, runs in Python.
     """
     fit, ligand = _atoms(fit_atoms), _atoms(ligand_atoms)
-    staged = frames.withColumn("__fit", _pick(F.col("xyz"), fit)).withColumn(
-        "__ref", _pick(F.col("ref_xyz"), fit)
+    ready = _fit_points(frames, fit)
+    ready = staged(
+        ready,
+        [*frames.columns, "__fit", "__ref"],
+        __c=F.array(*[_mean(F.col("__fit"), a) for a in range(3)]),
+        __r=F.array(*[_mean(F.col("__ref"), a) for a in range(3)]),
     )
-    staged = staged.withColumn(
-        "__c", F.array(*[_mean(F.col("__fit"), a) for a in range(3)])
-    ).withColumn("__r", F.array(*[_mean(F.col("__ref"), a) for a in range(3)]))
 
     def covariance(i: int, j: int) -> Column:
         products = F.zip_with(
@@ -165,7 +172,7 @@ def rmsd_rotation_translation(
         )
         return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
 
-    staged = staged.withColumn(
+    ready = ready.withColumn(
         "__h", F.array(*[covariance(i, j) for i in range(3) for j in range(3)])
     ).withColumn("__rot", _rotation("__h"))
 
@@ -186,4 +193,4 @@ def rmsd_rotation_translation(
     mean = F.aggregate(
         F.transform(ligand, squared), F.lit(0.0), lambda acc, v: acc + v
     ) / F.size(ligand)
-    return staged.select("trajectory_id", "frame_no", "time_ps", F.sqrt(mean).alias("rmsd_nm"))
+    return ready.select("trajectory_id", "frame_no", "time_ps", F.sqrt(mean).alias("rmsd_nm"))

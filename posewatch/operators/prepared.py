@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from posewatch.functions.settings import close, estimated_disk_bytes, whole_steps
+from posewatch.functions.staging import staged
 from posewatch.functions.text import parse_float, parse_int
 from posewatch.schemas import REQUIRED_INDEX_GROUPS, STAGES
 from posewatch.session import materialise, scratch_dir
@@ -242,6 +243,13 @@ def settings_violations(settings: DataFrame, systems: DataFrame) -> DataFrame:
     # Keys the rules read.
     keys = ["dt", "nsteps", "integrator", "gen-vel", "nstxout-compressed"]
     wide = settings.groupBy("system").agg(*[pick(s, k) for s in STAGES for k in keys])
+    numbers = {}
+    for stage in STAGES:
+        numbers[f"dt_{stage}"] = parse_float(F.col(f"`{stage} dt`"))
+        numbers[f"nsteps_{stage}"] = parse_int(F.col(f"`{stage} nsteps`"))
+    numbers["output_steps"] = parse_int(F.col("`production nstxout-compressed`"))
+    joined = systems.join(wide, "system", "left")
+    parsed = staged(joined, [F.col(f"`{c}`") for c in joined.columns], **numbers)
 
     def text_of(stage: str, key: str) -> Column:
         return F.lower(F.coalesce(F.col(f"`{stage} {key}`"), F.lit("")))
@@ -254,18 +262,17 @@ def settings_violations(settings: DataFrame, systems: DataFrame) -> DataFrame:
         )
 
     for stage in STAGES:
-        dt = parse_float(F.col(f"`{stage} dt`"))
-        nsteps = parse_int(F.col(f"`{stage} nsteps`"))
+        dt, nsteps = F.col(f"dt_{stage}"), F.col(f"nsteps_{stage}")
         fault(stage, dt.isNull(), "dt must be a numeric value")
         fault(stage, nsteps.isNull(), "nsteps must be an integer value")
         fault(stage, (dt <= 0) | (nsteps <= 0), "dt and nsteps must be positive")
         fault(stage, text_of(stage, "integrator") != "md", "integrator must be md")
         wanted = "yes" if stage == "nvt" else "no"
         fault(stage, text_of(stage, "gen-vel") != wanted, f"gen-vel must be {wanted}")
-    dt = parse_float(F.col("`production dt`"))
+    dt = F.col("dt_production")
     usable = dt > 0
     interval = F.col("output_interval_ps")
-    source = parse_int(F.col("`production nstxout-compressed`"))
+    source = F.col("output_steps")
     fault("production", usable & ~whole_steps(F.try_divide(interval, dt)),
           "output interval must be a multiple of dt")
     fault("production", usable & ~whole_steps(F.try_divide(F.col("production_time_ns") * 1000.0, dt)),
@@ -274,8 +281,7 @@ def settings_violations(settings: DataFrame, systems: DataFrame) -> DataFrame:
     fault("production", usable & ~close(source * dt, interval, rel_tol=0.0),
           "compressed-output interval does not match")
     ruled = (
-        systems.join(wide, "system", "left")
-        .select("system", F.explode(F.array_compact(F.array(*faults))).alias("f"))
+        parsed.select("system", F.explode(F.array_compact(F.array(*faults))).alias("f"))
         .select("system", "f.stage", "f.reason")
     )
     repeated = (

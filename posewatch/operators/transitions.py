@@ -53,60 +53,56 @@ def _payload(*fields) -> Column:
 # --- pruning -------------------------------------------------------------
 
 
-def pruning_verdicts(poses: DataFrame, triggers: DataFrame) -> DataFrame:
-    """Verdict per pose with at least one acceptable trigger.
+def accepted_triggers(poses: DataFrame, triggers: DataFrame) -> DataFrame:
+    """Triggers with the state of their pose and the reason they are refused.
 
-    ``triggers`` has one row per reporting replica (first crossing). The canonical
-    trigger is the least (time, replica) over the stored one and all new ones.
+    ``triggers`` has one row per reporting replica (first crossing). The reason is
+    null when the trigger counts.
     """
-    reported = triggers.groupBy(*POSE_KEY).agg(
-        F.min(F.struct("time_ps", "replica_id", "rmsd_angstrom")).alias("least"),
-        F.max("rmsd_angstrom").alias("largest"),
-    )
-    stored = F.when(
-        F.col("trigger_replica_id").isNotNull(),
-        F.struct(
-            F.col("trigger_simulation_time_ps").alias("time_ps"),
-            F.col("trigger_replica_id").alias("replica_id"),
-            F.col("trigger_observed_rmsd_angstrom").alias("rmsd_angstrom"),
-        ),
-    )
-    return (
-        poses.filter(
-            F.col("pruning_enabled")
-            & F.col("pruning_threshold_angstrom").isNotNull()
-            & F.col("status").isin("RUNNING", "PRUNED")
-        )
-        .join(reported, POSE_KEY)
-        .select(
-            *POSE_KEY,
-            (F.col("status") == "RUNNING").alias("first_transition"),
-            F.least("least", stored).alias("canonical"),
-            F.col("least").alias("reported"),
-            "largest",
-        )
-    )
-
-
-def accepted_triggers(poses: DataFrame, triggers: DataFrame) -> DataFrame:
-    """Triggers with the reason they are refused, null when they count."""
     reason = (
-        F.when(F.col("__status").isNull(), "pose does not exist")
-        .when(~F.col("__enabled"), "pruning is disabled")
+        F.when(F.col("p.status").isNull(), "pose does not exist")
+        .when(~F.col("p.pruning_enabled"), "pruning is disabled")
         .when(
-            F.col("__limit").isNull() | (F.col("rmsd_angstrom") <= F.col("__limit")),
+            F.col("p.pruning_threshold_angstrom").isNull()
+            | (F.col("rmsd_angstrom") <= F.col("p.pruning_threshold_angstrom")),
             "trigger does not exceed the threshold",
         )
-        .when(~F.col("__status").isin("RUNNING", "PRUNED"), "pose is in another state")
+        .when(~F.col("p.status").isin("RUNNING", "PRUNED"), "pose is in another state")
     )
-    limits = poses.select(
+    state = poses.select(
         *POSE_KEY,
-        F.col("status").alias("__status"),
-        F.col("pruning_enabled").alias("__enabled"),
-        F.col("pruning_threshold_angstrom").alias("__limit"),
+        F.struct(
+            "status", "pruning_enabled", "pruning_threshold_angstrom", "trigger_replica_id",
+            "trigger_simulation_time_ps", "trigger_observed_rmsd_angstrom",
+        ).alias("p"),
+    )
+    return triggers.join(state, POSE_KEY, "left").withColumn("refusal", reason)
+
+
+def pruning_verdicts(good: DataFrame) -> DataFrame:
+    """Verdict per pose from its accepted triggers.
+
+    The canonical trigger is the least (time, replica) over the stored one and all
+    new ones.
+    """
+    stored = F.when(
+        F.col("p.trigger_replica_id").isNotNull(),
+        F.struct(
+            F.col("p.trigger_simulation_time_ps").alias("time_ps"),
+            F.col("p.trigger_replica_id").alias("replica_id"),
+            F.col("p.trigger_observed_rmsd_angstrom").alias("rmsd_angstrom"),
+        ),
     )
-    return triggers.join(limits, POSE_KEY, "left").select(
-        *triggers.columns, reason.alias("refusal")
+    return (
+        good.groupBy(*POSE_KEY)
+        .agg(
+            F.min(F.struct("time_ps", "replica_id", "rmsd_angstrom")).alias("reported"),
+            F.max("rmsd_angstrom").alias("largest"),
+            F.bool_and(F.col("p.status") == "RUNNING").alias("first_transition"),
+            F.min(stored).alias("stored"),
+        )
+        .withColumn("canonical", F.least("reported", "stored"))
+        .drop("stored")
     )
 
 
@@ -115,8 +111,8 @@ def apply_pruning(
 ) -> Tables:
     """Prune poses with a crossing, skip what is pending and stop what runs."""
     judged = accepted_triggers(poses, triggers)
-    good = judged.filter(F.col("refusal").isNull()).drop("refusal")
-    verdicts = pruning_verdicts(poses, good)
+    good = judged.filter(F.col("refusal").isNull())
+    verdicts = pruning_verdicts(good)
 
     marked = poses.join(verdicts, POSE_KEY, "left")
     hit = F.col("canonical").isNotNull()
@@ -194,7 +190,7 @@ def apply_pruning(
         "tasks": new_tasks,
         "events": events,
         "event_members": members,
-        "refused": judged.filter(F.col("refusal").isNotNull()),
+        "refused": judged.filter(F.col("refusal").isNotNull()).drop("p"),
     }
 
 
@@ -375,8 +371,8 @@ def apply_stop(
 # --- resume --------------------------------------------------------------
 
 
-def resume_decisions(runs: DataFrame, poses: DataFrame, tasks: DataFrame) -> DataFrame:
-    """What a resume makes of every running task.
+def _judged_tasks(runs: DataFrame, poses: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Tasks with pose and run state and, for running ones, the resume outcome.
 
     ``probe_status`` is the result of looking at the recorded process (MATCHING_LIVE,
     EXITED, PID_REUSED, UNVERIFIABLE). Outcomes that start with REFUSED block the
@@ -395,7 +391,8 @@ def resume_decisions(runs: DataFrame, poses: DataFrame, tasks: DataFrame) -> Dat
         .when(F.col("run_stop"), "persisted run stop intent")
     )
     outcome = (
-        F.when(~state.isin(*PROCESS_STATES), "REFUSED_UNKNOWN_STATE")
+        F.when(F.col("status") != "RUNNING", F.lit(None).cast("string"))
+        .when(~state.isin(*PROCESS_STATES), "REFUSED_UNKNOWN_STATE")
         .when(
             exited & (pid.isNull() | token.isNull() | code.isNull() | ended.isNull()),
             "REFUSED_INCOMPLETE_EXIT",
@@ -423,14 +420,20 @@ def resume_decisions(runs: DataFrame, poses: DataFrame, tasks: DataFrame) -> Dat
                  F.lit(" without durable cooperative cancellation evidence")),
     )
     return (
-        tasks.filter(F.col("status") == "RUNNING")
-        .join(pose_status, POSE_KEY)
-        .join(run_stop, "run_id")
+        tasks.join(pose_status, POSE_KEY, "left")
+        .join(run_stop, "run_id", "left")
         .withColumn("evidence", evidence)
         .withColumn("outcome", outcome)
         .withColumn("reason", reason)
-        .select("task_id", *REPLICA_KEY, "outcome", "evidence", "reason",
-                "process_returncode", "process_step_id")
+    )
+
+
+def resume_decisions(runs: DataFrame, poses: DataFrame, tasks: DataFrame) -> DataFrame:
+    """What a resume makes of every running task."""
+    running = tasks.filter(F.col("status") == "RUNNING")
+    return _judged_tasks(runs, poses, running).select(
+        "task_id", *REPLICA_KEY, "outcome", "evidence", "reason",
+        "process_returncode", "process_step_id",
     )
 
 
@@ -445,30 +448,23 @@ def reconcile_resume(
     decisions = resume_decisions(runs, poses, tasks)
     refused = decisions.filter(F.col("outcome").startswith("REFUSED"))
     blocked = refused.select("run_id").distinct().withColumn("__blocked", F.lit(True))
-    pose_state = poses.select(*POSE_KEY, F.col("status").alias("__pose_status"))
+    pose_state = poses.select(*POSE_KEY, F.col("status").alias("pose_status"))
     verdict = decisions.select(
-        *REPLICA_KEY,
-        F.struct("outcome", "reason", F.col("process_returncode").alias("code")).alias("d"),
+        *REPLICA_KEY, "outcome", F.col("process_returncode").alias("__code")
     )
 
-    def staged(df: DataFrame) -> DataFrame:
-        return (
-            df.join(pose_state, POSE_KEY, "left")
-            .join(verdict, REPLICA_KEY, "left")
-            .join(blocked, "run_id", "left")
-        )
-
     free = F.col("__blocked").isNull()
-    alive = F.coalesce(F.col("__pose_status") != "PRUNED", F.lit(False))
-    failed = free & (F.coalesce("d.outcome", F.lit("")) == "DURABLE_EXITED_FAILED")
-    cooperative = free & (F.coalesce("d.outcome", F.lit("")) == "DURABLE_EXITED_INTERRUPTED")
+    alive = F.coalesce(F.col("pose_status") != "PRUNED", F.lit(False))
+    failed = free & (F.coalesce("outcome", F.lit("")) == "DURABLE_EXITED_FAILED")
+    cooperative = free & (F.coalesce("outcome", F.lit("")) == "DURABLE_EXITED_INTERRUPTED")
 
-    t = staged(tasks)
-    t = _set(t, cooperative & (F.col("status") == "RUNNING"), {"last_error": F.col("d.reason")})
+    # A task carries its own outcome, so the task table is not joined to itself.
+    t = _judged_tasks(runs, poses, tasks).join(blocked, "run_id", "left")
+    t = _set(t, cooperative & (F.col("status") == "RUNNING"), {"last_error": F.col("reason")})
     t = _set(
         t,
         failed & (F.col("status") == "RUNNING"),
-        {**NO_CLAIM, "heartbeat_at": now, "stop_requested": False, "last_error": F.col("d.reason"),
+        {**NO_CLAIM, "heartbeat_at": now, "stop_requested": False, "last_error": F.col("reason"),
          "status": "FAILED"},
     )
     t = _set(
@@ -482,15 +478,19 @@ def reconcile_resume(
         free & alive & (F.col("status") == "INTERRUPTED"),
         {"last_error": None, "stop_requested": False, "status": "PENDING"},
     )
-    new_tasks = t.select(*tasks.columns, "__blocked", "__pose_status")
+    new_tasks = t.select(*tasks.columns, "__blocked", "pose_status")
 
-    r = staged(replicas)
+    r = (
+        replicas.join(pose_state, POSE_KEY, "left")
+        .join(verdict, REPLICA_KEY, "left")
+        .join(blocked, "run_id", "left")
+    )
     r = _set(
         r,
         failed | cooperative,
         {
             "gpu_id": None,
-            "exit_code": F.col("d.code"),
+            "exit_code": F.col("__code"),
             "finished_at": now,
             "status": F.when(failed, "FAILED").otherwise("INTERRUPTED"),
         },
@@ -505,7 +505,7 @@ def reconcile_resume(
         free & alive & (F.col("status") == "INTERRUPTED"),
         {"exit_code": None, "finished_at": None, "status": "PENDING"},
     )
-    new_replicas = r.select(*replicas.columns, "__blocked", "__pose_status")
+    new_replicas = r.select(*replicas.columns, "__blocked", "pose_status")
 
     retry_events = None
     if retry:
@@ -593,8 +593,8 @@ def _requeue(tasks: DataFrame, replicas: DataFrame, allowed: Column):
 
 def retry_failed(poses: DataFrame, replicas: DataFrame, tasks: DataFrame) -> Tables:
     """Requeue the failed tasks of poses that are not pruned."""
-    state = poses.select(*POSE_KEY, F.col("status").alias("__pose_status"))
-    allowed = F.coalesce(F.col("__pose_status") != "PRUNED", F.lit(False))
+    state = poses.select(*POSE_KEY, F.col("status").alias("pose_status"))
+    allowed = F.coalesce(F.col("pose_status") != "PRUNED", F.lit(False))
     new_tasks, new_replicas, events = _requeue(
         tasks.join(state, POSE_KEY, "left"), replicas.join(state, POSE_KEY, "left"), allowed
     )

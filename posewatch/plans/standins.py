@@ -96,15 +96,22 @@ POSE = {
 }
 POSES_SQL = select_sql("poses", POSE, "orders")
 
-LINE_SQL = (
-    "line AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS pk, min(l_suppkey) AS sk, "
-    "min(l_returnflag) AS rf, min(l_linestatus) AS ls, max(l_quantity) AS q, "
-    "max(l_discount) AS disc, max(l_tax) AS tax FROM lineitem GROUP BY l_orderkey, l_linenumber)"
-)
 STATUS = (
-    "CASE concat(rf, ls) WHEN 'AF' THEN 'COMPLETED' WHEN 'AO' THEN 'RUNNING' "
-    "WHEN 'NF' THEN 'FAILED' WHEN 'NO' THEN 'PENDING' WHEN 'RF' THEN 'INTERRUPTED' "
-    "ELSE 'COMPLETED' END"
+    "CASE WHEN rf = ascii('A') AND ls = ascii('F') THEN 'COMPLETED' "
+    "WHEN rf = ascii('A') AND ls = ascii('O') THEN 'RUNNING' "
+    "WHEN rf = ascii('N') AND ls = ascii('F') THEN 'FAILED' "
+    "WHEN rf = ascii('N') AND ls = ascii('O') THEN 'PENDING' "
+    "WHEN rf = ascii('R') AND ls = ascii('F') THEN 'INTERRUPTED' ELSE 'COMPLETED' END"
+)
+PROCESS = (
+    "CASE WHEN st <> 'RUNNING' THEN 'NONE' WHEN l_orderkey % 97 = 0 THEN 'NONE' "
+    "WHEN disc < 0.05 THEN 'EXITED' ELSE 'RUNNING' END"
+)
+LINE_SQL = (
+    f"line AS (SELECT *, {PROCESS} AS proc FROM (SELECT *, {STATUS} AS st FROM ("
+    "SELECT l_orderkey, l_linenumber, min(l_partkey) AS pk, min(l_suppkey) AS sk, "
+    "min(ascii(l_returnflag)) AS rf, min(ascii(l_linestatus)) AS ls, max(l_quantity) AS q, "
+    "max(l_discount) AS disc, max(l_tax) AS tax FROM lineitem GROUP BY l_orderkey, l_linenumber)))"
 )
 REPLICA_NAME = "concat('replica_', lpad(CAST(l_linenumber AS STRING), 2, '0'))"
 LINE_KEY = {
@@ -116,44 +123,40 @@ REPLICA = {
     **LINE_KEY,
     "velocity_seed": "CAST(pk + 1 AS INT)",
     "resolved_ntomp": "CAST(l_linenumber % 3 AS INT)",
-    "status": STATUS,
+    "status": "st",
     "gpu_id": "CAST(sk % 8 AS INT)",
     "stage_reached": "CASE WHEN disc > 0.05 THEN 'production' ELSE 'nvt' END",
     "trajectory_time_completed_ps": "q * 100",
-    "max_rmsd_nm": f"CASE WHEN {STATUS} <> 'PENDING' AND l_linenumber % 6 <> 0 THEN q / 100 END",
+    "max_rmsd_nm": "CASE WHEN st <> 'PENDING' AND l_linenumber % 6 <> 0 THEN q / 100 END",
     "max_rmsd_angstrom": (
-        f"CASE WHEN {STATUS} <> 'PENDING' AND l_linenumber % 6 <> 0 THEN q / 100 * 10 END"
+        "CASE WHEN st <> 'PENDING' AND l_linenumber % 6 <> 0 THEN q / 100 * 10 END"
     ),
     "triggered_pruning": "l_orderkey % 13 = 0",
-    "exit_code": f"CAST(CASE {STATUS} WHEN 'FAILED' THEN 2 WHEN 'COMPLETED' THEN 0 END AS INT)",
+    "exit_code": "CAST(CASE st WHEN 'FAILED' THEN 2 WHEN 'COMPLETED' THEN 0 END AS INT)",
 }
 REPLICAS_SQL = select_sql("replicas", REPLICA, "line")
 
-PROCESS = (
-    f"CASE WHEN {STATUS} <> 'RUNNING' THEN 'NONE' WHEN l_orderkey % 97 = 0 THEN 'NONE' "
-    "WHEN disc < 0.05 THEN 'EXITED' ELSE 'RUNNING' END"
-)
 TASK = {
     "task_id": f"concat('pose_', l_orderkey, ':', {REPLICA_NAME})",
     **LINE_KEY,
-    "status": STATUS,
+    "status": "st",
     "assigned_gpu_id": "CAST(sk % 8 AS INT)",
     "resolved_ntomp": "CAST(l_linenumber % 3 AS INT)",
     "claim_token": (
-        f"CASE WHEN {STATUS} = 'RUNNING' THEN concat('tok_', l_orderkey, '_', l_linenumber) END"
+        "CASE WHEN st = 'RUNNING' THEN concat('tok_', l_orderkey, '_', l_linenumber) END"
     ),
-    "stop_requested": f"{STATUS} = 'RUNNING' AND tax > 0.06",
+    "stop_requested": "st = 'RUNNING' AND tax > 0.06",
     "last_error": "CASE WHEN tax > 0.06 AND l_linenumber % 2 = 0 THEN 'user stop requested' END",
-    "process_pid": f"CAST(CASE WHEN {PROCESS} <> 'NONE' THEN 1000 + l_linenumber END AS INT)",
+    "process_pid": "CAST(CASE WHEN proc <> 'NONE' THEN 1000 + l_linenumber END AS INT)",
     "process_start_token": (
-        f"CASE WHEN {PROCESS} <> 'NONE' AND l_orderkey % 101 <> 0 THEN 'started' END"
+        "CASE WHEN proc <> 'NONE' AND l_orderkey % 101 <> 0 THEN 'started' END"
     ),
-    "process_state": PROCESS,
+    "process_state": "proc",
     "process_returncode": (
-        f"CAST(CASE WHEN {PROCESS} = 'EXITED' THEN CASE l_linenumber % 3 WHEN 0 THEN 0 "
+        "CAST(CASE WHEN proc = 'EXITED' THEN CASE l_linenumber % 3 WHEN 0 THEN 0 "
         "WHEN 1 THEN 1 ELSE 143 END END AS INT)"
     ),
-    "process_finished_at": f"CASE WHEN {PROCESS} = 'EXITED' THEN 'ended' END",
+    "process_finished_at": "CASE WHEN proc = 'EXITED' THEN 'ended' END",
     "process_step_id": "CASE WHEN l_linenumber % 4 <> 0 THEN concat('step_', l_linenumber) END",
     "heartbeat_write_count": "CAST(q AS INT)",
     "probe_status": (
@@ -176,15 +179,16 @@ STATE_SQL = [LINE_SQL, POSES_SQL, REPLICAS_SQL, TASKS_SQL, RUNS_SQL]
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+    merged = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_partkey").alias("pk"),
         F.min("l_suppkey").alias("sk"),
-        F.min("l_returnflag").alias("rf"),
-        F.min("l_linestatus").alias("ls"),
+        F.min(F.ascii("l_returnflag")).alias("rf"),
+        F.min(F.ascii("l_linestatus")).alias("ls"),
         F.max("l_quantity").alias("q"),
         F.max("l_discount").alias("disc"),
         F.max("l_tax").alias("tax"),
     )
+    return merged.selectExpr("*", f"{STATUS} AS st").selectExpr("*", f"{PROCESS} AS proc")
 
 
 def poses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,23 +101,29 @@ def scan_index(files: DataFrame) -> DataFrame:
 
 def scan_settings(files: DataFrame) -> DataFrame:
     """(path, line_no, key, value, reason) of stage settings files."""
-    before_comment = F.transform(
+    content = F.transform(
         F.split("text", text.TEXT_LINE_END),
         lambda line, i: F.struct(
             (i + 1).alias("line_no"), text.strip(F.substring_index(line, ";", 1)).alias("line")
         ),
     )
-    lines = files.select("path", F.explode(before_comment).alias("l")).select(
-        "path", "l.line_no", "l.line"
-    ).filter(F.col("line") != "")
-    eq = F.instr("line", "=")
-    value = text.strip(F.expr("substring(line, instr(line, '=') + 1)"))
-    return lines.select(
+
+    def setting(x: Column) -> Column:
+        sides = F.split(x["line"], "=", 2)
+        return F.struct(
+            x["line_no"].alias("line_no"),
+            F.size(sides).alias("n"),
+            text.strip(F.get(sides, F.lit(0))).alias("key"),
+            text.strip(F.get(sides, F.lit(1))).alias("value"),
+        )
+
+    settings = F.transform(F.filter(content, lambda x: x["line"] != ""), setting)
+    return files.select("path", F.inline(settings)).select(
         "path",
         "line_no",
-        F.when(eq > 0, normalise_key(text.strip(F.substring_index("line", "=", 1)))).alias("key"),
-        F.when((eq > 0) & (value != ""), value).alias("value"),
-        F.when(eq == 0, "no_equals").when(value == "", "empty_value").alias("reason"),
+        F.when(F.col("n") == 2, normalise_key(F.col("key"))).alias("key"),
+        F.nullif("value", F.lit("")).alias("value"),
+        F.when(F.col("n") == 1, "no_equals").when(F.col("value") == "", "empty_value").alias("reason"),
     )
 
 

@@ -38,35 +38,32 @@ def data_lines(content_text: Column, line_end: str) -> Column:
 
 
 def parsed_lines(lines: Column) -> Column:
-    """Array of (line_no, time_ps, rmsd_nm, reason), each line split and parsed once."""
+    """Array of (line_no, time_ps, rmsd_nm, reason); each line is split and parsed once."""
     worded = F.transform(
         lines,
         lambda x: F.struct(x["line_no"].alias("line_no"), text.words(x["line"]).alias("w")),
     )
-    split = F.transform(
-        worded,
-        lambda x: F.struct(
+
+    def valued(x: Column) -> Column:
+        first, second = F.get(x["w"], F.lit(0)), F.get(x["w"], F.lit(1))
+        return F.struct(
             x["line_no"].alias("line_no"),
             F.size(x["w"]).alias("n"),
-            F.get(x["w"], F.lit(0)).alias("a"),
-            F.get(x["w"], F.lit(1)).alias("b"),
-        ),
-    )
-    valued = F.transform(
-        split,
-        lambda x: x.withField("t", text.parse_float(x["a"])).withField(
-            "r", text.parse_float(x["b"])
-        ),
-    )
-    return F.transform(
-        valued,
-        lambda x: F.struct(
+            first.alias("a"),
+            second.alias("b"),
+            text.parse_float(first).alias("t"),
+            text.parse_float(second).alias("r"),
+        )
+
+    def checked(x: Column) -> Column:
+        return F.struct(
             x["line_no"].alias("line_no"),
             x["t"].alias("time_ps"),
             x["r"].alias("rmsd_nm"),
             text.sample_reason(x["n"], x["a"], x["b"], x["t"], x["r"]).alias("reason"),
-        ),
-    )
+        )
+
+    return F.transform(F.transform(worded, valued), checked)
 
 
 def scan_series(files: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataFrame:
@@ -82,24 +79,18 @@ def scan_series(files: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataFram
         __utf8=F.is_valid_utf8(content),
         __rows=parsed_lines(data_lines(content.cast("string"), text.FILE_LINE_END)),
     )
-    checked = staged(
-        parsed,
-        [*keep, "__utf8"],
-        __rows=F.transform(
-            "__rows",
-            lambda row, i: row.withField(
-                "reason",
-                F.coalesce(
-                    row["reason"],
-                    F.when(
-                        (i > 0)
-                        & (row["time_ps"] <= F.get(F.col("__rows"), i - 1)["time_ps"]),
-                        "time_not_increasing",
-                    ),
-                ),
-            ),
-        ),
-    )
+
+    def in_order(x: Column, i: Column) -> Column:
+        before = F.get(F.col("__rows"), i - 1)["time_ps"]
+        late = F.when((i > 0) & (x["time_ps"] <= before), "time_not_increasing")
+        return F.struct(
+            x["line_no"].alias("line_no"),
+            x["time_ps"].alias("time_ps"),
+            x["rmsd_nm"].alias("rmsd_nm"),
+            F.coalesce(x["reason"], late).alias("reason"),
+        )
+
+    checked = staged(parsed, [*keep, "__utf8"], __rows=F.transform("__rows", in_order))
     first_fault = F.get(F.filter("__rows", lambda r: r["reason"].isNotNull()), F.lit(0))["reason"]
     judged = checked.withColumn(
         "file_reason",

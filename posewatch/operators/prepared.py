@@ -29,40 +29,50 @@ def index_violations(
     whole: str = "Protein_LIG", parts: Sequence[str] = ("C-alpha", "LIG"),
 ) -> DataFrame:
     """(file, group, reason): groups missing, repeated, empty, with repeated or foreign atoms."""
-    wanted = index.filter(F.col("group").isin(*required))
-    # One row per (file, group, header) first, so that both counts stay mergeable.
-    per_header = wanted.groupBy("file", "group", "group_ord").agg(F.count("atom").alias("n"))
-    sizes = per_header.groupBy("file", "group").agg(
-        F.count("*").alias("n_groups"), F.sum("n").alias("n_atoms")
+    def finding(cond: Column, group: str, reason: Column) -> Column:
+        return F.when(cond, F.struct(F.lit(group).alias("group"), reason.alias("reason")))
+
+    # Headers and atoms per group are counted per header first, then per file: two
+    # mergeable aggregates, no join.
+    per_header = index.groupBy("file", "group", "group_ord").agg(F.count("atom").alias("n"))
+    here = [F.col("group") == g for g in required]
+    sizes = per_header.groupBy("file").agg(
+        *[F.count_if(h).alias(f"groups_{i}") for i, h in enumerate(here)],
+        *[F.sum(F.when(h, F.col("n"))).alias(f"atoms_{i}") for i, h in enumerate(here)],
     )
-    expected = index.select("file").distinct().select(
-        "file", F.explode(F.array(*map(F.lit, required))).alias("group")
-    )
-    n_groups = F.coalesce("n_groups", F.lit(0))
-    presence = (
-        expected.join(sizes, ["file", "group"], "left")
-        .withColumn(
-            "reason",
-            F.when(n_groups != 1, F.concat(F.lit("exists "), n_groups.cast("string"), F.lit(" times")))
-            .when(F.col("n_atoms") == 0, "empty"),
-        )
-        .filter(F.col("reason").isNotNull())
-        .select("file", "group", "reason")
-    )
-    atoms = wanted.filter(F.col("atom").isNotNull())
-    repeated = (
-        atoms.groupBy("file", "group", "atom").count().filter("count > 1")
-        .select("file", "group").distinct()
-        .withColumn("reason", F.lit("repeated atoms"))
+    presence = F.array(
+        *[
+            F.coalesce(
+                finding(
+                    F.col(f"groups_{i}") != 1,
+                    g,
+                    F.concat(F.lit("exists "), F.col(f"groups_{i}").cast("string"), F.lit(" times")),
+                ),
+                finding(F.col(f"atoms_{i}") == 0, g, F.lit("empty")),
+            )
+            for i, g in enumerate(required)
+        ]
     )
-    complex_atoms = atoms.filter(F.col("group") == whole).select("file", "atom").distinct()
-    foreign = (
-        atoms.filter(F.col("group").isin(*parts)).select("file", "group", "atom").distinct()
-        .join(complex_atoms, ["file", "atom"], "left_anti")
-        .select("file", "group").distinct()
-        .withColumn("reason", F.lit(f"not a subset of {whole}"))
+    # Membership of every atom in every required group, one row per atom.
+    members = index.filter(F.col("group").isin(*required) & F.col("atom").isNotNull()).groupBy(
+        "file", "atom"
+    ).agg(*[F.count_if(h).alias(f"in_{i}") for i, h in enumerate(here)])
+    inside = F.col(f"in_{list(required).index(whole)}")
+    content = F.array(
+        *[finding(F.col(f"in_{i}") > 1, g, F.lit("repeated atoms")) for i, g in enumerate(required)],
+        *[
+            finding(
+                (F.col(f"in_{i}") > 0) & (inside == 0), g, F.lit(f"not a subset of {whole}")
+            )
+            for i, g in enumerate(required)
+            if g in parts
+        ],
     )
-    return presence.unionByName(repeated).unionByName(foreign)
+
+    def spread(df: DataFrame, found: Column) -> DataFrame:
+        return df.select("file", F.explode(F.array_compact(found)).alias("f")).select("file", "f.*")
+
+    return spread(sizes, presence).unionByName(spread(members, content).distinct())
 
 
 def remap_atoms(generated: DataFrame, positions: DataFrame) -> DataFrame:
@@ -236,23 +246,30 @@ def settings_violations(settings: DataFrame, systems: DataFrame) -> DataFrame:
 
     ``systems`` has (system, output_interval_ps, production_time_ns).
     """
-    def pick(stage: str, key: str) -> Column:
-        here = (F.col("stage") == stage) & (F.col("key") == key)
-        return F.max(F.when(here, F.col("value"))).alias(f"{stage} {key}")
-
-    # Keys the rules read.
-    keys = ["dt", "nsteps", "integrator", "gen-vel", "nstxout-compressed"]
-    wide = settings.groupBy("system").agg(*[pick(s, k) for s in STAGES for k in keys])
-    numbers = {}
+    number, whole_number, word = F.col("__number"), F.col("__whole"), F.col("__word")
+
+    def at(stage: str, key: str, value: Column) -> Column:
+        return F.when((F.col("stage") == stage) & (F.col("key") == key), value)
+
+    # Values are parsed before the aggregate, so that it keeps plain numbers and flags.
+    read = staged(
+        settings,
+        ["system", "stage", "key"],
+        __number=parse_float(F.col("value")),
+        __whole=parse_int(F.col("value")),
+        __word=F.lower("value"),
+    )
+    picks = []
     for stage in STAGES:
-        numbers[f"dt_{stage}"] = parse_float(F.col(f"`{stage} dt`"))
-        numbers[f"nsteps_{stage}"] = parse_int(F.col(f"`{stage} nsteps`"))
-    numbers["output_steps"] = parse_int(F.col("`production nstxout-compressed`"))
-    joined = systems.join(wide, "system", "left")
-    parsed = staged(joined, [F.col(f"`{c}`") for c in joined.columns], **numbers)
-
-    def text_of(stage: str, key: str) -> Column:
-        return F.lower(F.coalesce(F.col(f"`{stage} {key}`"), F.lit("")))
+        wanted = "yes" if stage == "nvt" else "no"
+        picks += [
+            F.max(at(stage, "dt", number)).alias(f"dt_{stage}"),
+            F.max(at(stage, "nsteps", whole_number)).alias(f"nsteps_{stage}"),
+            F.bool_or(at(stage, "integrator", word == "md")).alias(f"md_{stage}"),
+            F.bool_or(at(stage, "gen-vel", word == wanted)).alias(f"velocities_{stage}"),
+        ]
+    picks.append(F.max(at("production", "nstxout-compressed", whole_number)).alias("output_steps"))
+    parsed = systems.join(read.groupBy("system").agg(*picks), "system", "left")
 
     faults = []
 
@@ -266,9 +283,9 @@ def settings_violations(settings: DataFrame, systems: DataFrame) -> DataFrame:
         fault(stage, dt.isNull(), "dt must be a numeric value")
         fault(stage, nsteps.isNull(), "nsteps must be an integer value")
         fault(stage, (dt <= 0) | (nsteps <= 0), "dt and nsteps must be positive")
-        fault(stage, text_of(stage, "integrator") != "md", "integrator must be md")
+        fault(stage, ~F.coalesce(f"md_{stage}", F.lit(False)), "integrator must be md")
         wanted = "yes" if stage == "nvt" else "no"
-        fault(stage, text_of(stage, "gen-vel") != wanted, f"gen-vel must be {wanted}")
+        fault(stage, ~F.coalesce(f"velocities_{stage}", F.lit(False)), f"gen-vel must be {wanted}")
     dt = F.col("dt_production")
     usable = dt > 0
     interval = F.col("output_interval_ps")

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructType
 
 from posewatch.functions.units import nm_to_angstrom
 from posewatch.operators import pruning
@@ -94,6 +94,43 @@ def deduplicated(samples: DataFrame) -> DataFrame:
     return samples.dropDuplicates([*REPLICA_KEY, "time_ps"])
 
 
+def newer_samples(samples: DataFrame, path: str | None = None) -> DataFrame:
+    """As ``deduplicated`` for snapshots that arrive in time order.
+
+    Times of a replica rise strictly, so a sample is new when it is later than the
+    latest one seen. Between batches one row per replica is kept instead of one per
+    sample. A sample that arrives after a later one is not taken; the catch-up scan
+    over the finished series finds it.
+    """
+    spark = samples.sparkSession
+    path = path or scratch_dir(spark, "newer-samples")
+    carry_path = scratch_dir(spark, "latest-times")
+    latest_schema = StructType([samples.schema[k] for k in REPLICA_KEY]).add(
+        "latest_time_ps", DoubleType()
+    )
+    values = [c for c in samples.columns if c not in (*REPLICA_KEY, "time_ps")]
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        seen = (
+            session.read.schema(latest_schema).parquet(f"{carry_path}/{batch_id - 1}")
+            if batch_id > 0
+            else session.createDataFrame([], latest_schema)
+        )
+        once = batch.groupBy(*REPLICA_KEY, "time_ps").agg(*[F.max(v).alias(v) for v in values])
+        pruning.unobserved_samples(once, seen).select(*samples.columns).write.mode(
+            "overwrite"
+        ).parquet(f"{path}/{BATCH}={batch_id}")
+        here = batch.groupBy(*REPLICA_KEY).agg(F.max("time_ps").alias("latest_time_ps"))
+        seen.unionByName(here).groupBy(*REPLICA_KEY).agg(
+            F.max("latest_time_ps").alias("latest_time_ps")
+        ).write.mode("overwrite").parquet(f"{carry_path}/{batch_id}")
+
+    drain(samples, sink, "append", scratch_dir(spark, "stream-checkpoint"))
+    schema = StructType(list(samples.schema.fields)).add(BATCH, IntegerType())
+    return spark.read.schema(schema).option("basePath", path).parquet(path)
+
+
 def replica_state(samples: DataFrame) -> DataFrame:
     """Latest time and maximum RMSD per replica; repeats of a sample change nothing."""
     return samples.groupBy(*REPLICA_KEY).agg(

@@ -38,6 +38,8 @@ def test_overlapping_snapshots(spark, tmp_path):
     poses = spark.createDataFrame([("r", "p", 4.0)], POSE)
     log = monitor.run_changelog(monitor.deduplicated(stream(spark, path, SAMPLE)), "append")
     assert rows(log.select("time_ps"), "time_ps") == [(0.0,), (10.0,), (20.0,)]
+    newer = monitor.newer_samples(stream(spark, path, SAMPLE))
+    assert rows(newer.select("time_ps", monitor.BATCH), "time_ps") == [(0.0, 0), (10.0, 0), (20.0, 1)]
     state = monitor.latest(monitor.run_changelog(monitor.replica_state(stream(spark, path, SAMPLE))), REPLICA_KEY)
     row = state.first()
     assert row.latest_time_ps == 20.0 and row.maximum_rmsd_angstrom == pytest.approx(4.1)

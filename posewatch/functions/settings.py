@@ -32,3 +32,8 @@ def estimated_disk_bytes(
 
 def utc_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def parse_utc(value: Column) -> Column:
+    """Timestamp of an ISO text; texts with and without a fraction do not sort as text."""
+    return value.try_cast("timestamp")

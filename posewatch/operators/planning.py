@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from posewatch.functions.identity import pose_id_valid, replica_id, resname_valid, task_id
 from posewatch.operators.segments import numbered, offsets
-from posewatch.schemas import RUN_SCOPE, SEED_MAX
+from posewatch.schemas import EXTERNAL_DESTINATION, RUN_SCOPE, SEED_MAX
 
 
 # --- seeds ---------------------------------------------------------------
@@ -265,21 +265,32 @@ def plan_documents(tasks: DataFrame) -> DataFrame:
     return tasks.select("run_id", "task_index", body.alias("task_json"))
 
 
-def pose_documents(poses: DataFrame, checksums: DataFrame) -> DataFrame:
-    """Pose entries of the execution plan with their input checksums.
+def checksum_maps(
+    checksums: DataFrame, key: Sequence[str] = ("run_id", "pose_id"), per_part: int = 1000
+) -> DataFrame:
+    """Input checksums of each pose as maps sorted by destination, in bounded parts.
 
-    The inputs of one pose are a fixed short list of files, so they are folded
-    into one map sorted by destination.
+    A pose has a short list of inputs and so one part. Should it have very many,
+    they are spread over parts by a hash of the destination, and no map grows
+    beyond about ``per_part`` entries. External inputs have no own destination and
+    stay out.
     """
-    maps = (
-        checksums.filter(F.col("destination") != "<EXTERNAL_GROMACS_DATA>")
-        .groupBy("run_id", "pose_id")
+    own = checksums.filter(F.col("destination") != EXTERNAL_DESTINATION)
+    parts = own.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(per_part)).alias("n_parts"))
+    return (
+        own.join(parts, list(key))
+        .withColumn("part", F.pmod(F.xxhash64("destination"), F.col("n_parts")))
+        .groupBy(*key, "n_parts", "part")
         .agg(
             F.map_from_entries(
                 F.array_sort(F.collect_set(F.struct("destination", "sha256")))
             ).alias("input_checksums")
         )
     )
+
+
+def pose_documents(poses: DataFrame, maps: DataFrame) -> DataFrame:
+    """Pose entries of the execution plan as JSON, one row per pose and part."""
     body = F.to_json(
         F.struct(
             F.coalesce("input_checksums", F.create_map().cast("map<string,string>")).alias(
@@ -296,7 +307,7 @@ def pose_documents(poses: DataFrame, checksums: DataFrame) -> DataFrame:
         {"ignoreNullFields": "false"},
     )
     return poses.join(maps, ["run_id", "pose_id"], "left").select(
-        "run_id", "pose_id", body.alias("pose_json")
+        "run_id", "pose_id", F.coalesce("part", F.lit(0)).alias("part"), body.alias("pose_json")
     )
 
 

@@ -664,3 +664,9 @@ def required_members(spark, sf):
     return integrity.required_members(
         pages, {"http://none/": None, first: "no such marker"}, [".html", ".absent"]
     )
+
+
+@query("file_inventory")
+def file_inventory(spark, sf):
+    """Digest and size of every given table file; its SQL would need the file paths."""
+    return file_source.inventory(spark, sf, "*.parquet")

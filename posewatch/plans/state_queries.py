@@ -10,7 +10,19 @@ from posewatch.operators import transitions as tr
 from posewatch.operators.segments import plan_segments
 from posewatch.plans import standins as s
 from posewatch.plans.registry import query
-from posewatch.sources.state import exported_sequences, not_exported
+from posewatch.schemas import EXTERNAL_DESTINATION
+from posewatch.session import scratch_dir
+from posewatch.sources.manifest import parse_pose_manifest
+from posewatch.sources.state import (
+    exported_sequences,
+    not_exported,
+    parse_event_log,
+    read_artifacts,
+    read_table,
+    state_sequence,
+    write_table,
+)
+from posewatch.sources.state import replace_artifacts as write_artifacts
 
 
 
@@ -272,6 +284,31 @@ def manifest_payload(spark, sf):
     )
 
 
+MANIFEST_LINE = (
+    "concat('{\"pose_id\": \"', c_name, '\", \"ligand_resname\": \"LIG\"', "
+    "CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN ', \"overrides\": {\"pruning\": {\"threshold_angstrom\": null}}' "
+    "WHEN 2 THEN concat(', \"overrides\": {\"trajectory\": {\"seeds\": [1, ', c_custkey + 2, ']}}') "
+    "ELSE ', \"overrides\": {\"trajectory\": {\"replicas\": 3, \"color\": 1}}, \"note\": 1' END, '}')"
+)
+
+
+@query(
+    "manifest_scan",
+    """SELECT c_custkey, c_name AS pose_id, c_custkey % 4 = 1 AS has_threshold_angstrom, c_custkey % 4 = 2 AS has_seeds,
+         CASE WHEN c_custkey % 4 = 3 THEN 3 END AS replicas, CASE WHEN c_custkey % 4 = 2 THEN c_custkey + 3 END AS seed_sum,
+         CASE WHEN c_custkey % 4 = 3 THEN 'note,overrides.trajectory.color' ELSE '' END AS unknown FROM customer""",
+)
+def manifest_scan(spark, sf):
+    """A manifest entry per customer, with present nulls and unknown keys."""
+    lines = s.table(spark, sf, "customer").selectExpr("c_custkey", f"{MANIFEST_LINE} AS value")
+    return parse_pose_manifest(lines).select(
+        "c_custkey", "pose_id", "has_threshold_angstrom", "has_seeds",
+        F.col("overrides.trajectory.replicas").alias("replicas"),
+        F.aggregate("overrides.trajectory.seeds", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("seed_sum"),
+        F.array_join(F.array_sort("unknown_fields"), ",").alias("unknown"),
+    )
+
+
 # --- roll-ups ------------------------------------------------------------
 
 ROLLUP_SQL = [
@@ -1019,6 +1056,93 @@ def events_not_exported(spark, sf):
     return not_exported(rows, exported_sequences(log))
 
 
+LOG_LINE = (
+    "CASE event_id % 8 WHEN 3 THEN concat('broken ', event_id) WHEN 5 THEN '' "
+    "ELSE concat('{\"run_id\": \"r', user_id % 4, '\", \"code\": \"', event_type, "
+    "'\", \"params\": {\"state_sequence\": ', event_id, "
+    "CASE WHEN event_id % 8 = 7 THEN '.5' ELSE '' END, '}, \"duration_ms\": ', event_id % 7, '}') END"
+)
+
+
+@query(
+    "event_log_scan",
+    """SELECT concat('r', user_id % 4) AS run_id, event_type AS code,
+         CASE WHEN event_id % 8 <> 7 THEN event_id END AS sequence, CAST(event_id % 7 AS DOUBLE) AS duration_ms
+       FROM events WHERE event_id % 8 NOT IN (3, 5)""",
+)
+def event_log_scan(spark, sf):
+    """Log lines made from every event, some broken or blank, read as structured events."""
+    lines = s.table(spark, sf, "events").selectExpr(f"{LOG_LINE} AS value")
+    return parse_event_log(lines).select(
+        "run_id", "code", state_sequence(F.col("params")).alias("sequence"), "duration_ms"
+    )
+
+
+@query(
+    "state_snapshot",
+    s.with_ctes(
+        [s.SAMPLES_SQL, s.SAMPLE_POSES_SQL],
+        "SELECT run_id, pose_id, n_replicas_requested, pruning_threshold_angstrom FROM sample_poses",
+    ),
+)
+def state_snapshot(spark, sf):
+    """A pose table written as a snapshot, replaced, and read through its pointer."""
+    root = scratch_dir(spark, "state")
+    first = s.sample_poses(spark, sf)
+    write_table(first.withColumn("n_replicas_requested", F.lit(0)), root, "poses")
+    write_table(first, root, "poses")
+    return read_table(spark, root, "poses").select(
+        "run_id", "pose_id", "n_replicas_requested", "pruning_threshold_angstrom"
+    )
+
+
+@query(
+    "replace_artifacts",
+    """SELECT source AS run_id, concat(source, '/', doc_id) AS artifact_path,
+         CASE WHEN source = 'src2' THEN 0 ELSE n_chars END AS size_bytes
+       FROM documents WHERE source <> 'src1' AND (source <> 'src2' OR doc_id % 3 = 0)""",
+)
+def replace_artifacts(spark, sf):
+    """All runs registered, then one emptied and one replaced; the others stay."""
+    path = scratch_dir(spark, "artifacts")
+    rows = s.table(spark, sf, "documents").select(
+        F.concat("source", F.lit("/"), "doc_id").alias("artifact_path"),
+        F.lit(None).cast("string").alias("sha256"),
+        F.col("n_chars").alias("size_bytes"),
+        F.lit(None).cast("timestamp").alias("created_at"),
+        F.col("source").alias("run_id"),
+        "doc_id",
+    )
+    write_artifacts(rows.drop("doc_id"), path, rows)
+    fresh = rows.filter("run_id = 'src2' AND doc_id % 3 = 0").drop("doc_id")
+    write_artifacts(
+        fresh.withColumn("size_bytes", F.lit(0).cast("bigint")), path,
+        rows.filter("run_id IN ('src1', 'src2')"),
+    )
+    return read_artifacts(spark, path).select("run_id", "artifact_path", "size_bytes")
+
+
+@query(
+    "input_checksum_maps",
+    """SELECT source AS run_id, lang AS pose_id, concat('d/', doc_id) AS destination, sha256(text) AS sha256,
+         ceil(count(*) OVER (PARTITION BY source, lang) / 7) AS n_parts
+       FROM documents WHERE doc_id % 9 <> 4""",
+)
+def input_checksum_maps(spark, sf):
+    """Checksum maps of every pose in small parts, spread out again for the comparison."""
+    rows = s.table(spark, sf, "documents").select(
+        F.col("source").alias("run_id"),
+        F.col("lang").alias("pose_id"),
+        F.when(F.col("doc_id") % 9 == 4, EXTERNAL_DESTINATION)
+        .otherwise(F.concat(F.lit("d/"), "doc_id")).alias("destination"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("sha256"),
+    )
+    maps = planning.checksum_maps(rows, per_part=7)
+    return maps.select(
+        "run_id", "pose_id", "n_parts", F.explode("input_checksums").alias("destination", "sha256")
+    )
+
+
 @query(
     "event_payloads",
     """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,

@@ -17,12 +17,21 @@ def read_pose_manifest(spark: SparkSession, path: str) -> DataFrame:
     the schema, at the top and in the overrides; ``has_*`` flags tell a present
     null from an absent key.
     """
-    schema = StructType.fromDDL(POSE_MANIFEST)
-    raw = spark.read.text(path).filter(F.trim("value") != "")
-    entry = F.from_json("value", schema, {"mode": "FAILFAST"})
-    return raw.select(
-        entry.alias("e"), manifest_presence(F.col("value")).alias("presence")
-    ).select("e.*", "presence.*")
+    return parse_pose_manifest(spark.read.text(path))
+
+
+def parse_pose_manifest(lines: DataFrame) -> DataFrame:
+    """As ``read_pose_manifest`` for a table with the entry texts in ``value``.
+
+    Other columns are kept.
+    """
+    kept = [c for c in lines.columns if c != "value"]
+    entry = F.from_json("value", StructType.fromDDL(POSE_MANIFEST), {"mode": "FAILFAST"})
+    return (
+        lines.filter(F.trim("value") != "")
+        .select(*kept, entry.alias("e"), manifest_presence(F.col("value")).alias("presence"))
+        .select(*kept, "e.*", "presence.*")
+    )
 
 
 def manifest_presence(raw_json: Column) -> Column:

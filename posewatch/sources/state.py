@@ -30,7 +30,10 @@ def write_table(df: DataFrame, root: str, table: str) -> None:
         raise ValueError(f"unsupported state table: {table}")
     spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").partitionBy("run_id").parquet(f"{root}/{table}/{version}")
+    # The rebalance step writes few files per run and splits a run that is too large.
+    df.hint("rebalance", "run_id").write.mode("errorifexists").partitionBy("run_id").parquet(
+        f"{root}/{table}/{version}"
+    )
     spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode(
         "overwrite"
     ).json(f"{root}/{table}/{POINTER}")
@@ -40,22 +43,44 @@ def ordered(df: DataFrame, table: str) -> DataFrame:
     return df.orderBy(*schemas.STATE_ORDER[table])
 
 
-def replace_artifacts(artifacts: DataFrame, path: str) -> None:
-    """Replace the artifact rows of the runs present in ``artifacts``, no others."""
+def replace_artifacts(artifacts: DataFrame, path: str, runs: DataFrame) -> None:
+    """Replace the artifact rows of ``runs`` by those in ``artifacts``; other runs stay.
+
+    Only written partitions are overwritten, so a run that keeps no artifact gets
+    one row without a path, which ``read_artifacts`` leaves out.
+    """
+    emptied = runs.select("run_id").distinct().join(
+        artifacts.select("run_id").distinct(), "run_id", "left_anti"
+    )
     (
-        artifacts.write.mode("overwrite")
+        artifacts.join(runs.select("run_id").distinct(), "run_id", "left_semi")
+        .unionByName(emptied, allowMissingColumns=True)
+        .hint("rebalance", "run_id")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_id")
         .parquet(path)
     )
 
 
+def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
+    return (
+        spark.read.schema(schemas.ARTIFACTS)
+        .parquet(path)
+        .filter(F.col("artifact_path").isNotNull())
+    )
+
+
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     """Well-formed structured log events; malformed lines are skipped."""
+    return parse_event_log(spark.read.text(path))
+
+
+def parse_event_log(lines: DataFrame) -> DataFrame:
+    """As ``read_event_log`` for a table with the log lines in ``value``."""
     entry = F.from_json("value", schemas.LOG_EVENT, {"mode": "PERMISSIVE"})
     return (
-        spark.read.text(path)
-        .filter(F.trim("value") != "")
+        lines.filter(F.trim("value") != "")
         .select(entry.alias("e"))
         .filter(F.col("e._corrupt_record").isNull())
         .select("e.*")

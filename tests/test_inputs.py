@@ -200,10 +200,10 @@ def test_required_members(spark):
 
 
 def test_pose_keys(spark):
-    ids = ["P00533_EGFR|p2|model4", "标识", "x" * 505, "a b", "a-b", "..-"]
+    ids = ["TARGET1|p2|model4", "标识", "x" * 505, "a b", "a-b", "..-"]
     got = [r.k for r in spark.createDataFrame([(i,) for i in ids], "i string").select(identity.pose_key(F.col("i")).alias("k")).collect()]
     assert len(set(got)) == 6 and max(map(len, got)) <= 106
-    assert got[0] == f"P00533_EGFR-p2-model4--{sha(ids[0])}" and got[1] == f"pose--{sha(ids[1])}"
+    assert got[0] == f"TARGET1-p2-model4--{sha(ids[0])}" and got[1] == f"pose--{sha(ids[1])}"
 
 
 def test_identifiers(spark):

@@ -289,10 +289,19 @@ def test_state_snapshots(spark, tmp_path):
 
 def test_artifacts_of_other_runs_stay(spark, tmp_path):
     path = str(tmp_path / "artifacts")
-    first = spark.createDataFrame([("a", "x"), ("b", "y")], "run_id string, artifact_path string")
-    state.replace_artifacts(first.select("artifact_path", "run_id"), path)
-    state.replace_artifacts(spark.createDataFrame([("z", "b")], "artifact_path string, run_id string"), path)
-    assert rows(spark.read.parquet(path).select("run_id", "artifact_path"), "run_id") == [("a", "x"), ("b", "z")]
+
+    def artifacts(*data):
+        return table(spark, "artifacts", *[{"run_id": r, "artifact_path": p} for r, p in data])
+
+    def runs(*names):
+        return spark.createDataFrame([(n,) for n in names], "run_id string")
+
+    def stored():
+        return rows(state.read_artifacts(spark, path).select("run_id", "artifact_path"), "run_id")
+
+    state.replace_artifacts(artifacts(("a", "x"), ("b", "y"), ("c", "w")), path, runs("a", "b", "c"))
+    state.replace_artifacts(artifacts(("b", "z")), path, runs("b", "c"))
+    assert stored() == [("a", "x"), ("b", "z")]
 
 
 def test_event_log_reads_well_formed_lines(spark, tmp_path):

@@ -168,10 +168,13 @@ def link_findings(files: DataFrame, needle: str, expected: Sequence[str]) -> Dat
 
 def finding_summary(files: DataFrame, findings: DataFrame) -> DataFrame:
     """PASS only without findings; number of files looked at."""
-    n_files = files.agg(F.count("*").alias("files_checked"))
-    n_found = findings.agg(F.count("*").alias("n_findings"))
-    # Both sides are one-row aggregates.
-    return n_files.withColumn("k", F.lit(1)).join(n_found.withColumn("k", F.lit(1)), "k").select(
+    marks = files.select(F.lit(1).alias("file"), F.lit(0).alias("finding")).unionByName(
+        findings.select(F.lit(0).alias("file"), F.lit(1).alias("finding"))
+    )
+    return marks.agg(
+        F.coalesce(F.sum("file"), F.lit(0)).alias("files_checked"),
+        F.coalesce(F.sum("finding"), F.lit(0)).alias("n_findings"),
+    ).select(
         F.when(F.col("n_findings") == 0, "PASS").otherwise("FAIL").alias("status"),
         "files_checked",
         "n_findings",

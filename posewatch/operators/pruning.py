@@ -15,13 +15,17 @@ from posewatch.operators.segments import running_max
 def crossings(samples: DataFrame, poses: DataFrame) -> DataFrame:
     """Samples strictly above the threshold of their pose.
 
-    A null threshold never matches, so those poses drop out before the join.
+    A null threshold never matches, so those poses drop out before the join. No
+    crossing lies at or below the least threshold of all; that one number removes
+    most samples before they are joined.
     """
     limits = poses.filter(F.col("pruning_threshold_angstrom").isNotNull()).select(
         *POSE_KEY, "pruning_threshold_angstrom"
     )
+    least = limits.agg(F.min("pruning_threshold_angstrom")).scalar()
     return (
         samples.withColumn("rmsd_angstrom", nm_to_angstrom(F.col("rmsd_nm")))
+        .filter(F.col("rmsd_angstrom") > least)
         .join(limits, POSE_KEY)
         .filter(F.col("rmsd_angstrom") > F.col("pruning_threshold_angstrom"))
         .select(*REPLICA_KEY, "time_ps", "rmsd_angstrom", "pruning_threshold_angstrom")
@@ -73,11 +77,12 @@ def precondition_violations(samples: DataFrame, poses: DataFrame) -> DataFrame:
     return bad_limit.unionByName(bad_sample.select(*REPLICA_KEY, "reason"))
 
 
-def observation_summary(samples: DataFrame, crossed: DataFrame) -> DataFrame:
+def observation_summary(samples: DataFrame, poses: DataFrame) -> DataFrame:
     """Per replica: samples, latest time, maximum in both units, crossing seen.
 
     Overlapping snapshots repeat a simulation time, so rows are first reduced to
-    one per time; that step carries map-side partials.
+    one per time; that step carries map-side partials. A replica has crossed when
+    its maximum has, so thresholds are joined to replicas and not to samples.
     """
     per_time = samples.groupBy(*REPLICA_KEY, "time_ps").agg(F.max("rmsd_nm").alias("rmsd_nm"))
     summary = per_time.groupBy(*REPLICA_KEY).agg(
@@ -85,14 +90,15 @@ def observation_summary(samples: DataFrame, crossed: DataFrame) -> DataFrame:
         F.coalesce(F.max("time_ps"), F.lit(0.0)).alias("latest_time_ps"),
         F.max("rmsd_nm").alias("maximum_rmsd_nm"),
     )
-    hit = crossed.select(*REPLICA_KEY).distinct().withColumn("hit", F.lit(True))
-    return summary.join(hit, REPLICA_KEY, "left").select(
+    limits = poses.select(*POSE_KEY, "pruning_threshold_angstrom")
+    top = nm_to_angstrom(F.col("maximum_rmsd_nm"))
+    return summary.join(limits, POSE_KEY, "left").select(
         *REPLICA_KEY,
         "samples_observed",
         "latest_time_ps",
         "maximum_rmsd_nm",
-        nm_to_angstrom(F.col("maximum_rmsd_nm")).alias("maximum_rmsd_angstrom"),
-        F.coalesce("hit", F.lit(False)).alias("triggered_pruning"),
+        top.alias("maximum_rmsd_angstrom"),
+        F.coalesce(top > F.col("pruning_threshold_angstrom"), F.lit(False)).alias("triggered_pruning"),
     )
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from posewatch.functions.units import nm_to_angstrom
+from posewatch.operators.segments import SEGMENT, with_segment
 
 REPLICA_KEY = ["run_id", "pose_id", "replica_id"]
 POSE_KEY = ["run_id", "pose_id"]
@@ -78,23 +81,22 @@ def pose_scores(samples: DataFrame, poses: DataFrame) -> DataFrame:
 
 
 def ranked(scores: DataFrame, limit: int | None = None) -> DataFrame:
-    """Poses from the most to the least stable; poses without a score last.
-
-    The global rank is the number of better scores plus one. It is counted per
-    distinct score, so the ordered window runs over score totals and not over
-    poses.
-    """
+    """Poses from the most to the least stable; poses without a score last."""
     ordered = scores.orderBy(F.asc_nulls_last("md_score_angstrom"), *POSE_KEY)
     return ordered.limit(limit) if limit is not None else ordered
 
 
-def rank_of(scores: DataFrame, cuts: list[float]) -> DataFrame:
-    """Add ``score_rank``: 1 + poses of the same run with a lower score, null without one."""
-    from posewatch.operators.segments import SEGMENT, with_segment
+def rank_of(scores: DataFrame, cuts: Sequence[float] = ()) -> DataFrame:
+    """Add ``score_rank``: 1 + poses of the same run with a lower score, null without one.
 
-    scored = with_segment(
-        scores.filter(F.col("md_score_angstrom").isNotNull()), "md_score_angstrom", cuts
-    )
+    With cuts on the score, each (run, segment) is ranked on its own and the number
+    of poses in lower segments is added.
+    """
+    score = F.col("md_score_angstrom")
+    if not cuts:
+        w = Window.partitionBy("run_id", score.isNull()).orderBy(score)
+        return scores.withColumn("score_rank", F.when(score.isNotNull(), F.rank().over(w).cast("bigint")))
+    scored = with_segment(scores.filter(score.isNotNull()), "md_score_angstrom", cuts)
     inside = Window.partitionBy("run_id", SEGMENT).orderBy("md_score_angstrom")
     before = Window.partitionBy("run_id").orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
@@ -108,9 +110,7 @@ def rank_of(scores: DataFrame, cuts: list[float]) -> DataFrame:
         .withColumn("score_rank", F.col("__rank") + F.col("__before"))
         .select(*scores.columns, "score_rank")
     )
-    rest = scores.filter(F.col("md_score_angstrom").isNull()).withColumn(
-        "score_rank", F.lit(None).cast("bigint")
-    )
+    rest = scores.filter(score.isNull()).withColumn("score_rank", F.lit(None).cast("bigint"))
     return with_rank.unionByName(rest)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from posewatch.operators.score import POSE_KEY, REPLICA_KEY
 from posewatch.schemas import FINISH_STATUSES, PROCESS_STATES, RUN_SCOPE
+from posewatch.session import materialise
 
 Tables = dict[str, DataFrame]
 
@@ -110,7 +111,8 @@ def apply_pruning(
     poses: DataFrame, replicas: DataFrame, tasks: DataFrame, triggers: DataFrame, now: Column
 ) -> Tables:
     """Prune poses with a crossing, skip what is pending and stop what runs."""
-    judged = accepted_triggers(poses, triggers)
+    # All five result tables read the verdicts, so these few rows are written once.
+    judged = materialise(accepted_triggers(poses, triggers), "triggers")
     good = judged.filter(F.col("refusal").isNull())
     verdicts = pruning_verdicts(good)
 
@@ -371,8 +373,8 @@ def apply_stop(
 # --- resume --------------------------------------------------------------
 
 
-def _judged_tasks(runs: DataFrame, poses: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Tasks with pose and run state and, for running ones, the resume outcome.
+def resume_decisions(runs: DataFrame, poses: DataFrame, tasks: DataFrame) -> DataFrame:
+    """What a resume makes of every running task.
 
     ``probe_status`` is the result of looking at the recorded process (MATCHING_LIVE,
     EXITED, PID_REUSED, UNVERIFIABLE). Outcomes that start with REFUSED block the
@@ -391,8 +393,7 @@ def _judged_tasks(runs: DataFrame, poses: DataFrame, tasks: DataFrame) -> DataFr
         .when(F.col("run_stop"), "persisted run stop intent")
     )
     outcome = (
-        F.when(F.col("status") != "RUNNING", F.lit(None).cast("string"))
-        .when(~state.isin(*PROCESS_STATES), "REFUSED_UNKNOWN_STATE")
+        F.when(~state.isin(*PROCESS_STATES), "REFUSED_UNKNOWN_STATE")
         .when(
             exited & (pid.isNull() | token.isNull() | code.isNull() | ended.isNull()),
             "REFUSED_INCOMPLETE_EXIT",
@@ -420,20 +421,16 @@ def _judged_tasks(runs: DataFrame, poses: DataFrame, tasks: DataFrame) -> DataFr
                  F.lit(" without durable cooperative cancellation evidence")),
     )
     return (
-        tasks.join(pose_status, POSE_KEY, "left")
-        .join(run_stop, "run_id", "left")
+        tasks.filter(F.col("status") == "RUNNING")
+        .join(pose_status, POSE_KEY)
+        .join(run_stop, "run_id")
         .withColumn("evidence", evidence)
         .withColumn("outcome", outcome)
         .withColumn("reason", reason)
-    )
-
-
-def resume_decisions(runs: DataFrame, poses: DataFrame, tasks: DataFrame) -> DataFrame:
-    """What a resume makes of every running task."""
-    running = tasks.filter(F.col("status") == "RUNNING")
-    return _judged_tasks(runs, poses, running).select(
-        "task_id", *REPLICA_KEY, "outcome", "evidence", "reason",
-        "process_returncode", "process_step_id",
+        .select(
+            "task_id", *REPLICA_KEY, "outcome", "evidence", "reason",
+            "process_returncode", "process_step_id",
+        )
     )
 
 
@@ -445,21 +442,28 @@ def reconcile_resume(
 
     Runs with a refused task stay as they are and are listed in ``refused``.
     """
-    decisions = resume_decisions(runs, poses, tasks)
+    # Read by every result table; one row per running task, written once.
+    decisions = materialise(resume_decisions(runs, poses, tasks), "decisions")
     refused = decisions.filter(F.col("outcome").startswith("REFUSED"))
     blocked = refused.select("run_id").distinct().withColumn("__blocked", F.lit(True))
     pose_state = poses.select(*POSE_KEY, F.col("status").alias("pose_status"))
     verdict = decisions.select(
-        *REPLICA_KEY, "outcome", F.col("process_returncode").alias("__code")
+        *REPLICA_KEY, "outcome", "reason", F.col("process_returncode").alias("__code")
     )
 
+    def with_verdict(df: DataFrame) -> DataFrame:
+        return (
+            df.join(pose_state, POSE_KEY, "left")
+            .join(verdict, REPLICA_KEY, "left")
+            .join(blocked, "run_id", "left")
+        )
+
     free = F.col("__blocked").isNull()
     alive = F.coalesce(F.col("pose_status") != "PRUNED", F.lit(False))
     failed = free & (F.coalesce("outcome", F.lit("")) == "DURABLE_EXITED_FAILED")
     cooperative = free & (F.coalesce("outcome", F.lit("")) == "DURABLE_EXITED_INTERRUPTED")
 
-    # A task carries its own outcome, so the task table is not joined to itself.
-    t = _judged_tasks(runs, poses, tasks).join(blocked, "run_id", "left")
+    t = with_verdict(tasks)
     t = _set(t, cooperative & (F.col("status") == "RUNNING"), {"last_error": F.col("reason")})
     t = _set(
         t,
@@ -480,11 +484,7 @@ def reconcile_resume(
     )
     new_tasks = t.select(*tasks.columns, "__blocked", "pose_status")
 
-    r = (
-        replicas.join(pose_state, POSE_KEY, "left")
-        .join(verdict, REPLICA_KEY, "left")
-        .join(blocked, "run_id", "left")
-    )
+    r = with_verdict(replicas)
     r = _set(
         r,
         failed | cooperative,

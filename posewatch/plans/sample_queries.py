@@ -11,6 +11,7 @@ from posewatch.operators import pruning, score
 from posewatch.operators.segments import numbered, plan_segments
 from posewatch.plans import standins as s
 from posewatch.plans.registry import query
+from posewatch.session import materialise, scratch_dir
 from posewatch.sources import series
 
 SCORES_SQL = """
@@ -63,18 +64,9 @@ def md_score(spark, sf):
     ),
 )
 def pose_ranking(spark, sf):
-    scores = md_score(spark, sf)
-    poses = s.sample_poses(spark, sf)
-    # At most one score per pose, so the pose count bounds the rows to cut.
-    return score.rank_of(scores, _score_cuts(scores, poses))
-
-
-def _score_cuts(scores, poses):
-    from posewatch.operators.segments import ROWS_PER_SEGMENT
-
-    if poses.count() <= ROWS_PER_SEGMENT:
-        return []
-    return plan_segments(scores.filter("md_score_angstrom is not null"), "md_score_angstrom")
+    scores = materialise(md_score(spark, sf), "scores")
+    cuts = plan_segments(scores.filter("md_score_angstrom IS NOT NULL"), "md_score_angstrom")
+    return score.rank_of(scores, cuts)
 
 
 @query(
@@ -406,10 +398,7 @@ GROUP BY x.run_id, x.pose_id, x.replica_id"""
 
 @query("observation_summary", s.with_ctes(BASE, OBSERVED_SQL))
 def observation_summary(spark, sf):
-    samples = s.samples(spark, sf)
-    return pruning.observation_summary(
-        samples, pruning.crossings(samples, s.sample_poses(spark, sf))
-    )
+    return pruning.observation_summary(s.samples(spark, sf), s.sample_poses(spark, sf))
 
 
 FAILURES_SQL = """WITH marked AS (SELECT user_id, event_id, event_type = 'error' AS failed,
@@ -496,8 +485,6 @@ def event_sequence(spark, sf):
 )
 def angstrom_series(spark, sf):
     """The Å series of every replica, written below its folder and read back."""
-    from posewatch.session import scratch_dir
-
     path = scratch_dir(spark, "angstrom-series")
     series.write_angstrom_series(s.samples(spark, sf), path, buckets=16)
     back = series.read_angstrom_series(spark, path)

@@ -91,8 +91,7 @@ def test_thousand_samples_one_crossing(spark):
 
 def test_observation_of_overlapping_snapshots(spark):
     data = samples(spark, [("a", 0.0, 0.1), ("a", 10.0, 0.3), ("a", 0.0, 0.1), ("a", 10.0, 0.3), ("a", 20.0, 0.41)])
-    hit = pruning.crossings(data, poses(spark, ("p", 1, False, 4.0)))
-    row = pruning.observation_summary(data, hit).first()
+    row = pruning.observation_summary(data, poses(spark, ("p", 1, False, 4.0))).first()
     assert (row.samples_observed, row.latest_time_ps, row.triggered_pruning) == (3, 20.0, True)
     assert row.maximum_rmsd_angstrom == pytest.approx(4.1)
 

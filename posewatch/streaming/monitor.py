@@ -52,7 +52,10 @@ def series_file_stream(spark: SparkSession, path: str, max_files: int = 1000) ->
 def drain(
     stream: DataFrame, sink: Callable[[DataFrame, int], None], mode: str, checkpoint: str
 ) -> None:
-    """Process everything that is there, batch by batch, then stop."""
+    """Process everything that is there, batch by batch, then stop.
+
+    A later call with the same checkpoint goes on where this one ended.
+    """
     query = (
         stream.writeStream.outputMode(mode)
         .foreachBatch(sink)
@@ -71,10 +74,14 @@ def changelog(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def run_changelog(stream: DataFrame, mode: str = "update", path: str | None = None) -> DataFrame:
-    """Drain a stream into a changelog and return it with its batch column."""
+    """Drain a stream into a changelog and return it with its batch column.
+
+    The checkpoint lies inside the changelog folder, so a call with the same path
+    continues it.
+    """
     spark = stream.sparkSession
     path = path or scratch_dir(spark, "changelog")
-    drain(stream, changelog(path), mode, scratch_dir(spark, "stream-checkpoint"))
+    drain(stream, changelog(path), mode, f"{path}/_checkpoint")
     schema = StructType(list(stream.schema.fields)).add(BATCH, IntegerType())
     return spark.read.schema(schema).option("basePath", path).parquet(path)
 
@@ -104,7 +111,7 @@ def newer_samples(samples: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = samples.sparkSession
     path = path or scratch_dir(spark, "newer-samples")
-    carry_path = scratch_dir(spark, "latest-times")
+    carry_path = f"{path}/_carry"
     latest_schema = StructType([samples.schema[k] for k in REPLICA_KEY]).add(
         "latest_time_ps", DoubleType()
     )
@@ -126,7 +133,7 @@ def newer_samples(samples: DataFrame, path: str | None = None) -> DataFrame:
             F.max("latest_time_ps").alias("latest_time_ps")
         ).write.mode("overwrite").parquet(f"{carry_path}/{batch_id}")
 
-    drain(samples, sink, "append", scratch_dir(spark, "stream-checkpoint"))
+    drain(samples, sink, "append", f"{path}/_checkpoint")
     schema = StructType(list(samples.schema.fields)).add(BATCH, IntegerType())
     return spark.read.schema(schema).option("basePath", path).parquet(path)
 
@@ -180,7 +187,7 @@ def progress(messages: DataFrame) -> DataFrame:
 
 
 def failure_runs(
-    snapshots: DataFrame, keys: Sequence[str], order: str, limit: int = 3
+    snapshots: DataFrame, keys: Sequence[str], order: str, limit: int = 3, path: str | None = None
 ) -> DataFrame:
     """Runs of failed snapshots, also when a run spans micro-batches.
 
@@ -189,8 +196,8 @@ def failure_runs(
     Returns the runs as (keys, last_success, n_failures, first_failure, last_failure).
     """
     spark = snapshots.sparkSession
-    carry_path = scratch_dir(spark, "failure-carry")
-    log_path = scratch_dir(spark, "failure-log")
+    log_path = path or scratch_dir(spark, "failure-log")
+    carry_path = f"{log_path}/_carry"
     keys = list(keys)
     order_type = snapshots.schema[order].dataType
     run_schema = StructType([f for f in snapshots.schema.fields if f.name in keys])
@@ -246,7 +253,7 @@ def failure_runs(
         merged.unpersist()
         batch.unpersist()
 
-    drain(snapshots, sink, "append", scratch_dir(spark, "stream-checkpoint"))
+    drain(snapshots, sink, "append", f"{log_path}/_checkpoint")
     log = spark.read.schema(StructType(list(run_schema.fields)).add(BATCH, IntegerType())).option(
         "basePath", log_path
     ).parquet(log_path)
@@ -262,9 +269,8 @@ def export_events(events: DataFrame, log_path: str) -> None:
     """Append state events to a log exactly once.
 
     A replayed batch overwrites its own folder, and sequences already in the log
-    from other batches are left out.
+    from other batches are left out. The checkpoint belongs to the log.
     """
-    spark = events.sparkSession
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         fresh = batch.dropDuplicates(["run_id", "sequence"])
@@ -279,4 +285,4 @@ def export_events(events: DataFrame, log_path: str) -> None:
             fresh = not_exported(fresh, done)
         fresh.write.mode("overwrite").parquet(f"{log_path}/{BATCH}={batch_id}")
 
-    drain(events, sink, "append", scratch_dir(spark, "stream-checkpoint"))
+    drain(events, sink, "append", f"{log_path}/_checkpoint")

@@ -19,7 +19,7 @@ def land(spark, tmp_path, schema, *parts):
     import os
 
     folder = tmp_path / "landing"
-    folder.mkdir()
+    folder.mkdir(parents=True)
     for i, part in enumerate(parts):
         target = folder / f"part-{i:03d}.parquet"
         spark.createDataFrame(part, schema).toPandas().to_parquet(target, index=False)
@@ -84,6 +84,13 @@ def test_failure_runs_span_batches(spark, tmp_path):
     path = land(spark, tmp_path, schema, *parts)
     got = rows(monitor.failure_runs(stream(spark, path, schema), ["k"], "n", 3), "k", "first_failure")
     assert got == [("a", 2, 4, 3, 6), ("b", None, 3, 0, 2)]
+    log = str(tmp_path / "runs")
+    first = land(spark, tmp_path / "again", schema, *parts[:2])
+    monitor.failure_runs(stream(spark, first, schema), ["k"], "n", 3, log)
+    for i, part in enumerate(parts[2:]):
+        spark.createDataFrame(part, schema).toPandas().to_parquet(f"{first}/z{i}.parquet", index=False)
+    again = monitor.failure_runs(stream(spark, first, schema), ["k"], "n", 3, log)
+    assert rows(again, "k", "first_failure") == [("a", 2, 4, 3, 6), ("b", None, 3, 0, 2)]
     batch = pruning.consecutive_failures(spark.createDataFrame(data, schema), ["k"], "n", 3)
     assert rows(batch, "k", "first_failure") == [("a", 2, 4, 3, 6), ("b", None, 3, 0, 2)]
 
@@ -94,6 +101,9 @@ def test_export_is_exactly_once(spark, tmp_path):
     log = str(tmp_path / "log")
     monitor.export_events(stream(spark, path, schema), log)
     assert rows(spark.read.parquet(log).select("sequence"), "sequence") == [(1,), (2,), (3,)]
+    spark.createDataFrame([("r", 1, "A"), ("r", 4, "D")], schema).toPandas().to_parquet(f"{path}/later.parquet", index=False)
+    monitor.export_events(stream(spark, path, schema), log)
+    assert rows(spark.read.parquet(log).select("sequence"), "sequence") == [(1,), (2,), (3,), (4,)]
 
 
 def test_series_files_as_a_stream(spark, tmp_path):

@@ -85,25 +85,39 @@ def identifier_checks(spark, sf):
     )
 
 
-@query(
-    "redact_paths",
-    r"""SELECT page_id, regexp_replace(html, '(^|[^A-Za-z0-9_.\-])/(?:[^/\s,:;]+/)*[^/\s,:;]+', '\1<REDACTED_PATH>', 'g')
-          AS html FROM pages WHERE html NOT LIKE '%//%'""",
+# The checking engine has no look-behind; the character before the path is kept instead.
+REDACTED_HTML = (
+    r"regexp_replace(html, '(^|[^A-Za-z0-9_.\-])/(?:[^/\s,:;]+/)*[^/\s,:;]+', '\1<REDACTED_PATH>', 'g')"
 )
-def redact_paths(spark, sf):
-    """Pages without doubled slashes, where the check's form without look-behind is exact."""
-    pages = s.table(spark, sf, "pages").filter("html NOT LIKE '%//%'")
-    return pages.select("page_id", redaction.redact_paths(F.col("html")).alias("html"))
 
 
-@query("redact_pages")
-def redact_pages(spark, sf):
-    """All pages; the check engine has no look-behind, so this one has no SQL."""
+@query("redact_paths", f"SELECT page_id, {REDACTED_HTML} AS html FROM pages")
+def redact_paths(spark, sf):
     return s.table(spark, sf, "pages").select(
         "page_id", redaction.redact_paths(F.col("html")).alias("html")
     )
 
 
+@query(
+    "redact_pages",
+    f"""SELECT page_id, length(html) - length(replace(html, '/', '')) AS slashes_before,
+          length({REDACTED_HTML}) - length(replace({REDACTED_HTML}, '/', '')) AS slashes_after FROM pages""",
+)
+def redact_pages(spark, sf):
+    """Slashes of every page before and after its paths are redacted."""
+    def slashes(text):
+        return F.length(text) - F.length(F.replace(text, F.lit("/"), F.lit("")))
+
+    pages = s.table(spark, sf, "pages").select(
+        "page_id", "html", redaction.redact_paths(F.col("html")).alias("clean")
+    )
+    return pages.select(
+        "page_id",
+        slashes(F.col("html")).alias("slashes_before"),
+        slashes(F.col("clean")).alias("slashes_after"),
+    )
+
+
 SPOKEN = "concat(text, ' working=/private/work/stage host=node-a unrelated=node-alpha Token=', conv_id, ' end')"
 
 

@@ -48,9 +48,6 @@ PLAN_POSE = {
 }
 PLAN_SQL = [
     s.select_sql("plan", PLAN_POSE, "orders"),
-    """expanded AS (SELECT run_id, pose_id, pose_no, base_seed, k, replicas,
-         coalesce(sum(replicas) OVER (ORDER BY pose_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
-       FROM plan)""",
     """numbered AS (SELECT run_id, pose_id, concat('replica_', lpad(CAST(i + 1 AS VARCHAR), 2, '0')) AS replica_id,
          base_seed + i AS velocity_seed, CAST(first + i AS BIGINT) AS task_index
        FROM (SELECT *, unnest(range(replicas)) AS i FROM
@@ -58,7 +55,6 @@ PLAN_SQL = [
            coalesce(sum(replicas) OVER (ORDER BY pose_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
           FROM plan)))""",
 ]
-PLAN_SQL = [PLAN_SQL[0], PLAN_SQL[2]]
 
 
 def plan_poses(spark, sf):

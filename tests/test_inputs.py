@@ -248,3 +248,20 @@ def test_audit(spark):
     assert (clean.status, clean.files_checked, clean.n_findings) == ("PASS", 3, 0)
     links = audit.link_findings(docs, "IC50", ["a.md", "zz"])
     assert rows(links, "path") == [("a.md", "text missing"), ("b.py", "text unexpected"), ("zz", "file missing")]
+
+
+def test_plan_documents_hold_sorted_checksums(spark):
+    rows_ = spark.createDataFrame([("r", "p", "b.gro", "2"), ("r", "p", "a.top", "1"), ("r", "p", "<EXTERNAL_GROMACS_DATA>", "3")],
+                                  "run_id string, pose_id string, destination string, sha256 string")
+    poses = spark.createDataFrame([("r", "p", True, 4.0, 5), ("r", "q", False, None, 1)],
+                                  "run_id string, pose_id string, pruning_enabled boolean, pruning_threshold_angstrom double, n_replicas_requested int")
+    docs = rows(planning.pose_documents(poses, planning.checksum_maps(rows_)).select("pose_json"), "pose_id")
+    assert docs == [
+        ('{"input_checksums":{"a.top":"1","b.gro":"2"},"pose_id":"p","pruning":{"enabled":true,"strict_operator":">","threshold_angstrom":4.0},"replica_count":5}',),
+        ('{"input_checksums":{},"pose_id":"q","pruning":{"enabled":false,"strict_operator":">","threshold_angstrom":null},"replica_count":1}',)]
+
+
+def test_utc_texts_sort_as_times(spark):
+    data = spark.createDataFrame([("2026-01-01T00:00:00.500000Z",), ("2026-01-01T00:00:00Z",)], "t string")
+    got = data.select(settings.utc_text(settings.parse_utc(F.col("t"))).alias("u"))
+    assert rows(got, "u") == [("2026-01-01T00:00:00.000000Z",), ("2026-01-01T00:00:00.500000Z",)]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posewatch.llm import bpe, quality, secret_scan, tables
+from posewatch.llm import bpe, decontaminate, jaccard_join, licenses, quality, secret_scan, tables, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -39,6 +39,13 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.archive(tables.read(spark, sf_dir, "pages"))
+    return warc.read(archives, payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(tables.read(spark, sf_dir, "documents"), tables.read(spark, sf_dir, "labels"))
     return judged.select(
@@ -47,5 +54,75 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_secrets": op5_secrets, "op8_quality": op8_quality}
-CHECKS: dict[str, str] = {}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = jaccard_join.link(tables.read(spark, sf_dir, "documents"))
+    return linked.withColumnRenamed("component", "component_id")
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.read(spark, sf_dir, "documents")
+    # The table has no paths: a document is a file below source, language and id block.
+    block = F.floor(F.col("doc_id") / 1000).cast("string")
+    path = F.concat_ws("/", "source", "lang", block, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(docs, licenses.templates(spark), "doc_id", path)
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(tables.read(spark, sf_dir, "documents"), tables.read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_licenses": op2_licenses,
+    "op6_decontaminate": op6_decontaminate,
+    "op5_secrets": op5_secrets,
+    "op7_warc": op7_warc,
+    "op8_quality": op8_quality,
+    "op10_jaccard": op10_jaccard,
+}
+# Checking SQL where SQL can express the result; the others are tested against plain
+# versions in tests/llm.
+CHECKS: dict[str, str] = {
+    "op6_decontaminate": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (
+            SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        bw AS (
+            SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS x
+            FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                  FROM (SELECT *, least(len(w), 10) AS n FROM b WHERE len(w) > 0))),
+        spans AS (SELECT DISTINCT n FROM bw),
+        dw AS (
+            SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS x
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, spans)),
+        h AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw ON dw.x = bw.x AND dw.n = bw.n),
+        c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY 1),
+        t AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS items
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM h) GROUP BY 1)
+        SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+               coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+    """.replace("\\\\", "\\"),
+    "op7_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest
+            FROM pages),
+        t AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS top FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+        FROM t
+    """,
+}

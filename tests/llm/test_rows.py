@@ -61,8 +61,7 @@ def test_quality_counts(docs, odd):
 
 
 def test_quality_thresholds(spark):
-    rows = [(i, "good words in here " * 8 + str(i), "en") for i in range(9000)]
-    rows = [(i, " ".join(f"w{i}x{j}" for j in range(25)) + (" # # # #" * 6 if i % 10 == 0 else ""), "en") for i in range(9000)]
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(25)) + ("".join(f" #{i}c{j}" for j in range(24)) if i % 10 == 0 else ""), "en") for i in range(9000)]
     rows += [(9001, "few words", "en"), (9002, " ".join(f"u{j} #" for j in range(30)), "fr"), (9003, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = df.select("doc_id", (F.col("doc_id") % 10 != 0).cast("long").alias("quality"))

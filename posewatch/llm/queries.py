@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posewatch.llm import bpe, decontaminate, jaccard_join, licenses, quality, secret_scan, tables, warc
+from posewatch.llm import bpe, decontaminate, jaccard_join, licenses, quality, relative_lz, secret_scan, suffix_array, suffix_tree, tables, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -54,6 +54,27 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(tables.read(spark, sf_dir, "documents"))
+
+
+def removed(spans: str):
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_removed")
+
+
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_array.deduplicate(tables.read(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id", "n_bytes", removed("spans"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op9_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = relative_lz.deduplicate(tables.read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", removed("spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = jaccard_join.link(tables.read(spark, sf_dir, "documents"))
     return linked.withColumnRenamed("component", "component_id")
@@ -82,10 +103,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_licenses": op2_licenses,
+    "op3_suffix_tree": op3_suffix_tree,
+    "op4_suffix_array": op4_suffix_array,
     "op6_decontaminate": op6_decontaminate,
     "op5_secrets": op5_secrets,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
+    "op9_relative_lz": op9_relative_lz,
     "op10_jaccard": op10_jaccard,
 }
 # Checking SQL where SQL can express the result; the others are tested against plain

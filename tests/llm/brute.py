@@ -39,3 +39,57 @@ def quality(text):
         if wins.count(x) > 1:
             hit.update(range(i, i + 8))
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(hit)
+
+
+def repeated_bytes(rows, size=100):
+    """(doc_id, n_bytes, n_removed, n_spans, kept) of rows sorted by id, ids distinct."""
+    seen, out = set(), []
+    for i, text in rows:
+        b = (text or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - size + 1):
+            s = b[p : p + size]
+            if s in seen:
+                gone[p : p + size] = b"\x01" * size
+            else:
+                seen.add(s)
+        spans = sum(1 for j, g in enumerate(gone) if g and not (j and gone[j - 1]))
+        out.append((i, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone, strict=True) if not g))))
+    return out
+
+
+def repeated_windows(rows, size=35):
+    places, out = {}, []
+    cut = [(i, WORD.findall(t or "")) for i, t in rows]
+    for i, w in cut:
+        for p in range(len(w) - size + 1):
+            places.setdefault(tuple(w[p : p + size]), set()).add((i, p))
+    for i, w in cut:
+        gone = set()
+        for p in range(len(w) - size + 1):
+            if len(places[tuple(w[p : p + size])]) > 1:
+                gone.update(range(p, p + size))
+        out.append((i, len(w), len(gone), sha(" ".join(x for j, x in enumerate(w) if j not in gone))))
+    return out
+
+
+def components(rows, n=3, percent=90):
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(lower(t or ""))
+        sets.append({tuple(w[j : j + n]) for j in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()})
+    up = list(range(len(rows)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
+                c = len(a & b)
+                if 100 * c >= percent * (len(a) + len(b) - c):
+                    x, y = sorted((top(i), top(j)))
+                    up[y] = x
+    return [(r[0], len(s), rows[top(k)][0]) for k, (r, s) in enumerate(zip(rows, sets, strict=True))]

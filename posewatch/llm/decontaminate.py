@@ -18,6 +18,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from posewatch import session
 from posewatch.functions.staging import staged
 
 SPAN = 10
@@ -106,7 +107,7 @@ def scan(
     text get equal results; repeated items count once by id, an item without id counts for
     `n_hit` only. Empty tables give no rows or no hits. Other columns are not looked at.
     """
-    every = hits(docs, items, id_col, text_col, item_id, item_text)
+    every = session.materialise(hits(docs, items, id_col, text_col, item_id, item_text), "hits")
     covered = (
         every.select("id", "of", "at", "span")
         .distinct()

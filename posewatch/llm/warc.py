@@ -33,6 +33,7 @@ LEAST = 1000
 SPLIT = 8 << 20
 ROLL = 256 << 20  # bytes after which a task begins a new archive
 CHUNK = 1 << 18
+TASKS = 20_000  # reading tasks; beyond it a task reads several ranges
 DIGESTS = 500_000  # repeated digests of about 40 bytes that may be sent to every task
 MAGIC = b"\x1f\x8b\x08"
 # Fixed values of the record format.
@@ -200,11 +201,12 @@ def read(archives: DataFrame, split: int = SPLIT, payload: bool = True) -> DataF
     """
     spark: SparkSession = archives.sparkSession
     schema = tables.arrow_schema(spark, SCHEMA)
+    n = archives.agg(F.sum(F.ceil(F.col("size") / split)).alias("n")).first().n or 1
     ranges = (
         archives.where("size > 0")
         .select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"))
         .select("path", "start", F.least(F.col("start") + split, "size").alias("stop"))
-        .repartition("path", "start")
+        .repartition(min(int(n), TASKS), "path", "start")
     )
 
     def records(it):

@@ -36,7 +36,8 @@ from posewatch import session
 from posewatch.llm import tables, words
 from posewatch.llm.components import components
 
-FREQUENT = 1 << 16  # length of the list of frequent tokens, sent to every task (1 MB)
+FREQUENT = 1 << 17  # greatest length of the list of frequent tokens, sent to every task (2 MB)
+RARE = 8  # tokens seen less often are not looked at for that list
 LIST = 2048  # variants of one token in one part
 FLUSH = 2_000_000  # tokens counted at once in a task
 FETCH = 1_000_000  # ids of documents to verify that may be sent to every task (8 MB)
@@ -84,16 +85,25 @@ def frequent_tokens(docs: DataFrame, text_col: str, n: int) -> tuple[np.ndarray,
                 parts, size = [np.zeros(0, np.uint64)], 0
         yield tally(parts)
 
-    top = (
+    counts = session.materialise(
         docs.select(text_col)
         .mapInArrow(batches, "token long, n long")
         .groupBy("token")
         .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "token")
-        .limit(FREQUENT)
-        .toPandas()  # at most FREQUENT rows
-        .sort_values("token")
+        .where(f"n >= {RARE}"),
+        "counts",
     )
+    # The least count at which the list has at most FREQUENT tokens, from a histogram of
+    # a few hundred cells.
+    cell = F.floor(F.log2("n") * 8)
+    cells = sorted(counts.groupBy(cell.alias("cell")).count().collect(), reverse=True)
+    size, least = 0, None
+    for row in cells:
+        size += row["count"]
+        if size > FREQUENT:
+            break
+        least = row["cell"]
+    top = counts.where(cell >= least if least is not None else F.lit(False)).toPandas()  # at most FREQUENT rows
     token = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
     return token[order], top["n"].to_numpy(np.int64)[order]
@@ -118,7 +128,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
         order = np.lexsort((s, rank))[: prefix_length(len(s), percent)]
         prefix = s[order]
         group = int(words.grams(prefix, len(prefix)).view(np.int64)[0])
-        width = max(64, 1 << int(len(s) - 1).bit_length())
+        width = 1 << max(6, int(len(s) - 1).bit_length() - 1)
         bits = np.packbits(np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1)
         return len(s), vid, group, prefix.view(np.int64), bits.tobytes()
 
@@ -228,7 +238,6 @@ def verified(
 ) -> DataFrame:
     """The pairs whose whole sets link. `first` names a document for each variant."""
     spark = docs.sparkSession
-    pairs = session.materialise(pairs, "pairs")
     vids = pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct()
     ids = session.materialise(first.join(vids, "vid", "left_semi"), "fetch")
     wanted = ids.select(F.col("doc").alias(id_col)).distinct()
@@ -269,6 +278,12 @@ def verified(
     )
 
 
+def sent(small: DataFrame) -> DataFrame:
+    """A written table, marked to be sent to every task if it has at most `FETCH` rows."""
+    small = session.materialise(small, "small")
+    return F.broadcast(small) if small.count() <= FETCH else small
+
+
 def link(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90
 ) -> DataFrame:
@@ -283,46 +298,74 @@ def link(
     """
     rows = sketch(docs, id_col, text_col, n, percent)
     some = rows.where("size > 0")
-    first = some.groupBy("vid").agg(F.min("id").alias("doc"))
-    variants = some.dropDuplicates(["vid"]).select("vid", "size", "group", "prefix", "bits")
-    variants = session.materialise(variants, "variants")
-    groups = variants.groupBy("group", "size").agg(F.min("vid").alias("head"), F.count("*").alias("members"))
-    heads = variants.join(groups.select("head", "members"), F.col("vid") == F.col("head"), "left_semi")
-    spread = (
-        heads.select("vid", "group", "size", F.posexplode("prefix").alias("pos", "token"))
-        .join(groups.select(F.col("head").alias("vid"), "members"), "vid")
-        .select("token", "group", "size", "pos", "members")
+    narrow = some.select("id", "vid", "size", "group")
+    first = session.materialise(
+        narrow.groupBy("vid", "size", "group").agg(F.min("id").alias("doc")), "variants"
+    )
+    copies = sent(
+        narrow.join(first.select("vid", "doc"), "vid").where(~F.col("id").eqNullSafe(F.col("doc"))).select("id", "vid")
+    )
+    variants = some.join(copies, ["id", "vid"], "left_anti").select("vid", "size", "group", "prefix", "bits")
+    # Groups of several variants: the head is spread for all of them.
+    several = first.groupBy("group", "size").agg(F.min("vid").alias("head"), F.count("*").alias("members")).where("members > 1")
+    several = session.materialise(several, "groups")
+    others = sent(
+        first.join(several, ["group", "size"]).where("vid <> head").select("head", F.col("vid").alias("other"))
+    )
+    heads = variants.join(others.select(F.col("other").alias("vid")), "vid", "left_anti").join(
+        sent(several.select(F.col("head").alias("vid"), "members")), "vid", "left"
+    )
+    spread = heads.select(
+        "vid", "size", F.coalesce("members", F.lit(1)).cast("int").alias("members"), F.posexplode("prefix").alias("pos", "token")
     )
-    spread = session.materialise(spread, "spread")
     shared = spread.groupBy("token").agg(F.sum("members").alias("n")).where("n > 1")
-    kept = spread.join(shared, "token").select("token", "n", "group", "size", "pos")
-    lists = session.materialise(
-        kept.join(variants.select("vid", "group", "size", "bits"), ["group", "size"]).select(
-            "token", "n", "vid", "size", "pos", "bits"
-        ),
-        "lists",
+    kept = session.materialise(spread.join(shared, "token").select("token", "n", "vid", "size", "pos", "members"), "lists")
+    expanded = (
+        kept.where("members > 1")
+        .join(others.withColumnRenamed("head", "vid"), "vid")
+        .select("token", "n", F.col("other").alias("vid"), "size", "pos")
     )
+    lists = kept.drop("members").union(expanded)
+    bits = variants.select("vid", "bits")
+
+    def search_lists(some_lists: DataFrame, leaders_only: bool) -> DataFrame:
+        found = candidate_pairs(some_lists.join(bits, "vid"), percent, leaders_only)
+        return session.materialise(found, "pairs")
 
     def verify(pairs: DataFrame) -> DataFrame:
         return verified(pairs, docs, first, id_col, text_col, n, percent)
 
-    def unmerged(edges: DataFrame) -> DataFrame:
-        """Lists with variants of several components, each row with its component."""
+    def unmerged(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Lists in which pairs across components may be left, rows with component.
+
+        A list whose variants all became leaders has had all its pairs looked at. What
+        follows a leader is the greater of a pair, as lists are searched in order.
+        """
         comp = components(edges)
-        known = lists.join(comp, F.col("vid") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "vid"))
+        followers = pairs.select(F.col("b").alias("follower")).distinct()
+        known = (
+            lists.join(comp, F.col("vid") == F.col("node"), "left")
+            .withColumn("comp", F.coalesce("comp", "vid"))
+            .join(followers, F.col("vid") == F.col("follower"), "left")
+        )
         known = session.materialise(known.drop("node"), "known")
-        open_ = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        return known.join(open_.select("token"), "token", "left_semi")
+        left = (
+            known.groupBy("token", "n")
+            .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("follower").alias("f"))
+            .where((F.col("lo") < F.col("hi")) & ((F.col("f") > 0) | (F.col("n") > LIST)))
+        )
+        return known.drop("follower").join(left.select("token"), "token", "left_semi")
 
-    edges = verify(candidate_pairs(lists.withColumn("comp", F.col("vid")), percent, leaders_only=True))
+    pairs = search_lists(lists.withColumn("comp", F.col("vid")), leaders_only=True)
+    edges = verify(pairs)
     if not lists.where(F.col("n") > LIST).isEmpty():
         # Parts of one list have leaders of their own: let those meet.
-        heads = unmerged(edges).groupBy("token", "comp").agg(
-            F.min_by(F.struct("vid", "size", "pos", "bits"), "vid").alias("r"))
+        heads = unmerged(edges, pairs).groupBy("token", "comp").agg(
+            F.min_by(F.struct("vid", "size", "pos"), "vid").alias("r"))
         size = heads.groupBy("token").agg(F.count("*").alias("n"))
-        heads = heads.select("token", "comp", "r.*").join(size, "token")
-        edges = edges.union(verify(candidate_pairs(heads, percent, leaders_only=True)))
-    edges = edges.union(verify(candidate_pairs(unmerged(edges), percent, leaders_only=False)))
+        more = search_lists(heads.select("token", "comp", "r.*").join(size, "token"), leaders_only=True)
+        edges, pairs = edges.union(verify(more)), pairs.union(more)
+    edges = edges.union(verify(search_lists(unmerged(edges, pairs), leaders_only=False)))
     comp = components(edges)
     whole = (
         first.join(comp, F.col("vid") == F.col("node"), "left")

@@ -11,8 +11,9 @@ are a list of fixed length, counted over the whole input; all others go by their
 3. Tokens of one variant only fall away. The rest is expanded to variants, and each
    token's list is searched for pairs. Size, position and signature give upper bounds
    of the overlap, so nearly all remaining pairs are links.
-4. Round one pairs each variant with one leader of its list only, so a family of copies
-   costs a line per member, not a line per pair. After verification, lists whose
+4. Round one pairs each variant with at most `LEADERS` leaders of its list, so a family
+   of copies costs a few lines per member, not a line per pair. A variant with fewer
+   possible partners is a leader itself and so meets all others of its list. After verification, lists whose
    variants are in several components give all their remaining pairs across components
    in the last round. Lists of more than `LIST` variants are cut into parts, which lead
    to one more round of leaders; the last round pairs part with part.
@@ -39,6 +40,7 @@ from posewatch.llm.components import components
 FREQUENT = 1 << 17  # greatest length of the list of frequent tokens, sent to every task (2 MB)
 RARE = 8  # tokens seen less often are not looked at for that list
 LIST = 2048  # variants of one token in one part
+LEADERS = 8  # partners after which a variant is not compared further in round one
 FLUSH = 2_000_000  # tokens counted at once in a task
 FETCH = 1_000_000  # ids of documents to verify that may be sent to every task (8 MB)
 
@@ -173,10 +175,13 @@ def search(percent: int, leaders_only: bool):
         if leaders_only:
             leaders = []
             for x in rows:
+                partners = 0
                 for y in leaders:
                     if possible(x, y):
                         yield y[0], x[0]
-                        break
+                        partners += 1
+                        if partners == LEADERS:
+                            break
                 else:
                     leaders.append(x)
         else:

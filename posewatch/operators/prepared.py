@@ -162,7 +162,7 @@ def resolve_includes(
     )
 
 
-def include_closure(roots: DataFrame, edges: DataFrame, max_depth: int = 1000) -> DataFrame:
+def include_closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """(system, path, depth) of all files reachable from the roots, each once.
 
     ``roots`` has (system, path), ``edges`` (path, target). One level is one join;
@@ -185,7 +185,9 @@ def include_closure(roots: DataFrame, edges: DataFrame, max_depth: int = 1000) -
 
     step = materialise(edges.select("path", "target").distinct(), "edges")
     level = write(roots.select(*columns).distinct(), 0)
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while not level.isEmpty():
+        depth += 1
         reached = (
             level.join(step, "path")
             .select("system", F.col("target").alias("path"))
@@ -193,9 +195,7 @@ def include_closure(roots: DataFrame, edges: DataFrame, max_depth: int = 1000) -
             .join(visited().select(*columns), columns, "left_anti")
         )
         level = write(reached, depth)
-        if level.isEmpty():
-            return visited()
-    raise RuntimeError(f"include graph is deeper than {max_depth} levels")
+    return visited()
 
 
 # --- stage settings ------------------------------------------------------

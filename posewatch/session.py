@@ -40,10 +40,15 @@ def _local_base() -> str:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``; a local one is made only where
-    the setting is absent, as in tests.
+    The folder comes from ``spark.checkpoint.dir``. Where the setting is absent, a local
+    one is made only if driver and executors are one process, as in tests.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_base()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_base()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

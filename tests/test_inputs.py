@@ -265,3 +265,10 @@ def test_utc_texts_sort_as_times(spark):
     data = spark.createDataFrame([("2026-01-01T00:00:00.500000Z",), ("2026-01-01T00:00:00Z",)], "t string")
     got = data.select(settings.utc_text(settings.parse_utc(F.col("t"))).alias("u"))
     assert rows(got, "u") == [("2026-01-01T00:00:00.000000Z",), ("2026-01-01T00:00:00.500000Z",)]
+
+
+def test_audit_looks_at_every_text(spark):
+    """The pattern's own case rules decide: a dotless i matches where they say so."""
+    files = spark.createDataFrame([("a.md", ".md", "K\u0131 = 5")], "path string, suffix string, text string")
+    found = audit.content_findings(files, audit.default_rules()).collect()
+    assert [f.category for f in found] == ["restricted_release_metadata"]

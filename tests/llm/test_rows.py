@@ -6,6 +6,7 @@ import brute
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from given import docs, odd  # noqa: F401  (fixtures)
 from tokenizers import Tokenizer
 
 from posewatch.llm import bpe, quality, queries, secret_scan

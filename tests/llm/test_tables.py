@@ -7,6 +7,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
+from given import docs, odd  # noqa: F401  (fixtures)
 from pyspark.sql import functions as F
 
 from posewatch.llm import (

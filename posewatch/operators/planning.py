@@ -152,41 +152,52 @@ def manifest_payload() -> Column:
 # --- expansion -----------------------------------------------------------
 
 
-def expand_tasks(poses: DataFrame, n_queues: int, order: str = "pose_no", cuts: Sequence[float] = ()) -> DataFrame:
+def expand_tasks(
+    poses: DataFrame, gpu_ids: str = "gpu_ids", order: str = "pose_no", cuts: Sequence[float] = ()
+) -> DataFrame:
     """One row per replica with seed, task id and round-robin queue.
 
-    ``poses`` has seeds and a unique numeric ``order`` column. The task number runs
-    over all poses of all runs in the input; it is the offset of the pose plus the
-    place of the replica.
+    ``poses`` has seeds, the list of queues of its run and a numeric ``order`` column
+    that is unique within a run. Each run numbers its tasks from 0; the number is the
+    offset of the pose in its run plus the place of the replica, and takes the queue
+    at that place of the run's list, over and over.
     """
     placed = offsets(
-        poses.withColumn("__n", F.size("seeds").cast("bigint")), order, "__n", "__first", cuts
-    )
-    kept = [c for c in poses.columns if c != "seeds"]
+        poses.withColumn("__n", F.size("seeds").cast("bigint")),
+        ["run_id"], order, "__n", "__first", cuts,
+    )
+    kept = [c for c in poses.columns if c not in ("seeds", gpu_ids)]
+    index = F.col("__first") + F.col("__i")
     return placed.select(
-        *kept, "__first", F.posexplode("seeds").alias("__i", "velocity_seed")
+        *kept, gpu_ids, "__first", F.posexplode("seeds").alias("__i", "velocity_seed")
     ).select(
         *kept,
         replica_id(F.col("__i") + 1).alias("replica_id"),
         task_id(F.col("pose_id"), replica_id(F.col("__i") + 1)).alias("task_id"),
         "velocity_seed",
-        (F.col("__first") + F.col("__i")).alias("task_index"),
-        ((F.col("__first") + F.col("__i")) % F.lit(n_queues)).cast("int").alias("assigned_gpu_id"),
+        index.alias("task_index"),
+        F.get(gpu_ids, (index % F.size(gpu_ids)).cast("int")).alias("assigned_gpu_id"),
     )
 
 
 def expand_with_generated_seeds(
-    poses: DataFrame, n_queues: int, multiplier: int, shift: int, order: str = "pose_no",
-    cuts: Sequence[float] = (),
+    poses: DataFrame, multiplier: int, shift: int, gpu_ids: str = "gpu_ids",
+    order: str = "pose_no", cuts: Sequence[float] = (),
 ) -> DataFrame:
-    """As ``expand_tasks`` for poses that name a replica count but no seeds."""
+    """As ``expand_tasks`` for poses that name a replica count but no seeds.
+
+    Seeds are unique within a run.
+    """
     places = poses.withColumn("seeds", F.sequence(F.lit(1), F.col("replicas")))
-    tasks = expand_tasks(places, n_queues, order, cuts)
+    tasks = expand_tasks(places, gpu_ids, order, cuts)
     return tasks.withColumn("velocity_seed", generated_seed(F.col("task_index"), multiplier, shift))
 
 
 def plan_tables(runs: DataFrame, tasks: DataFrame, poses: DataFrame, now: Column) -> dict[str, DataFrame]:
-    """First state of the pose, replica and task tables and their events."""
+    """First state of the pose, replica and task tables and their events.
+
+    The poses that a STATE_CREATED event lists are rows of ``event_members``.
+    """
     pose_rows = poses.select(
         "run_id",
         "pose_id",
@@ -213,7 +224,7 @@ def plan_tables(runs: DataFrame, tasks: DataFrame, poses: DataFrame, now: Column
             F.struct("pose_id", F.size("seeds").alias("replica_count"), "resolved_ntomp")
         ).alias("payload_json"),
     )
-    created = plan_totals(tasks).join(runs.select("run_id", "journal_mode"), "run_id").select(
+    created = plan_totals(tasks, runs).join(runs.select("run_id", "journal_mode"), "run_id").select(
         "run_id",
         F.lit(RUN_SCOPE).alias("pose_id"),
         F.lit("STATE").alias("category"),
@@ -228,25 +239,24 @@ def plan_tables(runs: DataFrame, tasks: DataFrame, poses: DataFrame, now: Column
         "replicas": replica_rows,
         "tasks": task_rows,
         "events": registered.unionByName(created),
+        "event_members": poses.select("run_id", F.lit("STATE_CREATED").alias("code"), "pose_id"),
     }
 
 
-def plan_totals(tasks: DataFrame) -> DataFrame:
-    """Poses, replicas and used queues per run.
+def plan_totals(tasks: DataFrame, runs: DataFrame) -> DataFrame:
+    """Poses and replicas per run, and workers: the queues that the run lists.
 
-    Distinct values are first reduced to one row each, with map-side partials, so a
-    very large run is not counted in one task.
+    Tasks are first counted per pose, with map-side partials, so a very large run is
+    not counted in one task.
     """
-    per_pose = tasks.groupBy("run_id", "pose_id").agg(
-        F.count("*").alias("replicas"),
+    counts = (
+        tasks.groupBy("run_id", "pose_id")
+        .agg(F.count("*").alias("replicas"))
+        .groupBy("run_id")
+        .agg(F.count("*").alias("poses"), F.sum("replicas").alias("replicas"))
     )
-    counts = per_pose.groupBy("run_id").agg(
-        F.count("*").alias("poses"), F.sum("replicas").alias("replicas")
-    )
-    queues = (
-        tasks.groupBy("run_id", "assigned_gpu_id").count().groupBy("run_id").agg(F.count("*").alias("workers"))
-    )
-    return counts.join(queues, "run_id").select("run_id", "poses", "replicas", "workers")
+    workers = runs.select("run_id", F.size("gpu_ids").cast("bigint").alias("workers"))
+    return counts.join(workers, "run_id").select("run_id", "poses", "replicas", "workers")
 
 
 def plan_documents(tasks: DataFrame) -> DataFrame:
@@ -265,32 +275,19 @@ def plan_documents(tasks: DataFrame) -> DataFrame:
     return tasks.select("run_id", "task_index", body.alias("task_json"))
 
 
-def checksum_maps(
-    checksums: DataFrame, key: Sequence[str] = ("run_id", "pose_id"), per_part: int = 1000
-) -> DataFrame:
-    """Input checksums of each pose as maps sorted by destination, in bounded parts.
+def checksum_maps(checksums: DataFrame, key: Sequence[str] = ("run_id", "pose_id")) -> DataFrame:
+    """Input checksums of each pose as one map sorted by destination.
 
-    A pose has a short list of inputs and so one part. Should it have very many,
-    they are spread over parts by a hash of the destination, and no map grows
-    beyond about ``per_part`` entries. External inputs have no own destination and
+    A map holds the files of one pose. External inputs have no own destination and
     stay out.
     """
     own = checksums.filter(F.col("destination") != EXTERNAL_DESTINATION)
-    parts = own.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(per_part)).alias("n_parts"))
-    return (
-        own.join(parts, list(key))
-        .withColumn("part", F.pmod(F.xxhash64("destination"), F.col("n_parts")))
-        .groupBy(*key, "n_parts", "part")
-        .agg(
-            F.map_from_entries(
-                F.array_sort(F.collect_set(F.struct("destination", "sha256")))
-            ).alias("input_checksums")
-        )
-    )
+    entries = F.array_sort(F.collect_set(F.struct("destination", "sha256")))
+    return own.groupBy(*key).agg(F.map_from_entries(entries).alias("input_checksums"))
 
 
 def pose_documents(poses: DataFrame, maps: DataFrame) -> DataFrame:
-    """Pose entries of the execution plan as JSON, one row per pose and part."""
+    """Pose entries of the execution plan as JSON, one row per pose."""
     body = F.to_json(
         F.struct(
             F.coalesce("input_checksums", F.create_map().cast("map<string,string>")).alias(
@@ -307,7 +304,7 @@ def pose_documents(poses: DataFrame, maps: DataFrame) -> DataFrame:
         {"ignoreNullFields": "false"},
     )
     return poses.join(maps, ["run_id", "pose_id"], "left").select(
-        "run_id", "pose_id", F.coalesce("part", F.lit(0)).alias("part"), body.alias("pose_json")
+        "run_id", "pose_id", body.alias("pose_json")
     )
 
 

@@ -12,7 +12,6 @@ from posewatch.operators.segments import SEGMENT, with_segment
 
 REPLICA_KEY = ["run_id", "pose_id", "replica_id"]
 POSE_KEY = ["run_id", "pose_id"]
-MAXIMA_PER_DOCUMENT = 1000
 
 
 def replica_maxima(samples: DataFrame) -> DataFrame:
@@ -49,18 +48,28 @@ def observed_maxima(samples: DataFrame) -> DataFrame:
     )
 
 
-def pose_scores(samples: DataFrame, poses: DataFrame) -> DataFrame:
+def pose_scores(
+    samples: DataFrame, poses: DataFrame, rejected: DataFrame | None = None
+) -> DataFrame:
     """Score of every pose.
 
     ``poses`` has n_replicas_requested (null: what was found) and pruned. A score
     is null unless every requested replica is there and the pose is not pruned.
+    ``rejected`` names the poses of series files that could not be read; those are
+    never complete.
     """
     found = observed_maxima(samples)
     done = F.coalesce("n_replicas_completed", F.lit(0))
     requested = F.coalesce(F.col("n_replicas_requested").cast("bigint"), done)
+    whole = F.lit(True)
+    if rejected is not None:
+        poses = poses.join(
+            rejected.select(*POSE_KEY).distinct().withColumn("__rejected", F.lit(True)), POSE_KEY, "left"
+        )
+        whole = F.col("__rejected").isNull()
     status = (
         F.when(F.col("pruned"), "PRUNED")
-        .when((done == requested) & (done > 0), "COMPLETED")
+        .when((done == requested) & (done > 0) & whole, "COMPLETED")
         .otherwise("INCOMPLETE")
     )
     violation = F.when(done == 0, "no series").when(
@@ -115,17 +124,9 @@ def rank_of(scores: DataFrame, cuts: Sequence[float] = ()) -> DataFrame:
 
 
 def score_documents(scores: DataFrame, maxima: DataFrame) -> DataFrame:
-    """Score document of each pose as JSON with its replica maxima as a list.
-
-    A pose with very many replicas gets several parts of at most
-    MAXIMA_PER_DOCUMENT replicas each, so no list grows without bound. The part is
-    read off the replica number.
-    """
-    number = F.regexp_extract("replica_id", r"(\d+)\z", 1).try_cast("bigint")
-    part = F.floor((F.coalesce(number, F.lit(1)) - 1) / F.lit(MAXIMA_PER_DOCUMENT))
+    """Score document of each pose as JSON with the maxima of all its replicas."""
     lists = (
-        maxima.withColumn("part", part)
-        .groupBy(*POSE_KEY, "part")
+        maxima.groupBy(*POSE_KEY)
         .agg(
             F.sort_array(
                 F.collect_list(
@@ -157,7 +158,7 @@ def score_documents(scores: DataFrame, maxima: DataFrame) -> DataFrame:
     )
     return (
         scores.join(lists, POSE_KEY, "left")
-        .select(*POSE_KEY, F.coalesce("part", F.lit(0)).alias("part"), body.alias("document"))
+        .select(*POSE_KEY, body.alias("document"))
     )
 
 

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_SEGMENT = 4_000_000
-MAX_SEGMENTS = 20_000
 SEGMENT = "__segment"
 
 
@@ -24,10 +23,11 @@ def plan_segments(
 ) -> list[float]:
     """Split points of a numeric order column; empty when one segment is enough.
 
-    Reads one column. The split points are plain numbers, at most MAX_SEGMENTS.
+    Reads one column. The split points are plain numbers, one for each
+    ``rows_per_segment`` rows.
     """
     rows = df.count()
-    n = min(MAX_SEGMENTS, max(at_least, -(-rows // rows_per_segment)))
+    n = max(at_least, -(-rows // rows_per_segment))
     if n <= 1:
         return []
     probabilities = [i / n for i in range(1, n)]
@@ -117,23 +117,29 @@ def numbered(
 
 
 def offsets(
-    df: DataFrame, order: str, weight: str, name: str, cuts: Sequence[float] = ()
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    weight: str,
+    name: str,
+    cuts: Sequence[float] = (),
 ) -> DataFrame:
-    """Sum of the weights of all earlier rows in one global order, from 0."""
+    """Sum of the weights of all earlier rows of the same key, from 0."""
     seg = with_segment(df, order, cuts)
-    earlier = Window.partitionBy(SEGMENT).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = (
+        Window.partitionBy(*keys, SEGMENT).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    )
     local = seg.withColumn("__inside", F.coalesce(F.sum(weight).over(earlier), F.lit(0)))
     if not cuts:
         return local.withColumn(name, F.col("__inside")).select(*df.columns, name)
-    before = Window.partitionBy(F.lit(0)).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        seg.groupBy(SEGMENT)
+        seg.groupBy(*keys, SEGMENT)
         .agg(F.sum(weight).alias("__w"))
-        .select(SEGMENT, F.coalesce(F.sum("__w").over(before), F.lit(0)).alias("__before"))
+        .select(*keys, SEGMENT, F.coalesce(F.sum("__w").over(before), F.lit(0)).alias("__before"))
     )
-    # carry has one row per segment, at most MAX_SEGMENTS rows.
     return (
-        local.join(F.broadcast(carry), SEGMENT)
+        local.join(carry, [*keys, SEGMENT])
         .withColumn(name, F.col("__inside") + F.col("__before"))
         .select(*df.columns, name)
     )

@@ -93,7 +93,7 @@ def most_stable_poses(spark, sf):
               string_agg(concat_ws('@', replica_id, CAST(round(m * 1e6) AS BIGINT),
                 CAST(round(time_ps * 1e6) AS BIGINT)), ';' ORDER BY replica_id) AS maxima
             FROM peaks GROUP BY run_id, pose_id)"""],
-        """SELECT c.run_id, c.pose_id, 0 AS part, c.status, c.n_replicas_completed, l.maxima
+        """SELECT c.run_id, c.pose_id, c.status, c.n_replicas_completed, l.maxima
            FROM scores c LEFT JOIN listed l ON c.run_id = l.run_id AND c.pose_id = l.pose_id""",
     ),
 )
@@ -119,7 +119,7 @@ def score_documents(spark, sf):
         ";",
     )
     return documents.withColumn("d", parsed).select(
-        "run_id", "pose_id", "part", "d.status", "d.n_replicas_completed", listed.alias("maxima")
+        "run_id", "pose_id", "d.status", "d.n_replicas_completed", listed.alias("maxima")
     )
 
 

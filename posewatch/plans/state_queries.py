@@ -11,7 +11,7 @@ from posewatch.operators.segments import plan_segments
 from posewatch.plans import standins as s
 from posewatch.plans.registry import query
 from posewatch.schemas import EXTERNAL_DESTINATION
-from posewatch.session import scratch_dir
+from posewatch.session import materialise, scratch_dir
 from posewatch.sources.manifest import parse_pose_manifest
 from posewatch.sources.state import (
     exported_sequences,
@@ -45,32 +45,39 @@ PLAN_POSE = {
     "pose_no": "o_orderkey",
     "replicas": "CAST(1 + o_orderkey % 4 AS INT)",
     "base_seed": "o_orderkey * 7 + 1",
+    "n_gpus": f"CAST(2 + length({s.POSE['run_id']}) % 3 AS INT)",
 }
 PLAN_SQL = [
     s.select_sql("plan", PLAN_POSE, "orders"),
     """numbered AS (SELECT run_id, pose_id, concat('replica_', lpad(CAST(i + 1 AS VARCHAR), 2, '0')) AS replica_id,
-         base_seed + i AS velocity_seed, CAST(first + i AS BIGINT) AS task_index
+         base_seed + i AS velocity_seed, CAST(first + i AS BIGINT) AS task_index,
+         2 * ((first + i) % n_gpus) + 1 AS gpu, n_gpus
        FROM (SELECT *, unnest(range(replicas)) AS i FROM
-         (SELECT run_id, pose_id, pose_no, base_seed, replicas,
-           coalesce(sum(replicas) OVER (ORDER BY pose_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+         (SELECT run_id, pose_id, pose_no, base_seed, replicas, n_gpus,
+           coalesce(sum(replicas) OVER (PARTITION BY run_id ORDER BY pose_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
           FROM plan)))""",
 ]
 
 
 def plan_poses(spark, sf):
-    return s.table(spark, sf, "orders").selectExpr(*s.exprs(PLAN_POSE))
+    """Poses in order, each with the queues of its run: 1, 3, 5, ..."""
+    poses = s.table(spark, sf, "orders").selectExpr(*s.exprs(PLAN_POSE))
+    return poses.select("*", F.expr("transform(sequence(1, n_gpus), i -> 2 * i - 1)").alias("gpu_ids"))
+
+
+def plan_runs(spark, sf):
+    return plan_poses(spark, sf).select("run_id", "gpu_ids", F.lit("WAL").alias("journal_mode")).distinct()
 
 
 def plan_cuts(spark, sf):
-    # At least a few segments, so that the global order never sits in one task.
-    return plan_segments(s.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", at_least=8)
+    return plan_segments(s.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
 
 
 def seeded_tasks(spark, sf):
     seeded = plan_poses(spark, sf).withColumn(
         "seeds", planning.base_seeds(F.col("base_seed"), F.col("replicas"))
     )
-    return planning.expand_tasks(seeded, 7, "pose_no", plan_cuts(spark, sf))
+    return planning.expand_tasks(seeded, cuts=plan_cuts(spark, sf))
 
 
 @query(
@@ -78,7 +85,7 @@ def seeded_tasks(spark, sf):
     s.with_ctes(
         PLAN_SQL,
         """SELECT run_id, pose_id, replica_id, concat(pose_id, ':', replica_id) AS task_id,
-             velocity_seed, task_index, task_index % 7 AS assigned_gpu_id FROM numbered""",
+             velocity_seed, task_index, gpu AS assigned_gpu_id FROM numbered""",
     ),
 )
 def plan_expansion(spark, sf):
@@ -92,11 +99,11 @@ def plan_expansion(spark, sf):
     s.with_ctes(
         PLAN_SQL,
         """SELECT run_id, count(DISTINCT pose_id) AS poses, count(*) AS replicas,
-             count(DISTINCT task_index % 7) AS workers FROM numbered GROUP BY run_id""",
+             any_value(n_gpus) AS workers FROM numbered GROUP BY run_id""",
     ),
 )
 def plan_totals(spark, sf):
-    return planning.plan_totals(seeded_tasks(spark, sf))
+    return planning.plan_totals(seeded_tasks(spark, sf), plan_runs(spark, sf))
 
 
 @query(
@@ -110,7 +117,7 @@ def plan_totals(spark, sf):
 )
 def generated_seeds(spark, sf):
     tasks = planning.expand_with_generated_seeds(
-        plan_poses(spark, sf), 7, 48271, 12345, "pose_no", plan_cuts(spark, sf)
+        plan_poses(spark, sf), 48271, 12345, cuts=plan_cuts(spark, sf)
     )
     return tasks.select("pose_id", "replica_id", "velocity_seed")
 
@@ -120,7 +127,7 @@ def generated_seeds(spark, sf):
     s.with_ctes(
         PLAN_SQL,
         """SELECT run_id, task_index, concat('{"eligible_for_work_stealing":true,"initial_gpu_id":',
-             task_index % 7, ',"pose_id":"', pose_id, '","replica_id":"', replica_id,
+             gpu, ',"pose_id":"', pose_id, '","replica_id":"', replica_id,
              '","resolved_ntomp":4,"task_id":"', pose_id, ':', replica_id, '","velocity_seed":',
              velocity_seed, '}') AS task_json FROM numbered""",
     ),
@@ -136,21 +143,21 @@ def execution_plan(spark, sf):
         """SELECT 'poses' AS table_name, run_id, count(DISTINCT pose_id) AS n FROM numbered GROUP BY ALL
            UNION ALL SELECT 'replicas', run_id, count(*) FROM numbered GROUP BY ALL
            UNION ALL SELECT 'tasks', run_id, count(*) FROM numbered GROUP BY ALL
-           UNION ALL SELECT 'events', run_id, count(DISTINCT pose_id) + 1 FROM numbered GROUP BY ALL""",
+           UNION ALL SELECT 'events', run_id, count(DISTINCT pose_id) + 1 FROM numbered GROUP BY ALL
+           UNION ALL SELECT 'event_members', run_id, count(DISTINCT pose_id) FROM numbered GROUP BY ALL""",
     ),
 )
 def plan_state_tables(spark, sf):
     poses = plan_poses(spark, sf).select(
-        "run_id", "pose_id", "pose_no",
+        "run_id", "pose_id", "pose_no", "gpu_ids",
         planning.base_seeds(F.col("base_seed"), F.col("replicas")).alias("seeds"),
         F.lit(False).alias("pruning_enabled"),
         F.lit(None).cast("double").alias("pruning_threshold_angstrom"),
         F.lit(4).alias("resolved_ntomp"),
     )
-    runs = s.runs(spark, sf).withColumn("journal_mode", F.lit("WAL"))
-    tables = planning.plan_tables(
-        runs, planning.expand_tasks(poses, 7, "pose_no", plan_cuts(spark, sf)), poses, now()
-    )
+    # Five tables read the expansion; it is made once.
+    tasks = materialise(planning.expand_tasks(poses, cuts=plan_cuts(spark, sf)), "plan")
+    tables = planning.plan_tables(plan_runs(spark, sf), tasks, poses, now())
     counts = [
         t.groupBy("run_id").agg(F.count("*").alias("n")).withColumn("table_name", F.lit(name))
         for name, t in tables.items()
@@ -1120,22 +1127,21 @@ def replace_artifacts(spark, sf):
 
 @query(
     "input_checksum_maps",
-    """SELECT source AS run_id, lang AS pose_id, concat('d/', doc_id) AS destination, sha256(text) AS sha256,
-         ceil(count(*) OVER (PARTITION BY source, lang) / 7) AS n_parts
+    """SELECT source AS run_id, doc_id // 4 AS pose_id, concat('d/', doc_id) AS destination, sha256(text) AS sha256
        FROM documents WHERE doc_id % 9 <> 4""",
 )
 def input_checksum_maps(spark, sf):
-    """Checksum maps of every pose in small parts, spread out again for the comparison."""
+    """Checksum map of every pose, spread out again for the comparison."""
     rows = s.table(spark, sf, "documents").select(
         F.col("source").alias("run_id"),
-        F.col("lang").alias("pose_id"),
+        F.expr("doc_id div 4").alias("pose_id"),
         F.when(F.col("doc_id") % 9 == 4, EXTERNAL_DESTINATION)
         .otherwise(F.concat(F.lit("d/"), "doc_id")).alias("destination"),
         F.sha2(F.col("text").cast("binary"), 256).alias("sha256"),
     )
-    maps = planning.checksum_maps(rows, per_part=7)
+    maps = planning.checksum_maps(rows)
     return maps.select(
-        "run_id", "pose_id", "n_parts", F.explode("input_checksums").alias("destination", "sha256")
+        "run_id", "pose_id", F.explode("input_checksums").alias("destination", "sha256")
     )
 
 

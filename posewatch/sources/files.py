@@ -2,38 +2,63 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posewatch.functions.identity import digest_valid, safe_relative_path
 
 BINARY_CELL_LIMIT = 2**31 - 1
+BLOCK = 1 << 20
 
 
 def inventory(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path, size_bytes, sha256) of a tree, relative to its root.
 
-    The digest is null for a file that does not fit a binary cell; ``too_large``
-    marks it, and its content is never read.
+    A file that does not fit a binary cell is read by its task in blocks, so its
+    digest needs no more memory than that of a small one.
     """
     base = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
         "pathGlobFilter", pattern
     ).load(root)
     prefix = "^.*?" + _quoted(root.rstrip("/")) + "/"
-    relative = F.regexp_replace("path", prefix, "")
     small = base.filter(F.col("length") <= BINARY_CELL_LIMIT).select(
-        relative.alias("path"),
-        F.col("length").alias("size_bytes"),
-        F.sha2("content", 256).alias("sha256"),
-        F.lit(False).alias("too_large"),
+        "path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256")
     )
-    large = base.filter(F.col("length") > BINARY_CELL_LIMIT).select(
-        relative.alias("path"),
-        F.col("length").alias("size_bytes"),
-        F.lit(None).cast("string").alias("sha256"),
-        F.lit(True).alias("too_large"),
+    # The scan packs files by size, so each large one is a partition of its own.
+    large = (
+        base.filter(F.col("length") > BINARY_CELL_LIMIT)
+        .select("path", "length")
+        .mapInArrow(_block_digests(BLOCK), "path string, size_bytes long, sha256 string")
     )
-    return small.unionByName(large)
+    return small.unionByName(large).withColumn("path", F.regexp_replace("path", prefix, ""))
+
+
+def _block_digests(block: int):
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            digests = []
+            for uri in batch.column(0).to_pylist():
+                if uri.startswith("file:"):
+                    store, name = LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+                else:
+                    store, name = FileSystem.from_uri(quote(uri, safe=":/"))
+                digest = hashlib.sha256()
+                with store.open_input_stream(name) as stream:
+                    while data := stream.read(block):
+                        digest.update(data)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(digests, pa.string())],
+                ["path", "size_bytes", "sha256"],
+            )
+
+    return batches
 
 
 def _quoted(value: str) -> str:

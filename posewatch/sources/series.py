@@ -17,14 +17,20 @@ BINARY_CELL_LIMIT = 2**31 - 1
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, content) of every file below a folder that fits a binary cell."""
-    return (
+    """(path, content) of every file below a folder.
+
+    The content of a file that does not fit a binary cell is null; the scan rejects
+    it as ``too_large``.
+    """
+    files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .load(path)
-        .filter(F.col("length") <= BINARY_CELL_LIMIT)
-        .select("path", "content")
+    )
+    fits = F.col("length") <= BINARY_CELL_LIMIT
+    return files.filter(fits).select("path", "content").unionByName(
+        files.filter(~fits).select("path", F.lit(None).cast("binary").alias("content"))
     )
 
 
@@ -94,7 +100,8 @@ def scan_series(files: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataFram
     first_fault = F.get(F.filter("__rows", lambda r: r["reason"].isNotNull()), F.lit(0))["reason"]
     judged = checked.withColumn(
         "file_reason",
-        F.when(~F.col("__utf8"), "not_utf8")
+        F.when(F.col("__utf8").isNull(), "too_large")
+        .when(~F.col("__utf8"), "not_utf8")
         .when(F.size("__rows") == 0, "no_samples")
         .otherwise(first_fault),
     )
@@ -109,7 +116,7 @@ def accepted(scan: DataFrame) -> DataFrame:
 
 def quarantine(scan: DataFrame) -> DataFrame:
     """Faulty lines, and one row for a file that is faulty as a whole."""
-    whole = F.col("file_reason").isin("not_utf8", "no_samples") & F.col("line_no").isNull()
+    whole = F.col("file_reason").isin("too_large", "not_utf8", "no_samples") & F.col("line_no").isNull()
     undecodable = F.col("file_reason") == "not_utf8"
     return (
         scan.filter(F.col("reason").isNotNull() | whole | undecodable)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from posewatch.functions import identity, redaction, settings
 from posewatch.operators import audit, integrity, planning, prepared
-from posewatch.sources import files, manifest
+from posewatch.sources import files, manifest, series
 from posewatch.sources import prepared as source
 
 
@@ -174,6 +174,29 @@ def test_checksum_list(spark, tmp_path):
     assert got == {"sub/b.txt": "mismatch", "../outside.txt": "unsafe_path", None: "malformed_line", "c": "invalid_digest", "gone": "missing"}
 
 
+def test_large_files_are_hashed_in_blocks(spark, tmp_path, monkeypatch):
+    (tmp_path / "a b.dat").write_bytes(b"0123456789" * 7)
+    (tmp_path / "small").write_bytes(b"0123")
+    want = rows(files.inventory(spark, str(tmp_path)), "path")
+    monkeypatch.setattr(files, "BINARY_CELL_LIMIT", 9)
+    monkeypatch.setattr(files, "BLOCK", 16)
+    assert rows(files.inventory(spark, str(tmp_path)), "path") == want
+
+
+def test_file_over_two_gigabytes(spark, tmp_path):
+    size = 2**31 + 5
+    with open(tmp_path / "big.xvg", "wb") as f:
+        f.truncate(size)
+    digest = hashlib.sha256()
+    for _ in range(size >> 20):
+        digest.update(bytes(1 << 20))
+    digest.update(bytes(size & ((1 << 20) - 1)))
+    assert rows(files.inventory(spark, str(tmp_path))) == [("big.xvg", size, digest.hexdigest())]
+    scan = series.scan_series(series.read_files(spark, str(tmp_path)))
+    assert [r.reason for r in series.quarantine(scan).collect()] == ["too_large"]
+    assert series.accepted(scan).count() == 0
+
+
 def test_digest_diff_and_sets(spark):
     schema = "pose_id string, identifier string, sha256 string"
     expected = spark.createDataFrame([("p", "a", "1"), ("p", "b", "2"), ("p", "c", "3")], schema)

@@ -1,5 +1,6 @@
 """Scores, triggers, windows that are cut into segments, and their brute-force twins."""
 
+import json
 import random
 
 import pytest
@@ -50,12 +51,21 @@ def test_first_time_wins_on_ties(spark):
     assert out.first().time_ps == 0.0
 
 
-def test_documents_are_split_into_parts(spark, monkeypatch):
-    monkeypatch.setattr(score, "MAXIMA_PER_DOCUMENT", 2)
-    data = samples(spark, [(f"replica_{i:02d}", 0.0, i / 10) for i in range(1, 6)])
-    docs = score.score_documents(score.pose_scores(data, poses(spark, ("p", 5, False, None))), score.replica_maxima(data))
-    parts = [r.document.count("replica_0") for r in docs.orderBy("part").collect()]
-    assert parts == [2, 2, 1]
+def test_document_holds_all_replicas(spark):
+    names = [f"replica_{i:02d}" for i in range(1, 1501)] + ["last"]
+    data = samples(spark, [(name, 0.0, 0.1) for name in names])
+    docs = score.score_documents(score.pose_scores(data, poses(spark, ("p", 1501, False, None))), score.replica_maxima(data))
+    (one,) = docs.collect()
+    listed = [m["replica_id"] for m in json.loads(one.document)["replica_maxima"]]
+    assert listed == sorted(names)
+
+
+def test_unreadable_series_blocks_the_score(spark):
+    data = samples(spark, [("a", 0.0, 0.1)])
+    one = poses(spark, ("p", None, False, None))
+    assert score.pose_scores(data, one).first().status == "COMPLETED"
+    row = score.pose_scores(data, one, rejected=data.select("run_id", "pose_id")).first()
+    assert (row.status, row.md_score_angstrom) == ("INCOMPLETE", None)
 
 
 def test_rank_counts_lower_scores(spark):
@@ -161,11 +171,12 @@ def test_numbering_over_cuts(hot):
 
 def test_offsets_over_cuts(hot):
     cuts = plan_segments(hot, "o", rows_per_segment=300)
-    total = 0
-    got = {r.o: r.s for r in offsets(hot, "o", "v", "s", cuts).collect()}
-    for r in sorted(hot.collect(), key=lambda r: r.o):
-        assert got[r.o] == total
-        total += r.v
+    for some in (cuts, []):
+        got = {(r.k, r.o): r.s for r in offsets(hot, ["k"], "o", "v", "s", some).collect()}
+        total = {}
+        for r in sorted(hot.collect(), key=lambda r: r.o):
+            assert got[r.k, r.o] == total.get(r.k, 0)
+            total[r.k] = total.get(r.k, 0) + r.v
 
 
 def test_failure_runs_over_cuts(hot):

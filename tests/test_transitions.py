@@ -219,10 +219,12 @@ def test_run_rollup(spark, states, final):
 def test_two_poses_of_five(spark):
     """One pose is pruned, the other completes; the run completes."""
     specs = spark.createDataFrame([("r", "a", 1, [101, 102, 103, 104, 105], True, 4.0), ("r", "b", 2, [201, 202, 203, 204, 205], False, None)],
-                                  "run_id string, pose_id string, pose_no bigint, seeds array<bigint>, pruning_enabled boolean, pruning_threshold_angstrom double")
-    plan = planning.expand_tasks(specs, 2).withColumn("resolved_ntomp", F.lit(4))
+                                  "run_id string, pose_id string, pose_no bigint, seeds array<bigint>, pruning_enabled boolean, pruning_threshold_angstrom double"
+                                  ).withColumn("gpu_ids", F.array(F.lit(0), F.lit(1)))
+    plan = planning.expand_tasks(specs).withColumn("resolved_ntomp", F.lit(4))
     assert rows(plan.select("assigned_gpu_id"), "task_index") == [(i % 2,) for i in range(10)]
-    tables = planning.plan_tables(table(spark, "runs", {"status": "RUNNING", "journal_mode": "WAL"}), plan, specs.withColumn("resolved_ntomp", F.lit(4)), now())
+    tables = planning.plan_tables(table(spark, "runs", {"status": "RUNNING", "journal_mode": "WAL"}).withColumn("gpu_ids", F.array(F.lit(0), F.lit(1))), plan, specs.withColumn("resolved_ntomp", F.lit(4)), now())
+    assert rows(tables["event_members"], "pose_id") == [("r", "STATE_CREATED", "a"), ("r", "STATE_CREATED", "b")]
     assert rows(tables["events"].groupBy("code").count(), "code") == [("POSE_REGISTERED", 2), ("STATE_CREATED", 1)]
     status = {"replica_01": "PRUNED", "replica_02": "INTERRUPTED"}
     final = tables["replicas"].withColumn("max_rmsd_angstrom", F.lit(2.0)).withColumn(
@@ -234,6 +236,17 @@ def test_two_poses_of_five(spark):
     assert tr.run_rollup(rolled).first().final_status == "COMPLETED"
 
 
+def test_each_run_starts_at_its_first_queue(spark):
+    specs = spark.createDataFrame([("r", "a", 1, [1, 2, 3], [4, 7]), ("q", "b", 2, [4, 5, 6, 7], [9, 8, 5]), ("r", "c", 3, [8, 9], [4, 7])],
+                                  "run_id string, pose_id string, pose_no bigint, seeds array<bigint>, gpu_ids array<int>")
+    for cuts in ([], [2.0, 3.0]):
+        plan = planning.expand_tasks(specs, cuts=cuts)
+        assert rows(plan.select("run_id", "task_index", "assigned_gpu_id"), "run_id", "task_index") == [
+            *[("q", i, g) for i, g in enumerate([9, 8, 5, 9])], *[("r", i, g) for i, g in enumerate([4, 7, 4, 7, 4])]]
+        totals = planning.plan_totals(plan, specs.select("run_id", "gpu_ids").distinct())
+        assert rows(totals, "run_id") == [("q", 1, 4, 3), ("r", 2, 5, 2)]
+
+
 def test_seeds(spark):
     one = spark.range(1)
     assert one.select(planning.base_seeds(F.lit(2026073001), F.lit(5))).first()[0] == [2026073001 + i for i in range(5)]

@@ -13,10 +13,23 @@ from posewatch.session import scratch_dir
 from posewatch.streaming import monitor
 
 
+PARTS = 4
+
+
 def event_stream(spark, sf):
-    path = f"{sf}/events.parquet"
-    # The pattern stands for a table folder as well as for a table in one file.
-    return monitor.parquet_stream(spark, path[:-1] + "?", spark.read.parquet(path).schema)
+    """The events as at least four micro-batches, in the order of their id.
+
+    The parts are written one after the other, so later ids lie in later files.
+    """
+    events = s.table(spark, sf, "events")
+    path = scratch_dir(spark, "arriving")
+    lo, hi = events.agg(F.min("event_id"), F.max("event_id")).first()
+    step = ((hi or 0) - (lo or 0)) // PARTS + 1
+    part = F.coalesce((F.col("event_id") - F.lit(lo or 0)) / step, F.lit(0)).cast("int")
+    for k in range(PARTS):
+        events.filter(part == k).write.mode("append").parquet(path)
+    arrived = spark.read.schema(events.schema).parquet(path)
+    return monitor.parquet_stream(spark, path, events.schema, max(1, len(arrived.inputFiles()) // PARTS))
 
 
 def sample_stream(spark, sf):
@@ -65,6 +78,25 @@ def stream_trigger(spark, sf):
     return monitor.latest(log, ["run_id", "pose_id"])
 
 
+@query(
+    "stream_pruning_events",
+    s.with_ctes(
+        [*BASE, CROSSED_SQL],
+        """SELECT run_id, pose_id, 1 AS n_pruned, count(DISTINCT replica_id) AS n_reports,
+             max(replica_id) AS last_replica FROM crossed GROUP BY run_id, pose_id""",
+    ),
+)
+def stream_pruning_events(spark, sf):
+    """Every crossing replica gives one event, the first of a pose prunes it."""
+    reports = monitor.replica_triggers(sample_stream(spark, sf), s.sample_poses(spark, sf))
+    events = monitor.pruning_events(monitor.run_changelog(reports))
+    return events.groupBy("run_id", "pose_id").agg(
+        F.count_if(F.col("code") == "POSE_PRUNED").alias("n_pruned"),
+        F.count("*").alias("n_reports"),
+        F.max("trigger_replica_id").alias("last_replica"),
+    )
+
+
 @query("stream_catch_up", s.with_ctes([*BASE, CROSSED_SQL], TRIGGER_SQL))
 def stream_catch_up(spark, sf):
     """The stream sees two thirds of the samples; the rest is scanned afterwards."""

@@ -152,14 +152,31 @@ def triggers(samples: DataFrame, poses: DataFrame) -> DataFrame:
     return pruning.canonical_trigger(pruning.crossings(samples, poses))
 
 
-def pruning_events(trigger_log: DataFrame) -> DataFrame:
-    """POSE_PRUNED for the first row of a pose in the changelog, then OBSERVED rows."""
-    first = trigger_log.groupBy(*POSE_KEY).agg(F.min(BATCH).alias("__first"))
-    return trigger_log.join(first, POSE_KEY).select(
+def replica_triggers(samples: DataFrame, poses: DataFrame) -> DataFrame:
+    """First crossing per replica, which is what a replica reports."""
+    return pruning.first_crossing(pruning.crossings(samples, poses))
+
+
+def pruning_events(reports: DataFrame) -> DataFrame:
+    """One event per reporting replica from the changelog of ``replica_triggers``.
+
+    The first report of a pose is POSE_PRUNED, those of its other replicas are
+    PRUNING_TRIGGER_OBSERVED. Reports of one batch count by (time, replica). A replica
+    reports once, with what it had found when it first did.
+    """
+    own = reports.groupBy(*REPLICA_KEY).agg(
+        F.min(BATCH).alias("__batch_no"),
+        F.min_by(F.struct("time_ps", "rmsd_angstrom"), BATCH).alias("r"),
+    )
+    opening = own.groupBy(*POSE_KEY).agg(
+        F.min(F.struct("__batch_no", "r.time_ps", "replica_id")).alias("o")
+    )
+    return own.join(opening, POSE_KEY).select(
         *POSE_KEY,
-        "trigger_simulation_time_ps",
-        "trigger_replica_id",
-        F.when(F.col(BATCH) == F.col("__first"), "POSE_PRUNED")
+        F.col("r.time_ps").alias("trigger_simulation_time_ps"),
+        F.col("replica_id").alias("trigger_replica_id"),
+        F.col("r.rmsd_angstrom").alias("trigger_observed_rmsd_angstrom"),
+        F.when(F.col("replica_id") == F.col("o.replica_id"), "POSE_PRUNED")
         .otherwise("PRUNING_TRIGGER_OBSERVED")
         .alias("code"),
     )

@@ -43,7 +43,7 @@ def test_overlapping_snapshots(spark, tmp_path):
     state = monitor.latest(monitor.run_changelog(monitor.replica_state(stream(spark, path, SAMPLE))), REPLICA_KEY)
     row = state.first()
     assert row.latest_time_ps == 20.0 and row.maximum_rmsd_angstrom == pytest.approx(4.1)
-    triggers = monitor.run_changelog(monitor.triggers(stream(spark, path, SAMPLE), poses))
+    triggers = monitor.run_changelog(monitor.replica_triggers(stream(spark, path, SAMPLE), poses))
     assert [(r.trigger_simulation_time_ps, r.code) for r in monitor.pruning_events(triggers).collect()] == [(20.0, "POSE_PRUNED")]
 
 
@@ -51,12 +51,23 @@ def test_trigger_moves_earlier(spark, tmp_path):
     path = land(spark, tmp_path, SAMPLE, [("r", "p", "r01", 30.0, 0.5)], [("r", "p", "r02", 20.0, 0.45)])
     poses = spark.createDataFrame([("r", "p", 4.0)], POSE)
     log = monitor.run_changelog(monitor.triggers(stream(spark, path, SAMPLE), poses))
-    assert rows(monitor.pruning_events(log).select("code", "trigger_replica_id"), "code") == [
+    reports = monitor.run_changelog(monitor.replica_triggers(stream(spark, path, SAMPLE), poses))
+    assert rows(monitor.pruning_events(reports).select("code", "trigger_replica_id"), "code") == [
         ("POSE_PRUNED", "r01"), ("PRUNING_TRIGGER_OBSERVED", "r02")]
     row = monitor.latest(log, ["run_id", "pose_id"]).first()
     assert (row.trigger_replica_id, row.max_crossing_angstrom) == ("r02", 5.0)
 
 
+def test_every_replica_reports_once(spark, tmp_path):
+    """Three replicas cross in one batch and cross again in the next."""
+    first = [("r", "p", f"r0{i}", 30.0 - i, 0.5) for i in (1, 2, 3)]
+    path = land(spark, tmp_path, SAMPLE, first, [(*x[:3], 40.0, 0.6) for x in first])
+    poses = spark.createDataFrame([("r", "p", 4.0)], POSE)
+    reports = monitor.run_changelog(monitor.replica_triggers(stream(spark, path, SAMPLE), poses))
+    got = rows(monitor.pruning_events(reports).select("trigger_replica_id", "trigger_simulation_time_ps", "code"), "trigger_replica_id")
+    assert got == [("r01", 29.0, "PRUNING_TRIGGER_OBSERVED"), ("r02", 28.0, "PRUNING_TRIGGER_OBSERVED"), ("r03", 27.0, "POSE_PRUNED")]
+
+
 def test_random_splits_equal_batch(spark, tmp_path):
     rng = random.Random(5)
     data = [("r", f"p{i % 3}", f"r{i % 7 % 4}", float(i), rng.randint(0, 600) / 1000) for i in range(400)]

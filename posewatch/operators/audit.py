@@ -21,11 +21,16 @@ class Rule:
     detail: str
     pattern: str
     literal: bool = False
+    or_literal: str | None = None  # matches too
     show_match: bool = False
     suffixes: tuple[str, ...] | None = None
 
 
 # Suffix classes and patterns of the publication policy.
+TEXT_SUFFIXES = (
+    "", ".cff", ".csv", ".gro", ".ini", ".itp", ".json", ".jsonl", ".md", ".mdp", ".ndx", ".py",
+    ".pdbqt", ".rst", ".toml", ".top", ".txt", ".yaml", ".yml",
+)
 METADATA_SUFFIXES = (".cff", ".csv", ".json", ".md", ".toml", ".txt", ".yaml", ".yml")
 FORBIDDEN_SUFFIXES = (
     ".cpt", ".dcd", ".edr", ".gz", ".nc", ".tar", ".tpr", ".trr", ".tgz", ".xtc", ".zip",
@@ -59,24 +64,29 @@ def default_rules(forbidden: Sequence[str] = (), private: Sequence[str] = PRIVAT
     rules += [Rule("private_path_or_identity", p, p, literal=True) for p in private]
     rules += [
         Rule("email_address", "email-like value", EMAIL),
-        Rule("secret", "private key header", PRIVATE_KEY, literal=True),
-        Rule("secret", "credential-like value", CREDENTIAL),
+        Rule("secret", "credential-like value", CREDENTIAL, or_literal=PRIVATE_KEY),
         Rule("forbidden_feature_or_execution", "shell execution enabled", SHELL, suffixes=(".py",)),
     ]
     return rules
 
 
-def content_findings(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(path, category, detail), one row per file and rule that matches.
+def content_findings(
+    files: DataFrame, rules: Sequence[Rule], text_suffixes: Sequence[str] = TEXT_SUFFIXES
+) -> DataFrame:
+    """(path, category, detail), one row per text file and rule that matches.
 
     The short rule list becomes one projection over the text: each text is read
-    once, no join and no shuffle. ``files`` has (path, suffix, text).
+    once, no join and no shuffle. ``files`` has (path, suffix, text); files with
+    other suffixes are not text and have no content findings.
     """
+    files = files.filter(F.col("suffix").isin(*text_suffixes))
     findings = []
     for rule in rules:
         hit = (
             F.col("text").contains(rule.pattern) if rule.literal else F.col("text").rlike(rule.pattern)
         )
+        if rule.or_literal is not None:
+            hit = F.col("text").contains(rule.or_literal) | hit
         if rule.suffixes is not None:
             hit = F.col("suffix").isin(*rule.suffixes) & hit
         detail: Column = F.lit(rule.detail)

@@ -198,7 +198,8 @@ DOC_TEXT = (
 SUFFIX_SQL = "CASE doc_id % 5 WHEN 0 THEN '.md' WHEN 1 THEN '.py' WHEN 2 THEN '.txt' WHEN 3 THEN '.gz' ELSE '' END"
 CONTENT_SQL = [
     f"docs AS (SELECT doc_id, {DOC_PATH} AS path, {SUFFIX_SQL} AS suffix, {DOC_TEXT} AS text FROM documents)",
-    "meta AS (SELECT * FROM docs WHERE suffix IN ('.md', '.txt'))",
+    f"texts AS (SELECT * FROM docs WHERE suffix IN {audit.TEXT_SUFFIXES})",
+    "meta AS (SELECT * FROM texts WHERE suffix IN ('.md', '.txt'))",
     r"""found AS (
       SELECT path, 'restricted_release_metadata' AS category, concat('activity_database: ',
           regexp_extract(text, '(?i)\b(?:PDBbind|ChEMBL|PubChem)\b')) AS detail FROM meta
@@ -211,13 +212,12 @@ CONTENT_SQL = [
           WHERE regexp_matches(text, '(?i)\blabel\s*[:=]\s*(?:active|inactive)\b')
       UNION ALL SELECT path, 'restricted_release_metadata', concat('activity_threshold_label: ',
           regexp_extract(text, '(?i)\b(?:1|10)[- ]?um\b')) FROM meta WHERE regexp_matches(text, '(?i)\b(?:1|10)[- ]?um\b')
-      UNION ALL SELECT path, 'private_path_or_identity', '/home/' FROM docs WHERE contains(text, '/home/')
-      UNION ALL SELECT path, 'email_address', 'email-like value' FROM docs
+      UNION ALL SELECT path, 'private_path_or_identity', '/home/' FROM texts WHERE contains(text, '/home/')
+      UNION ALL SELECT path, 'email_address', 'email-like value' FROM texts
           WHERE regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_A-Z0-9._%+-])[A-Z0-9._%+-]*[A-Z0-9_][A-Z0-9._%+-]*@[A-Z0-9.-]+\.[A-Z]{2,}(?:$|[^\p{L}\p{N}_])')
-      UNION ALL SELECT path, 'secret', 'private key header' FROM docs WHERE contains(text, '-----BEGIN PRIVATE KEY-----')
-      UNION ALL SELECT path, 'secret', 'credential-like value' FROM docs
-          WHERE regexp_matches(text, '\b(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{30,})\b')
-      UNION ALL SELECT path, 'forbidden_feature_or_execution', 'shell execution enabled' FROM docs
+      UNION ALL SELECT path, 'secret', 'credential-like value' FROM texts
+          WHERE contains(text, '-----BEGIN PRIVATE KEY-----') OR regexp_matches(text, '\b(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{30,})\b')
+      UNION ALL SELECT path, 'forbidden_feature_or_execution', 'shell execution enabled' FROM texts
           WHERE suffix = '.py' AND regexp_matches(text, '\bshell\s*=\s*True\b'))""",
 ]
 

@@ -263,7 +263,7 @@ def test_audit(spark):
         "path string, suffix string, text string")
     got = {(r.path, r.detail) for r in audit.content_findings(docs, audit.default_rules(forbidden=["secret-name"])).collect()}
     assert got == {("a.md", "activity_measure: Kd"), ("a.md", "activity_threshold_label: 10 uM"), ("a.md", "activity_label: label = active"), ("a.md", "email-like value"),
-                   ("b.py", "shell execution enabled"), ("d", "private key header"), ("e", "credential-like value"), ("f", "/home/"), ("f", "secret-name")}
+                   ("b.py", "shell execution enabled"), ("d", "credential-like value"), ("e", "credential-like value"), ("f", "/home/"), ("f", "secret-name")}
     paths = spark.createDataFrame([("../x.gz", 1), ("notes/a", 30 * 2**20), ("ok.md", 1)], "path string, size_bytes bigint")
     kinds = {(r.path, r.category) for r in audit.path_findings(paths, prefixes=["notes/"]).collect()}
     assert kinds == {("../x.gz", "unsafe_member_path"), ("../x.gz", "forbidden_extension"), ("notes/a", "large_file"), ("notes/a", "private_or_out_of_scope_path")}

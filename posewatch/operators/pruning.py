@@ -77,9 +77,11 @@ def precondition_violations(samples: DataFrame, poses: DataFrame) -> DataFrame:
     return bad_limit.unionByName(bad_sample.select(*REPLICA_KEY, "reason"))
 
 
-def observation_summary(samples: DataFrame, poses: DataFrame) -> DataFrame:
+def observation_summary(samples: DataFrame, poses: DataFrame, replicas: DataFrame) -> DataFrame:
     """Per replica: samples, latest time, maximum in both units, crossing seen.
 
+    A replica without samples has none observed, time zero and no maximum.
+
     Overlapping snapshots repeat a simulation time, so rows are first reduced to
     one per time; that step carries map-side partials. A replica has crossed when
     its maximum has, so thresholds are joined to replicas and not to samples.
@@ -87,15 +89,16 @@ def observation_summary(samples: DataFrame, poses: DataFrame) -> DataFrame:
     per_time = samples.groupBy(*REPLICA_KEY, "time_ps").agg(F.max("rmsd_nm").alias("rmsd_nm"))
     summary = per_time.groupBy(*REPLICA_KEY).agg(
         F.count("*").alias("samples_observed"),
-        F.coalesce(F.max("time_ps"), F.lit(0.0)).alias("latest_time_ps"),
+        F.max("time_ps").alias("latest_time_ps"),
         F.max("rmsd_nm").alias("maximum_rmsd_nm"),
     )
     limits = poses.select(*POSE_KEY, "pruning_threshold_angstrom")
     top = nm_to_angstrom(F.col("maximum_rmsd_nm"))
-    return summary.join(limits, POSE_KEY, "left").select(
+    known = replicas.select(*REPLICA_KEY).join(summary, REPLICA_KEY, "left")
+    return known.join(limits, POSE_KEY, "left").select(
         *REPLICA_KEY,
-        "samples_observed",
-        "latest_time_ps",
+        F.coalesce("samples_observed", F.lit(0)).alias("samples_observed"),
+        F.coalesce("latest_time_ps", F.lit(0.0)).alias("latest_time_ps"),
         "maximum_rmsd_nm",
         top.alias("maximum_rmsd_angstrom"),
         F.coalesce(top > F.col("pruning_threshold_angstrom"), F.lit(False)).alias("triggered_pruning"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from posewatch.schemas import POSE_STATUSES, PROCESS_STATES, TASK_STATUSES
+from posewatch.schemas import EVENT_CATEGORIES, POSE_STATUSES, PROCESS_STATES, RUN_STATUSES, TASK_STATUSES
 
 
 def duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -71,3 +71,11 @@ def pose_rules() -> dict[str, Column]:
         "score without completion": (F.col("status") != "COMPLETED")
         & F.col("md_score_angstrom").isNotNull(),
     }
+
+
+def run_rules() -> dict[str, Column]:
+    return {"unknown status": ~F.col("status").isin(*RUN_STATUSES)}
+
+
+def event_rules() -> dict[str, Column]:
+    return {"unknown category": ~F.col("category").isin(*EVENT_CATEGORIES)}

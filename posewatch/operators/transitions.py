@@ -48,6 +48,7 @@ def _event(keys, category: str, code: Column | str, payload: Column) -> list[Col
 
 
 def _payload(*fields) -> Column:
+    """JSON object; the fields are given in the order of their names, as the contract sorts keys."""
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
@@ -167,6 +168,13 @@ def apply_pruning(
         {"triggered_pruning": True},
     ).select(*replicas.columns)
 
+    def trigger(of: str, name: str) -> Column:
+        return F.struct(
+            F.col(f"{of}rmsd_angstrom").alias("observed_rmsd_angstrom"),
+            F.col(f"{of}replica_id").alias("replica_id"),
+            F.col(f"{of}time_ps").alias("simulation_time_ps"),
+        ).alias(name)
+
     opening = F.col("first_transition") & (F.col("replica_id") == F.col("reported.replica_id"))
     events = good.join(verdicts, POSE_KEY).select(
         *_event(
@@ -174,8 +182,8 @@ def apply_pruning(
             "PRUNING",
             F.when(opening, "POSE_PRUNED").otherwise("PRUNING_TRIGGER_OBSERVED"),
             _payload(
-                "canonical",
-                F.struct("time_ps", "replica_id", "rmsd_angstrom").alias("observed"),
+                trigger("canonical.", "canonical_trigger"),
+                trigger("", "observed_trigger"),
                 "pose_id",
             ),
         )
@@ -533,14 +541,16 @@ def reconcile_resume(
     durable = decisions.join(blocked, "run_id", "left_anti").filter(
         F.col("outcome").isin("DURABLE_EXITED_INTERRUPTED", "DURABLE_EXITED_FAILED")
     )
+    exit_failed = F.col("outcome") == "DURABLE_EXITED_FAILED"
+    command = ["process_step_id", F.col("process_returncode").alias("returncode"), "task_id"]
     events = durable.select(
         *_event(
             POSE_KEY,
             "STATE",
-            F.when(F.col("outcome") == "DURABLE_EXITED_FAILED", "DURABLE_COMMAND_EXIT_FAILED")
+            F.when(exit_failed, "DURABLE_COMMAND_EXIT_FAILED")
             .otherwise("DURABLE_COMMAND_EXIT_INTERRUPTED"),
-            _payload("evidence", "process_step_id", "reason",
-                     F.col("process_returncode").alias("returncode"), "task_id"),
+            F.when(exit_failed, _payload(command[0], "reason", *command[1:]))
+            .otherwise(_payload(F.col("evidence").alias("cooperative_evidence"), *command)),
         )
     )
     stale = (
@@ -560,9 +570,17 @@ def reconcile_resume(
     events = events.unionByName(resumed)
     if retry_events is not None:
         events = events.unionByName(retry_events)
+    # How each running task was recovered; the role is its outcome.
+    members = decisions.join(blocked, "run_id", "left_anti").select(
+        "run_id",
+        F.lit(RUN_SCOPE).alias("pose_id"),
+        F.lit("RUN_RESUMED").alias("code"),
+        F.col("outcome").alias("role"),
+        F.col("task_id").alias("member"),
+    )
     return {
         "runs": new_runs, "poses": new_poses, "replicas": new_replicas, "tasks": new_tasks,
-        "events": events, "decisions": decisions, "refused": refused,
+        "events": events, "event_members": members, "decisions": decisions, "refused": refused,
     }
 
 

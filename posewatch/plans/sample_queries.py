@@ -388,17 +388,20 @@ def canonical_trigger(spark, sf):
     )
 
 
-OBSERVED_SQL = """SELECT x.run_id, x.pose_id, x.replica_id,
-  count(DISTINCT x.time_ps) AS samples_observed, max(x.time_ps) AS latest_time_ps,
+OBSERVED_SQL = """SELECT r.run_id, r.pose_id, r.replica_id,
+  count(DISTINCT x.time_ps) AS samples_observed, coalesce(max(x.time_ps), 0) AS latest_time_ps,
   max(x.rmsd_nm) AS maximum_rmsd_nm, max(x.rmsd_nm) * 10 AS maximum_rmsd_angstrom,
   coalesce(bool_or(x.rmsd_nm * 10 > p.pruning_threshold_angstrom), false) AS triggered_pruning
-FROM samples x JOIN sample_poses p ON x.run_id = p.run_id AND x.pose_id = p.pose_id
-GROUP BY x.run_id, x.pose_id, x.replica_id"""
+FROM sample_replicas r JOIN sample_poses p ON r.run_id = p.run_id AND r.pose_id = p.pose_id
+LEFT JOIN samples x ON x.run_id = r.run_id AND x.pose_id = r.pose_id AND x.replica_id = r.replica_id
+GROUP BY r.run_id, r.pose_id, r.replica_id"""
 
 
-@query("observation_summary", s.with_ctes(BASE, OBSERVED_SQL))
+@query("observation_summary", s.with_ctes([*BASE, s.SAMPLE_REPLICAS_SQL], OBSERVED_SQL))
 def observation_summary(spark, sf):
-    return pruning.observation_summary(s.samples(spark, sf), s.sample_poses(spark, sf))
+    return pruning.observation_summary(
+        s.samples(spark, sf), s.sample_poses(spark, sf), s.sample_replicas(spark, sf)
+    )
 
 
 FAILURES_SQL = """WITH marked AS (SELECT user_id, event_id, event_type = 'error' AS failed,

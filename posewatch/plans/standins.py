@@ -64,6 +64,17 @@ def sample_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.selectExpr(*exprs(SAMPLE_POSE))
 
 
+# Every pose has one replica more than the samples show.
+SAMPLE_REPLICAS_SQL = """sample_replicas AS (SELECT DISTINCT run_id, pose_id, replica_id FROM samples
+  UNION ALL SELECT run_id, pose_id, 'not started' FROM sample_poses)"""
+
+
+def sample_replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = samples(spark, sf_dir).select("run_id", "pose_id", "replica_id").distinct()
+    waiting = sample_poses(spark, sf_dir).select("run_id", "pose_id", F.lit("not started").alias("replica_id"))
+    return seen.unionByName(waiting)
+
+
 # --- state tables from orders and lineitem -------------------------------
 
 

@@ -499,14 +499,32 @@ def apply_pruning_replicas(spark, sf):
     s.with_ctes(
         PRUNE_SQL,
         """SELECT g.run_id, g.pose_id, CASE WHEN opens AND g.replica_id = reporter THEN 'POSE_PRUNED'
-             ELSE 'PRUNING_TRIGGER_OBSERVED' END AS code, g.replica_id AS observed_replica
+             ELSE 'PRUNING_TRIGGER_OBSERVED' END AS code, g.replica_id AS observed_replica,
+             g.time_ps AS observed_time, g.rmsd_angstrom AS observed_rmsd,
+             CASE WHEN newer THEN r ELSE trigger_replica_id END AS canonical_replica,
+             CASE WHEN newer THEN t ELSE trigger_simulation_time_ps END AS canonical_time,
+             CASE WHEN newer THEN v ELSE trigger_observed_rmsd_angstrom END AS canonical_rmsd,
+             'canonical_trigger,observed_trigger,pose_id' AS payload_keys,
+             'observed_rmsd_angstrom,replica_id,simulation_time_ps' AS trigger_keys
            FROM good g JOIN pruned p ON g.run_id = p.run_id AND g.pose_id = p.pose_id""",
     ),
 )
 def pruning_events(spark, sf):
+    def field(path: str):
+        return F.get_json_object("payload_json", f"$.{path}")
+
+    def fields(prefix: str) -> list:
+        trigger = f"{prefix}_trigger"
+        return [
+            field(f"{trigger}.replica_id").alias(f"{prefix}_replica"),
+            field(f"{trigger}.simulation_time_ps").cast("double").alias(f"{prefix}_time"),
+            field(f"{trigger}.observed_rmsd_angstrom").cast("double").alias(f"{prefix}_rmsd"),
+        ]
+
     return pruned_tables(spark, sf)["events"].select(
-        "run_id", "pose_id", "code",
-        F.get_json_object("payload_json", "$.observed.replica_id").alias("observed_replica"),
+        "run_id", "pose_id", "code", *fields("observed"), *fields("canonical"),
+        F.concat_ws(",", F.json_object_keys("payload_json")).alias("payload_keys"),
+        F.concat_ws(",", F.json_object_keys(field("observed_trigger"))).alias("trigger_keys"),
     )
 
 
@@ -1234,7 +1252,7 @@ def state_orphans(spark, sf):
     ),
 )
 def lifecycle_violations(spark, sf):
-    _, poses, _, tasks = state(spark, sf)
-    return quality.violations(tasks, "tasks", F.col("task_id"), quality.task_rules()).unionByName(
-        quality.violations(poses, "poses", F.col("pose_id"), quality.pose_rules())
-    )
+    runs, poses, _, tasks = state(spark, sf)
+    found = quality.violations(tasks, "tasks", F.col("task_id"), quality.task_rules())
+    found = found.unionByName(quality.violations(poses, "poses", F.col("pose_id"), quality.pose_rules()))
+    return found.unionByName(quality.violations(runs, "runs", F.col("run_id"), quality.run_rules()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Columns, types and column order of the tables of the data contract.
 RMSD_SAMPLES = (
     "run_id string, pose_id string, replica_id string, source string, "
     "line_no int, time_ps double, rmsd_nm double"
@@ -10,7 +11,7 @@ RMSD_SAMPLES = (
 RUNS = (
     "run_id string, status string, config_sha256 string, pose_manifest_sha256 string, "
     "input_manifest_sha256 string, journal_mode string, stop_requested boolean, "
-    "resume_count int, created_at timestamp, updated_at timestamp"
+    "created_at timestamp, updated_at timestamp, resume_count int"
 )
 
 POSES = (
@@ -31,8 +32,8 @@ REPLICAS = (
 TASKS = (
     "task_id string, run_id string, pose_id string, replica_id string, status string, "
     "assigned_gpu_id int, resolved_ntomp int, claimed_by string, claim_token string, "
-    "claimed_at timestamp, heartbeat_at timestamp, attempt_count int, "
-    "stop_requested boolean, last_error string, process_pid int, "
+    "claimed_at timestamp, heartbeat_at timestamp, stop_requested boolean, "
+    "attempt_count int, last_error string, process_pid int, "
     "process_start_token string, process_state string, process_returncode int, "
     "process_finished_at timestamp, process_step_id string, heartbeat_write_count int"
 )

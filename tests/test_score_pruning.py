@@ -101,7 +101,9 @@ def test_thousand_samples_one_crossing(spark):
 
 def test_observation_of_overlapping_snapshots(spark):
     data = samples(spark, [("a", 0.0, 0.1), ("a", 10.0, 0.3), ("a", 0.0, 0.1), ("a", 10.0, 0.3), ("a", 20.0, 0.41)])
-    row = pruning.observation_summary(data, poses(spark, ("p", 1, False, 4.0))).first()
+    known = spark.createDataFrame([("r", "p", "a"), ("r", "p", "b")], "run_id string, pose_id string, replica_id string")
+    row, idle = pruning.observation_summary(data, poses(spark, ("p", 1, False, 4.0)), known).orderBy("replica_id").collect()
+    assert (idle.samples_observed, idle.latest_time_ps, idle.maximum_rmsd_nm, idle.triggered_pruning) == (0, 0.0, None, False)
     assert (row.samples_observed, row.latest_time_ps, row.triggered_pruning) == (3, 20.0, True)
     assert row.maximum_rmsd_angstrom == pytest.approx(4.1)
 

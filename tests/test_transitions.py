@@ -63,6 +63,10 @@ def test_two_triggers_give_one_pruned_event(spark):
     pose = out["poses"].first()
     assert (pose.trigger_simulation_time_ps, pose.trigger_replica_id, pose.observed_max_rmsd_angstrom) == (20.0, "r02", 5.0)
     assert rows(out["events"].select("code"), "code") == [("POSE_PRUNED",), ("PRUNING_TRIGGER_OBSERVED",)]
+    canonical = '{"observed_rmsd_angstrom":4.5,"replica_id":"r02","simulation_time_ps":20.0}'
+    observed = '{"observed_rmsd_angstrom":5.0,"replica_id":"r01","simulation_time_ps":30.0}'
+    assert out["events"].filter("code <> 'POSE_PRUNED'").first().payload_json == (
+        f'{{"canonical_trigger":{canonical},"observed_trigger":{observed},"pose_id":"p"}}')
 
 
 @pytest.mark.parametrize("pose, reason", [
@@ -109,6 +113,10 @@ def test_durable_failure_stays_failed_until_retried(spark):
     assert row.status == "FAILED" and row.process_returncode == 1
     assert row.last_error == "step exited with code 1 without durable cooperative cancellation evidence"
     assert out["replicas"].first().exit_code == 1
+    assert out["events"].filter("code = 'DURABLE_COMMAND_EXIT_FAILED'").first().payload_json == (
+        '{"process_step_id":"step","reason":"step exited with code 1 without durable cooperative cancellation evidence",'
+        '"returncode":1,"task_id":"p:r01"}')
+    assert rows(out["event_members"].select("code", "role", "member")) == [("RUN_RESUMED", "DURABLE_EXITED_FAILED", "p:r01")]
     again = resume(spark, [exited(1, 1)], retry=True)
     assert again["tasks"].first().status == "PENDING"
     assert {r.code for r in again["events"].collect()} == {"DURABLE_COMMAND_EXIT_FAILED", "FAILED_TASK_REQUEUED", "RUN_RESUMED"}

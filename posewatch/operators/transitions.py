@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posewatch.operators.score import POSE_KEY, REPLICA_KEY
+from posewatch.operators.segments import numbered
 from posewatch.schemas import FINISH_STATUSES, PROCESS_STATES, RUN_SCOPE
 from posewatch.session import materialise
 
@@ -52,6 +53,32 @@ def _payload(*fields) -> Column:
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
+# An order for the events of one step, which all have the same time, cut into equal parts.
+SLOTS = 1 << 20
+SLOT_CUTS = tuple(float(k * SLOTS // 64) for k in range(1, 64))
+
+
+def append_events(events: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
+    """Rows of the event table for the events of one step.
+
+    The numbers of a run go on after its greatest stored one, without gaps. A run with
+    very many events is numbered in parts, as its events share one time.
+    """
+    slot = F.pmod(F.xxhash64("pose_id", "code", "payload_json"), F.lit(SLOTS))
+    rows = numbered(
+        events.withColumn("__slot", slot),
+        ["run_id"],
+        ["__slot", "pose_id", "code", "payload_json"],
+        "sequence",
+        SLOT_CUTS,
+    )
+    last = stored.groupBy("run_id").agg(F.max("sequence").alias("__last"))
+    return rows.join(last, "run_id", "left").select(
+        (F.col("sequence") + F.coalesce("__last", F.lit(0))).alias("sequence"),
+        "run_id", "pose_id", now.alias("ts"), "category", "code", "payload_json",
+    )
+
+
 # --- pruning -------------------------------------------------------------
 
 
@@ -394,6 +421,7 @@ def resume_decisions(runs: DataFrame, poses: DataFrame, tasks: DataFrame) -> Dat
     pid, token = F.col("process_pid"), F.col("process_start_token")
     code, ended = F.col("process_returncode"), F.col("process_finished_at")
     exited = state == "EXITED"
+    # Texts stored in the tables.
     evidence = (
         F.when(F.col("stop_requested"), F.coalesce(F.nullif("last_error", F.lit("")),
                                                    F.lit("persisted task stop intent")))
@@ -418,6 +446,7 @@ def resume_decisions(runs: DataFrame, poses: DataFrame, tasks: DataFrame) -> Dat
         )
         .otherwise(F.col("probe_status"))
     )
+    # Texts stored in the tables.
     step = F.coalesce(F.nullif("process_step_id", F.lit("")), F.lit("unknown command step"))
     reason = F.when(
         F.col("outcome") == "DURABLE_EXITED_INTERRUPTED",
@@ -628,6 +657,7 @@ def resume_preconditions(runs: DataFrame, current: DataFrame) -> DataFrame:
 
     A null current manifest digest is not compared, as it is optional.
     """
+    # Texts stored in the tables.
     names = {
         "config_sha256": "resolved configuration checksum changed",
         "pose_manifest_sha256": "resolved pose manifest checksum changed",

@@ -10,10 +10,11 @@ from posewatch.operators import transitions as tr
 from posewatch.operators.segments import plan_segments
 from posewatch.plans import standins as s
 from posewatch.plans.registry import query
-from posewatch.schemas import EXTERNAL_DESTINATION
+from posewatch.schemas import EVENTS, EXTERNAL_DESTINATION
 from posewatch.session import materialise, scratch_dir
 from posewatch.sources.manifest import parse_pose_manifest
 from posewatch.sources.state import (
+    as_log_events,
     exported_sequences,
     not_exported,
     parse_event_log,
@@ -1061,6 +1062,37 @@ PARAMS = (
 )
 
 
+@query(
+    "event_append",
+    s.with_ctes(
+        [*PRUNE_SQL, RETRY_SQL[-1]],
+        f"""SELECT run_id, count(*) AS n_lines, count(*) AS n_sequences, 1 AS first_sequence,
+              count(*) AS last_sequence, sum(second) AS n_second
+            FROM (SELECT run_id, 0 AS second FROM good UNION ALL
+              SELECT tp.run_id, 1 FROM tp JOIN replicas x ON tp.run_id = x.run_id AND tp.pose_id = x.pose_id
+                AND tp.replica_id = x.replica_id WHERE tp.{RETRY_OK}) GROUP BY run_id""",
+    ),
+)
+def event_append(spark, sf):
+    """Events of two steps, from the transition to the exported log."""
+    _, poses, replicas, tasks = state(spark, sf)
+    none = spark.createDataFrame([], EVENTS)
+    at = now().cast("timestamp")
+    first = materialise(tr.append_events(pruned_tables(spark, sf)["events"], none, at), "events")
+    second = materialise(tr.append_events(tr.retry_failed(poses, replicas, tasks)["events"], first, at), "events")
+    log = as_log_events(first)
+    fresh = not_exported(first.unionByName(second), exported_sequences(log))
+    log = log.unionByName(as_log_events(fresh))
+    sequence = state_sequence(F.col("params"))
+    return log.groupBy("run_id").agg(
+        F.count("*").alias("n_lines"),
+        F.count_distinct(sequence).alias("n_sequences"),
+        F.min(sequence).alias("first_sequence"),
+        F.max(sequence).alias("last_sequence"),
+        F.count_if(F.col("code") == "FAILED_TASK_REQUEUED").alias("n_second"),
+    )
+
+
 @query(
     "events_not_exported",
     f"""SELECT user_id % 4 AS run_id, event_id AS sequence, event_type AS code FROM events

@@ -343,3 +343,16 @@ def test_summaries(spark):
     assert tr.replica_summary(replicas).columns == schemas.REPLICA_SUMMARY_COLUMNS
     assert rows(tr.replica_summary(replicas).select("triggered_pruning"), "replica_id") == [(0,), (1,)]
     assert rows(tr.failed_evidence(replicas).select("evidence")) == [("p:r02",)]
+
+
+def test_event_numbers_go_on_after_the_stored_ones(spark):
+    schema = "run_id string, pose_id string, category string, code string, payload_json string"
+    step = spark.createDataFrame(
+        [("r", f"p{i}", "STATE", "TASK_FAILED", "{}") for i in range(300)] + [("s", "p", "STATE", "TASK_FAILED", "{}")] * 2, schema)
+    none = tr.append_events(step.limit(0), spark.createDataFrame([], "run_id string, sequence bigint"), now())
+    assert none.count() == 0
+    stored = spark.createDataFrame([("r", 1), ("r", 7), ("other", 99)], "run_id string, sequence bigint")
+    got = tr.append_events(step, stored, now())
+    assert rows(got.filter("run_id = 'r'").select("sequence"), "sequence") == [(i,) for i in range(8, 308)]
+    assert rows(got.filter("run_id = 's'").select("sequence"), "sequence") == [(1,), (2,)]
+    assert got.filter("ts is null").count() == 0

@@ -23,6 +23,7 @@ def base_seeds(base_seed: Column, replicas: Column) -> Column:
 
 def seed_violation(replicas: Column, seeds: Column, base_seed: Column) -> Column:
     """First broken seed rule, null when seeds or base are usable or both absent."""
+    # Texts of the violations.
     return (
         F.when(replicas < 1, "replicas must be positive")
         .when(seeds.isNotNull() & base_seed.isNotNull(), "base_seed and seeds are mutually exclusive")

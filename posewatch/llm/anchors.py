@@ -92,18 +92,19 @@ def stretch_table(docs: DataFrame, id_col: str, text_col: str, cut: Cut, size: i
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         anchor, whole, doc, at, n = (np.concatenate(x) for x in zip(*rows, strict=True))
         order = np.lexsort((at, doc, whole, anchor))
+        # of repeated rows, which have equal places, only one is kept
+        fresh = np.zeros(len(order), bool)
+        fresh[:1] = True
+        for x in (anchor, whole, doc, at):
+            fresh[1:] |= x[order][1:] != x[order][:-1]
+        order = order[fresh]
         a, w, d, p = anchor[order], whole[order], doc[order], at[order]
-        same = np.r_[False, (a[1:] == a[:-1]) & (w[1:] == w[:-1])]
-        place = np.r_[False, (d[1:] == d[:-1]) & (p[1:] == p[:-1])] & same  # a repeated row
-        repeated = same if earliest else same | np.r_[same[1:] & ~place[1:], False]
-        if not earliest:
-            repeated &= ~place
+        same = np.r_[False, (a[1:] == a[:-1]) & (w[1:] == w[:-1])][: len(order)]
+        repeated = same if earliest else same | np.r_[same[1:], False]
         goes_on = ~same
-        # of repeated rows only one is kept
         count = n[order]
         parts = [(a[goes_on], w[goes_on], d[goes_on], p[goes_on], count[goes_on], None)]
-        settled = repeated & ~place
-        parts.append((None, None, d[settled], p[settled], count[settled], settled.sum()))
+        parts.append((None, None, d[repeated], p[repeated], count[repeated], repeated.sum()))
         columns = []
         for j, kind in enumerate((np.uint64, np.uint64, np.int64, np.int32, np.int32)):
             live = pa.array(parts[0][j].view(np.int64) if kind is np.uint64 else parts[0][j].astype(kind))
@@ -146,15 +147,19 @@ def spans_hash(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray
 def compared(table: DataFrame, earliest: bool) -> tuple[DataFrame, DataFrame]:
     """Repeated stretches (doc, at, n) and open ones (anchor, doc, at, n).
 
-    A written table feeds both, so the stretches are found and shuffled once.
+    A written table feeds both, so the stretches are found and shuffled once. Tasks that
+    read repeated rows bring equal places, which count once.
     """
     live = table.where("anchor is not null")
     by_anchor, by_whole = Window.partitionBy("anchor"), Window.partitionBy("anchor", "whole")
+    in_order = by_whole.orderBy("doc", "at")
+    again = (F.lag("doc").over(in_order) == F.col("doc")) & (F.lag("at").over(in_order) == F.col("at"))
     judged = (
-        live.withColumn("first", F.row_number().over(by_whole.orderBy("doc", "at")))
-        .withColumn("places", F.count("*").over(by_whole))
+        live.withColumn("first", F.dense_rank().over(in_order))
+        .withColumn("again", F.coalesce(again, F.lit(False)))
+        .withColumn("places", F.max("first").over(by_whole))
         .withColumn("differ", F.min("whole").over(by_anchor) < F.max("whole").over(by_anchor))
-        .where("places > 1 or differ")
+        .where("not again and (places > 1 or differ)")
         .select(
             "anchor", "doc", "at", "n",
             (F.col("first") > 1 if earliest else F.col("places") > 1).alias("repeated"),

@@ -11,7 +11,7 @@ from given import docs, odd  # noqa: F401  (fixtures)
 from pyspark.sql import functions as F
 
 from posewatch.llm import (
-    decontaminate, jaccard_join, licenses, queries, relative_lz, suffix_array, suffix_tree, warc,
+    anchors, decontaminate, jaccard_join, licenses, queries, relative_lz, suffix_array, suffix_tree, warc,
 )
 
 
@@ -51,6 +51,25 @@ def test_relative_lz(docs, mixed, shard):
         assert found == set(brute.repeated_windows(pairs_of(df))) and len(got) == df.count()
 
 
+@pytest.mark.parametrize("held", [None, 0])
+def test_repeated_rows_of_long_texts(spark, monkeypatch, held):
+    """A row that comes again is the same place, whichever tasks read its copies."""
+    if held is not None:
+        monkeypatch.setattr(anchors, "HELD", held)
+    alone, shared = (" ".join(f"{c}{j}x{j * j % 89}" for j in range(90)) for c in "uv")
+    texts = [(1, alone), (2, shared), (3, f"head {shared} tail"), (4, shared)]
+    times = {1: 4, 2: 3, 3: 1, 4: 2}
+    for parts in (1, 6):
+        again = [r for r in texts for _ in range(times[r[0]])]
+        df = spark.createDataFrame(spark.sparkContext.parallelize(again, parts), "doc_id long, text string")
+        got = suffix_array.deduplicate(df).collect()
+        found = collections.Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), brute.sha(r.kept)) for r in got)
+        assert found == {r: times[r[0]] for r in brute.repeated_bytes(texts)}
+        got = relative_lz.deduplicate(df).collect()
+        found = collections.Counter((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), brute.sha(r.kept)) for r in got)
+        assert found == {r: times[r[0]] for r in brute.repeated_windows(texts)}
+
+
 def test_suffix_array_order():
     text = np.frombuffer(b"banana\x00ananas\x00banana\x01\x00", np.uint8)
     order = suffix_array.suffix_array(text)

@@ -3,17 +3,18 @@
 Three kinds are reported wherever they stand: assignments, access identifiers and long
 hexadecimal runs. A credential has complementary parts: an access identifier, a secret
 and an endpoint. Parts that alone mean little (weak ones) are reported only if a part of
-another role lies in the same scope, which is found by an interval join: every strong
-part opens an interval of `REACH` code points to both sides, and weak parts inside are
-linked to it.
+another role, strong or weak, lies in the same scope, which is found by an interval join:
+every part opens an interval of `REACH` code points to both sides, and weak parts of
+other roles that touch it are linked to it.
 
-Every text is read in one row; nothing is shuffled, and the work of a row is linear in
-its length: intervals are merged before weak parts are searched in them.
+Every text is read in one row; nothing is shuffled. All parts are found over the whole
+text, and the reach of each is looked up in sorted places.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -38,12 +39,14 @@ WEAK_ACCESS = re.compile(
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=])")
 ENDPOINT = re.compile(
     r"\b(?:https?|jdbc:\w+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+"
-    r"|\b(?:[a-z0-9-]+\.)+(?:amazonaws\.com|internal|local)\b|\b(?:host|endpoint|server)\x20*[:=]\x20*[\w.:-]+",
+    r"|\b(?:host|endpoint|server)\x20*[:=]\x20*[\w.:-]+",
     re.I | re.A,
 )
+DOMAIN = re.compile(r"\.(?:amazonaws\.com|internal|local)\b", re.I | re.A)
+LABELS = re.compile(r"[a-z0-9-]++(?:\.[a-z0-9-]++)*+", re.I | re.A)
+EDGE = re.compile(r"\b(?=[a-z0-9-])", re.I | re.A)
 # Which roles complete which: a weak part needs a part of another role nearby.
 ROLE = {"assign": "secret", "access": "id", "hex": "secret"}
-WEAK = {"weak_access": ("id", WEAK_ACCESS), "weak_secret": ("secret", WEAK_SECRET), "endpoint": ("place", ENDPOINT)}
 
 
 def base_spans(text: str) -> Iterator[tuple[int, str, int]]:
@@ -62,30 +65,77 @@ def base_spans(text: str) -> Iterator[tuple[int, str, int]]:
         yield m.start(), "hex", m.end()
 
 
-def linked_spans(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """Weak parts that lie within reach of a strong part of another role."""
-    out = []
-    for kind, (role, pattern) in WEAK.items():
-        near = merged((s - REACH, e + REACH) for s, k, e in base if ROLE[k] != role)
-        taken = sorted((s, e) for s, _, e in base)
-        for low, high in near:
-            i = 0
-            for m in pattern.finditer(text, max(0, low), min(len(text), high)):
-                while i < len(taken) and taken[i][1] <= m.start():
-                    i += 1
-                if i == len(taken) or taken[i][0] >= m.end():  # not part of a base span
-                    out.append((m.start(), kind, m.end()))
-    return out
+def host_names(text: str) -> Iterator[tuple[int, int]]:
+    """Host names with a domain in `DOMAIN`. The labels are read once, as a pattern that
+    tries every start would take the square of a long run's length."""
+    found = [(m.start(), m.end()) for m in DOMAIN.finditer(text)]
+    i = 0
+    for run in LABELS.finditer(text) if found else ():
+        if i == len(found):
+            return
+        first, last = EDGE.search(text, run.start(), run.end()), None
+        while i < len(found) and found[i][0] < run.end():
+            if first and found[i][0] > first.start():
+                last = found[i][1]
+            i += 1
+        if last is not None:
+            yield first.start(), last
 
 
-def merged(intervals) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for low, high in sorted(intervals):
-        if out and low <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], high)
-        else:
-            out.append([low, high])
-    return [(a, b) for a, b in out]
+def endpoints(text: str) -> Iterator[tuple[int, int]]:
+    """Endpoints from left to right, without those that begin inside another one."""
+    high = 0
+    for s, e in sorted([*(m.span() for m in ENDPOINT.finditer(text)), *host_names(text)], key=lambda x: (x[0], -x[1])):
+        if s >= high:
+            yield s, e
+            high = e
+
+
+def matches(pattern: re.Pattern):
+    return lambda text: (m.span() for m in pattern.finditer(text))
+
+
+WEAK = {
+    "weak_access": ("id", matches(WEAK_ACCESS)),
+    "weak_secret": ("secret", matches(WEAK_SECRET)),
+    "endpoint": ("place", endpoints),
+}
+
+
+def linked_spans(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """Weak parts that lie within reach of a part of another role, strong or weak.
+
+    A part is within reach if it has a code point among the `REACH` ones before or after
+    the other. Parts that overlap do not complete each other: what overlaps a base span
+    belongs to it, and a weak part inside another one (a path of a URL) is no second part.
+    """
+    taken = sorted((s, e) for s, _, e in base)
+    weak = []
+    for kind, (role, find) in WEAK.items():
+        i = 0
+        for s, e in find(text):
+            while i < len(taken) and taken[i][1] <= s:
+                i += 1
+            if i == len(taken) or taken[i][0] >= e:  # not part of a base span
+                weak.append((s, kind, e, role))
+    if not weak:
+        return []
+    starts, ends = {}, {}
+    for s, e, role in [*((s, e, r) for s, _, e, r in weak), *((s, e, ROLE[k]) for s, k, e in base)]:
+        starts.setdefault(role, []).append(s)
+        ends.setdefault(role, []).append(e)
+    for places in (*starts.values(), *ends.values()):
+        places.sort()
+
+    def completed(s: int, e: int, role: str) -> bool:
+        return any(
+            bisect_right(ends[r], s - REACH) < bisect_right(ends[r], s)
+            or bisect_left(starts[r], e) < bisect_left(starts[r], e + REACH)
+            for r in starts
+            if r != role
+        )
+
+    return [(s, k, e) for s, k, e, role in weak if completed(s, e, role)]
 
 
 def in_order(spans: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
@@ -107,7 +157,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for text in columns[1]:
             base = in_order(list(base_spans(text or "")))
             strong = {*base}
-            found = in_order([*base, *linked_spans(text, base)]) if base else []
+            found = in_order([*base, *linked_spans(text or "", base)])
             out.append(
                 [{"kind": k, "start": s, "end": e, "base": (s, k, e) in strong} for s, k, e in found]
             )
@@ -137,10 +187,11 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         out = []
         for text in columns[at]:
             base = in_order(list(base_spans(text or "")))
-            if base:
-                spans = merged_labels([*base, *linked_spans(text, base)])
-                for s, k, e in reversed(spans):
-                    text = f"{text[:s]}[{k}]{text[e:]}"
+            spans = merged_labels([*base, *linked_spans(text or "", base)])
+            if spans:
+                cuts = [0, *(x for s, _, e in spans for x in (s, e)), len(text)]
+                pieces = [text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+                text = pieces[0] + "".join(f"[{k}]{p}" for (_, k, _), p in zip(spans, pieces[1:], strict=True))
             out.append(text)
         return [*columns[:at], out, *columns[at + 1 :]]
 

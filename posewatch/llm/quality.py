@@ -6,8 +6,14 @@ the exact binomial (Clopper-Pearson) upper bound of the share of good documents
 cutoff rejects must stay within `LIMIT`. The walk stops at the first cutoff without the
 guarantee, so no correction is needed along the grid; over strata and measures the level
 is divided by their number (Bonferroni). All cutoffs of all strata thus keep the limit
-together with a chance of at least 1 - `LEVEL`. A stratum with too few labelled documents
-gets no cutoff and keeps its documents.
+together with a chance of at least 1 - `LEVEL`. Good documents that the base rule rejects
+are lost anyway and are not counted.
+
+Strata with too few labelled documents for that are judged together, as one stratum; there
+the limit holds for all of them and not for each. If these are too few as well, only as many
+measures are tried, in the order of `GRID`, as their number can certify. All this is chosen
+by the numbers of documents alone, not by what the cutoffs reject, so the level holds. What
+is too small even so, or has no labelled good document, gets no cutoff.
 
 Labelled documents are counted per (stratum, measure, grid cell) with partial sums; the
 counts and the chosen cutoffs have a few hundred rows for each stratum and are joined
@@ -141,7 +147,7 @@ def exceeded_by(measure: str):
 def cutoffs(good: DataFrame, stratum: str, limit: float = LIMIT, level: float = LEVEL) -> DataFrame:
     """Cutoff of each (stratum, measure) with the guarantee; others have no row.
 
-    `good` holds the measures of labelled good documents.
+    `good` holds the measures of labelled good documents that pass the base rule.
     """
     n_rules = len(GRID)
     cells = F.array(
@@ -159,15 +165,43 @@ def cutoffs(good: DataFrame, stratum: str, limit: float = LIMIT, level: float =
         .groupBy("stratum", "c.measure", "c.cell")
         .agg(F.count("*").alias("n"))
     )
-    per = Window.partitionBy("stratum", "measure")
-    strata = counted.groupBy("stratum").agg(F.count("*").alias("_")).agg(F.count("*").alias("n_strata"))
+    # Each measure has all documents. A stratum that can certify all measures beside all
+    # other strata stands alone (`own`), the others are one pool with a null `name`.
+    clean = F.lit(math.log1p(-limit))  # of the chance that one more document is good
+    sizes = counted.where(F.col("measure") == next(iter(GRID))).groupBy("stratum").agg(F.sum("n").alias("size"))
+    every = sizes.agg(F.count("*").alias("n_strata"))
+    members = (
+        sizes.crossJoin(F.broadcast(every))  # one row
+        .withColumn("own", clean * F.col("size") <= F.log(level / (F.col("n_strata") * n_rules)))
+        .select("stratum", "own", F.when(F.col("own"), F.col("stratum")).alias("name"), "size")
+    )
+    groups = members.groupBy("own", "name").agg(F.sum("size").alias("size"))
+    tried = groups.agg(F.count("*").alias("n_groups"))
+    # Level of each measure of a group, and how many of the measures it tries.
+    share = F.lit(level) / F.col("n_groups")
+    afford = F.floor(share * F.exp(-clean * F.least(F.col("size"), F.lit(int(30 / -math.log1p(-limit))))))
+    shares = (
+        groups.crossJoin(F.broadcast(tried))  # one row
+        .withColumn("n_tried", F.least(afford, F.lit(n_rules)))
+        .where("n_tried > 0")
+        .select(F.col("own").alias("_own"), F.col("name").alias("_name"), "n_tried", (share / F.col("n_tried")).alias("share"))
+    )
+    rank = F.create_map(*(x for i, n in enumerate(GRID) for x in (F.lit(n), F.lit(i))))
+    of = members.select(F.col("stratum").alias("_stratum"), "own", "name")
+    counted = (
+        counted.join(of, F.col("stratum").eqNullSafe(F.col("_stratum")))
+        .groupBy("own", "name", "measure", "cell")
+        .agg(F.sum("n").alias("n"))
+    )
+    same_group = (F.col("own") == F.col("_own")) & F.col("name").eqNullSafe(F.col("_name"))
+    per = Window.partitionBy("own", "name", "measure")
     grid = F.create_map(*(x for n, g in GRID.items() for x in (F.lit(n), F.array(*map(F.lit, map(float, g))))))
     # Rejected by cutoff j: the documents of the cells above j.
     filled = (
-        counted.groupBy("stratum", "measure")
+        counted.groupBy("own", "name", "measure")
         .agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("by_cell"), F.sum("n").alias("total"))
         .withColumn("grid", grid[F.col("measure")])
-        .select("stratum", "measure", "by_cell", "total", F.posexplode("grid").alias("j", "cutoff"))
+        .select("own", "name", "measure", "by_cell", "total", F.posexplode("grid").alias("j", "cutoff"))
         .withColumn(
             "x",
             F.aggregate(
@@ -176,17 +210,19 @@ def cutoffs(good: DataFrame, stratum: str, limit: float = LIMIT, level: float =
                 lambda a, e: a + F.when(e["key"] > F.col("j"), e["value"]).otherwise(F.lit(0)),
             ),
         )
-        .crossJoin(F.broadcast(strata))  # one row
+        .join(shares, same_group)
+        .where(rank[F.col("measure")] < F.col("n_tried"))
         .withColumn("chance", F.pandas_udf(upper_tail, T.DoubleType())("x", "total", F.lit(limit)))
-        .withColumn("safe", F.col("chance") <= level / (F.col("n_strata") * n_rules))
+        .withColumn("safe", F.col("chance") <= F.col("share"))
     )
     stop = F.max(F.when(~F.col("safe"), F.col("j"))).over(per)
-    return (
+    found = (
         filled.withColumn("stop", F.coalesce(stop, F.lit(-1)))
         .where(F.col("j") > F.col("stop"))
-        .groupBy("stratum", "measure")
+        .groupBy(F.col("own").alias("_own"), F.col("name").alias("_name"), "measure")
         .agg(F.min("cutoff").alias("cutoff"))
     )
+    return members.join(found, same_group).select("stratum", "measure", "cutoff")
 
 
 def judge(
@@ -205,7 +241,7 @@ def judge(
     measured = with_measures(counts)
     good = labels.where("quality = 1").select(F.col("doc_id").alias("_label")).distinct()
     chosen = cutoffs(
-        measured.join(good, F.col(id_col) == F.col("_label"), "left_semi"), stratum
+        measured.where(~base_failed()).join(good, F.col(id_col) == F.col("_label"), "left_semi"), stratum
     )
     wide = chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("measure", "cutoff"))).alias("cut"))
     rules = F.array_compact(

@@ -112,6 +112,28 @@ def test_quality_thresholds(spark):
     assert none.count() == 0
 
 
+def test_quality_of_given_labels(spark):
+    """Languages that are too small alone get cutoffs together."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").distinct()
+    judged = quality.judge(spark.read.parquet(f"{sf}/documents.parquet"), labels).where("not base_failed")
+    n = {(r.quality, r.kept): r["count"] for r in judged.join(labels, "doc_id").groupBy("quality", "kept").count().collect()}
+    assert n[0, False] > 0.9 * (n[0, False] + n[0, True])
+    assert n.get((1, False), 0) <= quality.LIMIT * n[1, True]
+
+
+def test_quality_small_strata(spark):
+    """Of 3,100 documents in three languages one measure can be certified, of 2,900 none."""
+    for n, kept in ((3100, False), (2900, True)):
+        rows = [(i, " ".join(f"w{i}x{j}" for j in range(25)), ("en", "de", None)[i % 3]) for i in range(n)]
+        rows += [(9000 + i, " ".join(f"u{j} #" for j in range(30)), c) for i, c in enumerate(("de", None, "fr"))]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        labels = df.where("doc_id < 9000").select("doc_id", F.lit(1).alias("quality"))
+        got = {r.doc_id: r for r in quality.judge(df, labels).collect()}
+        assert got[9000].kept == got[9001].kept == kept and got[9002].kept  # fr has no labels
+        assert {m for r in got.values() for m in r.failed_rules} == (set() if kept else {"symbols_per_word"})
+
+
 def test_binomial_bound():
     import pandas as pd
 

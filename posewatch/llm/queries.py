@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posewatch.llm import bpe, decontaminate, jaccard_join, licenses, quality, relative_lz, secret_scan, suffix_array, suffix_tree, tables, warc
+from posewatch.llm import (
+    bpe, decontaminate, divergence, jaccard_join, licenses, quality, relative_lz, secret_scan, suffix_array,
+    suffix_tree, tables, warc,
+)
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -100,6 +103,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(tables.read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_licenses": op2_licenses,
@@ -111,6 +118,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_relative_lz": op9_relative_lz,
     "op10_jaccard": op10_jaccard,
+    "op11_divergence": op11_divergence,
 }
 # Checking SQL where SQL can express the result; the others are tested against plain
 # versions in tests/llm.
@@ -149,4 +157,31 @@ CHECKS: dict[str, str] = {
                CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
         FROM t
     """,
+    "op11_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        o AS (SELECT k, lang, source, t, count(*) AS n FROM (SELECT k, lang, source, unnest(w) AS t FROM d) GROUP BY ALL),
+        kept AS (SELECT lang, t, sum(n) AS ln FROM o GROUP BY ALL HAVING count(*) >= 30),
+        c AS (SELECT lang, source, t, sum(n) AS n FROM o SEMI JOIN kept USING (lang, t) GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        v AS (SELECT lang, count(*) AS v, sum(ln) AS ln FROM kept GROUP BY ALL),
+        gn AS (SELECT lang, source, coalesce(sum(n), 0) AS gn FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        p AS (
+            SELECT lang, source, t, coalesce(n, 0) AS n,
+                   1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)::HUGEINT) // (gn + 5 * v)::HUGEINT AS p,
+                   1 + (1000000000::HUGEINT * (kept.ln + 5)::HUGEINT) // (v.ln + 5 * v)::HUGEINT AS q
+            FROM gn JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, t)),
+        r AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+                   (SELECT coalesce(sum(abs(x.p - y.p)), 0) FROM p x JOIN p y ON x.lang = y.lang AND x.t = y.t
+                    WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            UNION ALL
+            SELECT lang, source, 'term', t, p - q FROM p WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+        WHERE part = 'pair' OR rank <= 50
+    """,
 }

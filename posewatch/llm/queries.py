@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posewatch.llm import (
-    bpe, decontaminate, divergence, jaccard_join, licenses, quality, relative_lz, secret_scan, suffix_array,
-    suffix_tree, tables, warc,
+    alignment, bpe, decontaminate, divergence, jaccard_join, licenses, packing, quality, relative_lz, secret_scan,
+    suffix_array, suffix_tree, tables, warc,
 )
+from posewatch.session import materialise
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+PIECE_TOKENIZER = "piece_bpe_32k.model"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +110,24 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(tables.read(spark, sf_dir, "documents"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut(tables.read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
+    # Only the digest of the ids is wanted here, so the ids need not be written and shuffled.
+    digest = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    placed = packing.place(materialise(digest, "packing-pieces"))
+    return placed.select(
+        "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset"
+    )
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER)
+    found = alignment.group(tables.read(spark, sf_dir, "documents"), *paths)
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    digested = materialise(found.withColumn("groups_sha256", digest).drop("groups"), "alignment")
+    return alignment.count_links(digested)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_licenses": op2_licenses,
@@ -119,6 +140,8 @@ QUERIES = {
     "op9_relative_lz": op9_relative_lz,
     "op10_jaccard": op10_jaccard,
     "op11_divergence": op11_divergence,
+    "op12_packing": op12_packing,
+    "op13_alignment": op13_alignment,
 }
 # Checking SQL where SQL can express the result; the others are tested against plain
 # versions in tests/llm.

@@ -224,10 +224,10 @@ def count_links(found: DataFrame) -> DataFrame:
         .withColumn("first", F.shiftright("pair", 32))
         .select("pair", "n", (F.col("n") == F.max("n").over(first)).alias("best"))
     )
-    values = here.select("chunk", "at", "pair").join(counted, "pair").select("chunk", "at", "n", "best")
+    values = here.join(counted, "pair").select(F.col("chunk").alias("_chunk"), "at", "n", "best")
     docs = found.where(F.col("_pairs").isNull()).drop("_pairs", "_docs")
-    shown = docs.drop("chunk", "_at", "_times")
-    schema = shown.schema.add("n_best", "long").add("count_sum", "long")
+    shown = docs.drop("chunk", "_at", "_times").columns
+    schema = docs.select(*shown).schema.add("n_best", "long").add("count_sum", "long")
 
     def look_up(rows: pa.Table, counts: pa.Table) -> pa.Table:
         at = counts.column("at").to_numpy()
@@ -239,13 +239,13 @@ def count_links(found: DataFrame) -> DataFrame:
             where, times = unpacked(gaps).cumsum(), unpacked(times)
             n_best.append(int((times * best[where]).sum()))
             count_sum.append(int((times * n[where]).sum()))
-        out = [rows.column(c) for c in shown.columns] + [pa.array(x, pa.int64()) for x in (n_best, count_sum)]
-        return pa.Table.from_arrays(out, [*shown.columns, "n_best", "count_sum"])
+        out = [rows.column(c) for c in shown] + [pa.array(x, pa.int64()) for x in (n_best, count_sum)]
+        return pa.Table.from_arrays(out, [*shown, "n_best", "count_sum"])
 
-    with_links = docs.where(F.col("chunk").isNotNull()).groupBy("chunk").cogroup(values.groupBy("chunk"))
+    with_links = docs.where(F.col("chunk").isNotNull()).groupBy("chunk").cogroup(values.groupBy("_chunk"))
     none = F.lit(0).cast("long")
     return with_links.applyInArrow(look_up, schema).unionByName(
-        docs.where(F.col("chunk").isNull()).select(*shown.columns, none.alias("n_best"), none.alias("count_sum"))
+        docs.where(F.col("chunk").isNull()).select(*shown, none.alias("n_best"), none.alias("count_sum"))
     )
 
 

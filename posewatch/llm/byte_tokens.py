@@ -45,7 +45,7 @@ class ByteTokens:
         """Ids as unsigned 32-bit numbers."""
         if len(text) > LONG_TEXT:
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text, disallowed_special=())
+        return self.fast.encode_to_numpy(text, allowed_special="all")
 
 
 @lru_cache(maxsize=2)

@@ -114,14 +114,14 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = bin_completi
     ranked = pieces.join(before, ["length", "part"]).select(
         *[c for c in pieces.columns if c not in ("part", "number")], (F.col("number") + F.col("_before")).alias("_rank")
     )
-    kept = ranked.drop("_rank")
-    schema = kept.schema.add("sequence_id", "long").add("offset", "long")
+    kept = ranked.drop("_rank").columns
+    schema = ranked.drop("_rank").schema.add("sequence_id", "long").add("offset", "long")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = places(*(batch.column(x).to_numpy(zero_copy_only=False) for x in ("length", "_rank")))
-            columns = [batch.column(c) for c in kept.columns] + [pa.array(x, pa.int64()) for x in found]
-            yield pa.RecordBatch.from_arrays(columns, [*kept.columns, "sequence_id", "offset"])
+            columns = [batch.column(c) for c in kept] + [pa.array(x, pa.int64()) for x in found]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "sequence_id", "offset"])
 
     return ranked.mapInArrow(work, schema)
 

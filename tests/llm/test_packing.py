@@ -142,7 +142,7 @@ def test_both_libraries_agree_on_all_code_points():
     both = byte_tokens.load(PATH, True)
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     for at in range(0, len(points), 50_000):
-        texts = [f"a{chr(c)}1{chr(c)} {chr(c)}\n {chr(c)}" for c in points[at : at + 50_000]]
+        texts = [f"a{chr(c)}1{chr(c)} {chr(c)}" for c in points[at : at + 50_000]]
         want = [e.ids for e in both.slow.encode_batch(texts, add_special_tokens=False)]
         assert [both.encode(t).tolist() for t in texts] == want
     for text in ["x" * 150_000, " " * 2_000_000 + "a", "<|endoftext|>\n<|endoftext|> <|endof"]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posewatch.functions.identity import pose_id_valid, replica_id, resname_valid, task_id
-from posewatch.operators.segments import numbered, offsets
+from posewatch.operators import prefix
 from posewatch.schemas import EXTERNAL_DESTINATION, RUN_SCOPE, SEED_MAX
 
 
@@ -154,7 +154,7 @@ def manifest_payload() -> Column:
 
 
 def expand_tasks(
-    poses: DataFrame, gpu_ids: str = "gpu_ids", order: str = "pose_no", cuts: Sequence[float] = ()
+    poses: DataFrame, gpu_ids: str = "gpu_ids", order: str = "pose_no", window_rows: int | None = None
 ) -> DataFrame:
     """One row per replica with seed, task id and round-robin queue.
 
@@ -163,10 +163,8 @@ def expand_tasks(
     offset of the pose in its run plus the place of the replica, and takes the queue
     at that place of the run's list, over and over.
     """
-    placed = offsets(
-        poses.withColumn("__n", F.size("seeds").cast("bigint")),
-        ["run_id"], order, "__n", "__first", cuts,
-    )
+    n_seeds = F.size("seeds").cast("bigint")
+    placed = prefix.scan(poses, ["run_id"], [order], "sum_before", "__first", n_seeds, window_rows)
     kept = [c for c in poses.columns if c not in ("seeds", gpu_ids)]
     index = F.col("__first") + F.col("__i")
     return placed.select(
@@ -183,14 +181,14 @@ def expand_tasks(
 
 def expand_with_generated_seeds(
     poses: DataFrame, multiplier: int, shift: int, gpu_ids: str = "gpu_ids",
-    order: str = "pose_no", cuts: Sequence[float] = (),
+    order: str = "pose_no", window_rows: int | None = None,
 ) -> DataFrame:
     """As ``expand_tasks`` for poses that name a replica count but no seeds.
 
     Seeds are unique within a run.
     """
     places = poses.withColumn("seeds", F.sequence(F.lit(1), F.col("replicas")))
-    tasks = expand_tasks(places, gpu_ids, order, cuts)
+    tasks = expand_tasks(places, gpu_ids, order, window_rows)
     return tasks.withColumn("velocity_seed", generated_seed(F.col("task_index"), multiplier, shift))
 
 
@@ -307,8 +305,3 @@ def pose_documents(poses: DataFrame, maps: DataFrame) -> DataFrame:
     return poses.join(maps, ["run_id", "pose_id"], "left").select(
         "run_id", "pose_id", body.alias("pose_json")
     )
-
-
-def event_numbers(events: DataFrame, cuts: Sequence[float] = ()) -> DataFrame:
-    """Dense event sequence per run over (ts, event_id); ``ts_us`` is the order column."""
-    return numbered(events, ["run_id"], ["ts_us", "event_id"], "sequence", cuts)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posewatch.functions.units import nm_to_angstrom
+from posewatch.operators import prefix
 from posewatch.operators.score import POSE_KEY, REPLICA_KEY
-from posewatch.operators.segments import running_max
 
 
 def crossings(samples: DataFrame, poses: DataFrame) -> DataFrame:
@@ -105,46 +105,31 @@ def observation_summary(samples: DataFrame, poses: DataFrame, replicas: DataFram
     )
 
 
-def running_maximum(samples: DataFrame, cuts: Sequence[float] = ()) -> DataFrame:
+def running_maximum(samples: DataFrame, window_rows: int | None = None) -> DataFrame:
     """Maximum RMSD so far at every sample, in time order."""
-    return running_max(
-        samples, REPLICA_KEY, ["time_ps"], F.col("rmsd_nm"), "running_max_rmsd_nm", cuts
+    return prefix.scan(
+        samples, REPLICA_KEY, ["time_ps"], "maximum", "running_max_rmsd_nm", F.col("rmsd_nm"), window_rows
     )
 
 
 def time_order_faults(
-    lines: DataFrame, keys: Sequence[str], order: str, cuts: Sequence[float] = ()
+    lines: DataFrame, keys: Sequence[str], order: str, window_rows: int | None = None
 ) -> DataFrame:
     """Lines whose time is not above the time of the line before."""
-    before = running_max(
-        lines,
-        keys,
-        [order],
-        F.struct(F.col(order).alias("o"), F.col("time_ps").alias("t")),
-        "__before",
-        cuts,
-        inclusive=False,
-    )
-    return before.filter(F.col("time_ps") <= F.col("__before.t")).select(
-        *lines.columns, F.col("__before.t").alias("previous_time_ps")
-    )
+    before = prefix.scan(lines, keys, [order], "previous", "previous_time_ps", F.col("time_ps"), window_rows)
+    return before.filter(F.col("time_ps") <= F.col("previous_time_ps"))
 
 
 def consecutive_failures(
-    snapshots: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    limit: int = 3,
-    cuts: Sequence[float] = (),
+    snapshots: DataFrame, keys: Sequence[str], order: str, limit: int = 3, window_rows: int | None = None
 ) -> DataFrame:
     """Runs of at least ``limit`` failed snapshots in a row.
 
     A run is named by the success before it, so it is counted by a plain
     aggregate even when it is long.
     """
-    marked = running_max(
-        snapshots, keys, [order], F.when(~F.col("failed"), F.col(order)), "last_success", cuts
-    )
+    success = F.when(~F.col("failed"), F.col(order))
+    marked = prefix.scan(snapshots, keys, [order], "latest", "last_success", success, window_rows)
     return (
         marked.filter("failed")
         .groupBy(*keys, "last_success")

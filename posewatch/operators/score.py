@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posewatch.functions.units import nm_to_angstrom
-from posewatch.operators.segments import SEGMENT, with_segment
+from posewatch.operators import prefix
 
 REPLICA_KEY = ["run_id", "pose_id", "replica_id"]
 POSE_KEY = ["run_id", "pose_id"]
@@ -95,32 +93,17 @@ def ranked(scores: DataFrame, limit: int | None = None) -> DataFrame:
     return ordered.limit(limit) if limit is not None else ordered
 
 
-def rank_of(scores: DataFrame, cuts: Sequence[float] = ()) -> DataFrame:
+def rank_of(scores: DataFrame, window_rows: int | None = None) -> DataFrame:
     """Add ``score_rank``: 1 + poses of the same run with a lower score, null without one.
 
-    With cuts on the score, each (run, segment) is ranked on its own and the number
-    of poses in lower segments is added.
+    Poses are first counted per (run, score), so equal scores need no window of their own.
     """
-    score = F.col("md_score_angstrom")
-    if not cuts:
-        w = Window.partitionBy("run_id", score.isNull()).orderBy(score)
-        return scores.withColumn("score_rank", F.when(score.isNotNull(), F.rank().over(w).cast("bigint")))
-    scored = with_segment(scores.filter(score.isNotNull()), "md_score_angstrom", cuts)
-    inside = Window.partitionBy("run_id", SEGMENT).orderBy("md_score_angstrom")
-    before = Window.partitionBy("run_id").orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        scored.groupBy("run_id", SEGMENT)
-        .agg(F.count("*").alias("__n"))
-        .select("run_id", SEGMENT, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    )
-    with_rank = (
-        scored.withColumn("__rank", F.rank().over(inside))
-        .join(carry, ["run_id", SEGMENT])
-        .withColumn("score_rank", F.col("__rank") + F.col("__before"))
-        .select(*scores.columns, "score_rank")
+    level = ["run_id", "md_score_angstrom"]
+    levels = scores.filter("md_score_angstrom IS NOT NULL").groupBy(*level).agg(F.count("*").alias("__n"))
+    below = prefix.scan(levels, level[:1], level[1:], "sum_before", "__below", F.col("__n"), window_rows)
+    return scores.join(below.drop("__n"), level, "left").select(
+        *scores.columns, (F.col("__below") + 1).alias("score_rank")
     )
-    rest = scores.filter(score.isNull()).withColumn("score_rank", F.lit(None).cast("bigint"))
-    return with_rank.unionByName(rest)
 
 
 def score_documents(scores: DataFrame, maxima: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from posewatch.operators import prefix
 from posewatch.operators.score import POSE_KEY, REPLICA_KEY
-from posewatch.operators.segments import numbered
 from posewatch.schemas import FINISH_STATUSES, PROCESS_STATES, RUN_SCOPE
 from posewatch.session import materialise
 
@@ -53,25 +53,17 @@ def _payload(*fields) -> Column:
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
-# An order for the events of one step, which all have the same time, cut into equal parts.
-SLOTS = 1 << 20
-SLOT_CUTS = tuple(float(k * SLOTS // 64) for k in range(1, 64))
-
-
 def append_events(events: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
     """Rows of the event table for the events of one step.
 
-    The numbers of a run go on after its greatest stored one, without gaps. A run with
-    very many events is numbered in parts, as its events share one time.
+    The numbers of a run go on after its greatest stored one, without gaps: events of
+    poses by pose, then those of the run as a whole. All have the step's time.
     """
-    slot = F.pmod(F.xxhash64("pose_id", "code", "payload_json"), F.lit(SLOTS))
-    rows = numbered(
-        events.withColumn("__slot", slot),
-        ["run_id"],
-        ["__slot", "pose_id", "code", "payload_json"],
-        "sequence",
-        SLOT_CUTS,
-    )
+    whole_run = F.col("pose_id") == RUN_SCOPE
+    rows = prefix.scan(
+        materialise(events.withColumn("__whole_run", whole_run), "step-events"),
+        ["run_id"], ["__whole_run", "pose_id", "code", "payload_json"], "number", "sequence",
+    )
     last = stored.groupBy("run_id").agg(F.max("sequence").alias("__last"))
     return rows.join(last, "run_id", "left").select(
         (F.col("sequence") + F.coalesce("__last", F.lit(0))).alias("sequence"),

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from posewatch.functions import identity
-from posewatch.operators import integrity, prepared
-from posewatch.operators.segments import numbered, plan_segments
+from posewatch.operators import integrity, prefix, prepared
 from posewatch.plans import standins as s
 from posewatch.plans.registry import query
 from posewatch.sources import files as file_source
@@ -131,8 +130,7 @@ def index_remap(spark, sf):
     members = lines.filter("l_linenumber <> 7").select(
         F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("atom")
     ).distinct()
-    cuts = plan_segments(lines.select("l_partkey"), "l_partkey")
-    positions = numbered(members, ["file"], ["atom"], "position", cuts)
+    positions = prefix.scan(members, ["file"], ["atom"], "number", "position")
     generated = lines.filter("l_returnflag = 'A'").select(
         F.col("l_suppkey").alias("file"),
         F.col("l_orderkey").alias("pos"),

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from posewatch.functions import text
 from posewatch.functions.staging import staged
 from posewatch.functions.units import convert_rmsd
-from posewatch.operators import pruning, score
-from posewatch.operators.segments import numbered, plan_segments
+from posewatch.operators import prefix, pruning, score
 from posewatch.plans import standins as s
 from posewatch.plans.registry import query
 from posewatch.session import materialise, scratch_dir
@@ -64,9 +63,7 @@ def md_score(spark, sf):
     ),
 )
 def pose_ranking(spark, sf):
-    scores = materialise(md_score(spark, sf), "scores")
-    cuts = plan_segments(scores.filter("md_score_angstrom IS NOT NULL"), "md_score_angstrom")
-    return score.rank_of(scores, cuts)
+    return score.rank_of(materialise(md_score(spark, sf), "scores"))
 
 
 @query(
@@ -336,8 +333,7 @@ def strict_time_check(spark, sf):
     lines = s.samples(spark, sf).withColumn(
         "line_no", F.col("event_id") % 97 * 1000000000000 + F.col("event_id")
     )
-    cuts = plan_segments(lines.select("line_no"), "line_no")
-    return pruning.time_order_faults(lines, score.REPLICA_KEY, "line_no", cuts).select(
+    return pruning.time_order_faults(lines, score.REPLICA_KEY, "line_no").select(
         *score.REPLICA_KEY, "event_id", "time_ps", "previous_time_ps"
     )
 
@@ -352,9 +348,7 @@ def strict_time_check(spark, sf):
     ),
 )
 def running_maximum(spark, sf):
-    samples = s.samples(spark, sf)
-    cuts = plan_segments(samples.select("time_ps"), "time_ps")
-    return pruning.running_maximum(samples, cuts).select(
+    return pruning.running_maximum(s.samples(spark, sf)).select(
         *score.REPLICA_KEY, "event_id", "time_ps", "rmsd_nm", "running_max_rmsd_nm"
     )
 
@@ -417,8 +411,7 @@ def consecutive_failures(spark, sf):
     snapshots = s.table(spark, sf, "events").select(
         "user_id", "event_id", (F.col("event_type") == "error").alias("failed")
     )
-    cuts = plan_segments(snapshots.select("event_id"), "event_id")
-    return pruning.consecutive_failures(snapshots, ["user_id"], "event_id", 3, cuts)
+    return pruning.consecutive_failures(snapshots, ["user_id"], "event_id", 3)
 
 
 @query(
@@ -474,8 +467,7 @@ def event_sequence(spark, sf):
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
         "event_id",
     )
-    cuts = plan_segments(events.select("ts_us"), "ts_us")
-    return numbered(events, ["run_no"], ["ts_us", "event_id"], "sequence", cuts).drop("ts_us")
+    return prefix.scan(events, ["run_no"], ["ts_us", "event_id"], "number", "sequence").drop("ts_us")
 
 
 @query(

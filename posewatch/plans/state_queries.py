@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from posewatch.functions.settings import utc_text
 from posewatch.operators import planning, quality, queues
 from posewatch.operators import transitions as tr
-from posewatch.operators.segments import plan_segments
 from posewatch.plans import standins as s
 from posewatch.plans.registry import query
 from posewatch.schemas import EVENTS, EXTERNAL_DESTINATION
@@ -70,15 +69,11 @@ def plan_runs(spark, sf):
     return plan_poses(spark, sf).select("run_id", "gpu_ids", F.lit("WAL").alias("journal_mode")).distinct()
 
 
-def plan_cuts(spark, sf):
-    return plan_segments(s.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
-
-
 def seeded_tasks(spark, sf):
     seeded = plan_poses(spark, sf).withColumn(
         "seeds", planning.base_seeds(F.col("base_seed"), F.col("replicas"))
     )
-    return planning.expand_tasks(seeded, cuts=plan_cuts(spark, sf))
+    return planning.expand_tasks(seeded)
 
 
 @query(
@@ -117,9 +112,7 @@ def plan_totals(spark, sf):
     ),
 )
 def generated_seeds(spark, sf):
-    tasks = planning.expand_with_generated_seeds(
-        plan_poses(spark, sf), 48271, 12345, cuts=plan_cuts(spark, sf)
-    )
+    tasks = planning.expand_with_generated_seeds(plan_poses(spark, sf), 48271, 12345)
     return tasks.select("pose_id", "replica_id", "velocity_seed")
 
 
@@ -157,7 +150,7 @@ def plan_state_tables(spark, sf):
         F.lit(4).alias("resolved_ntomp"),
     )
     # Five tables read the expansion; it is made once.
-    tasks = materialise(planning.expand_tasks(poses, cuts=plan_cuts(spark, sf)), "plan")
+    tasks = materialise(planning.expand_tasks(poses), "plan")
     tables = planning.plan_tables(plan_runs(spark, sf), tasks, poses, now())
     counts = [
         t.groupBy("run_id").agg(F.count("*").alias("n")).withColumn("table_name", F.lit(name))

@@ -49,10 +49,7 @@ def stream_dedup(spark, sf):
     """Every sample arrives twice, as in overlapping snapshots."""
     samples = sample_stream(spark, sf).drop("event_id")
     twice = samples.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).drop("copy")
-    path = scratch_dir(spark, "deduplicated")
-    monitor.run_changelog(monitor.deduplicated(twice), "append", path)
-    kept = spark.read.schema(samples.schema).parquet(path)
-    return kept.groupBy(*REPLICA_KEY).agg(
+    return monitor.newer_samples(twice).groupBy(*REPLICA_KEY).agg(
         F.count("*").alias("samples_observed"), F.min("rmsd_nm").alias("least_rmsd_nm")
     )
 
@@ -61,7 +58,8 @@ def stream_dedup(spark, sf):
     "stream_maximum",
     s.with_ctes(
         BASE,
-        """SELECT run_id, pose_id, replica_id, max(time_ps) AS latest_time_ps, max(rmsd_nm) AS maximum_rmsd_nm,
+        """SELECT run_id, pose_id, replica_id, count(DISTINCT time_ps) AS samples_observed,
+             max(time_ps) AS latest_time_ps, max(rmsd_nm) AS maximum_rmsd_nm,
              max(rmsd_nm) * 10 AS maximum_rmsd_angstrom FROM samples GROUP BY ALL""",
     ),
 )

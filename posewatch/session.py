@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Runtime SQL settings the jobs rely on. Hot join keys are split by the adaptive
 # skew join, also where that costs one more exchange. Generated methods above 8000
 # bytes of code are never compiled by the JVM, so larger ones are not fused. Stream
-# state lives on disk, as it has one row per replica or sample.
+# state lives on disk, as it has one row per replica or sample; a batch saves its changes.
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -22,6 +22,7 @@ SQL_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 

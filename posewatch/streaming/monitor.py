@@ -12,16 +12,15 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from posewatch.functions.units import nm_to_angstrom
 from posewatch.operators import pruning
 from posewatch.operators.score import POSE_KEY, REPLICA_KEY
-from posewatch.operators.segments import plan_segments, running_max
 from posewatch.operators.transitions import progress_fold
 from posewatch.session import scratch_dir
 from posewatch.sources.series import accepted, scan_series
-from posewatch.sources.state import not_exported
+from posewatch.streaming import keyed
 
 BATCH = "__batch"
 
@@ -97,53 +96,27 @@ def latest(log: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def deduplicated(samples: DataFrame) -> DataFrame:
-    """Each simulation time of a replica once, although snapshots overlap."""
+    """Each simulation time of a replica once, in any order of arrival.
+
+    Keeps a state row per sample; ``keyed.new_samples`` keeps one per replica where
+    samples arrive in time order.
+    """
     return samples.dropDuplicates([*REPLICA_KEY, "time_ps"])
 
 
 def newer_samples(samples: DataFrame, path: str | None = None) -> DataFrame:
-    """As ``deduplicated`` for snapshots that arrive in time order.
+    """Changelog of samples later than all earlier ones of their replica.
 
-    Times of a replica rise strictly, so a sample is new when it is later than the
-    latest one seen. Between batches one row per replica is kept instead of one per
-    sample. A sample that arrives after a later one is not taken; the catch-up scan
-    over the finished series finds it.
+    A sample that arrives after a later one is not taken; the catch-up scan over the
+    finished series finds it.
     """
-    spark = samples.sparkSession
-    path = path or scratch_dir(spark, "newer-samples")
-    carry_path = f"{path}/_carry"
-    latest_schema = StructType([samples.schema[k] for k in REPLICA_KEY]).add(
-        "latest_time_ps", DoubleType()
-    )
-    values = [c for c in samples.columns if c not in (*REPLICA_KEY, "time_ps")]
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        seen = (
-            session.read.schema(latest_schema).parquet(f"{carry_path}/{batch_id - 1}")
-            if batch_id > 0
-            else session.createDataFrame([], latest_schema)
-        )
-        once = batch.groupBy(*REPLICA_KEY, "time_ps").agg(*[F.max(v).alias(v) for v in values])
-        pruning.unobserved_samples(once, seen).select(*samples.columns).write.mode(
-            "overwrite"
-        ).parquet(f"{path}/{BATCH}={batch_id}")
-        here = batch.groupBy(*REPLICA_KEY).agg(F.max("time_ps").alias("latest_time_ps"))
-        seen.unionByName(here).groupBy(*REPLICA_KEY).agg(
-            F.max("latest_time_ps").alias("latest_time_ps")
-        ).write.mode("overwrite").parquet(f"{carry_path}/{batch_id}")
-
-    drain(samples, sink, "append", f"{path}/_checkpoint")
-    schema = StructType(list(samples.schema.fields)).add(BATCH, IntegerType())
-    return spark.read.schema(schema).option("basePath", path).parquet(path)
+    return run_changelog(keyed.new_samples(samples), "append", path)
 
 
 def replica_state(samples: DataFrame) -> DataFrame:
-    """Latest time and maximum RMSD per replica; repeats of a sample change nothing."""
-    return samples.groupBy(*REPLICA_KEY).agg(
-        F.max("time_ps").alias("latest_time_ps"),
-        F.max("rmsd_nm").alias("maximum_rmsd_nm"),
-        nm_to_angstrom(F.max("rmsd_nm")).alias("maximum_rmsd_angstrom"),
+    """Samples seen, latest time and maximum RMSD per replica; overlaps count once."""
+    return keyed.replica_watch(samples).withColumn(
+        "maximum_rmsd_angstrom", nm_to_angstrom(F.col("maximum_rmsd_nm"))
     )
 
 
@@ -208,98 +181,20 @@ def failure_runs(
 ) -> DataFrame:
     """Runs of failed snapshots, also when a run spans micro-batches.
 
-    Between batches only one row per key is kept: the last success and the number
-    of failures since. Snapshots of a key must arrive in order from batch to batch.
-    Returns the runs as (keys, last_success, n_failures, first_failure, last_failure).
+    Returns the runs as (keys, last_success, n_failures, first_failure, last_failure). A
+    batch writes only the runs that grew in it, at or beyond the limit.
     """
-    spark = snapshots.sparkSession
-    log_path = path or scratch_dir(spark, "failure-log")
-    carry_path = f"{log_path}/_carry"
-    keys = list(keys)
-    order_type = snapshots.schema[order].dataType
-    run_schema = StructType([f for f in snapshots.schema.fields if f.name in keys])
-    for name, kind in [("last_success", order_type), ("n_failures", LongType()),
-                       ("first_failure", order_type), ("last_failure", order_type)]:
-        run_schema = run_schema.add(name, kind)
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        previous = (
-            batch.sparkSession.read.schema(run_schema).parquet(f"{carry_path}/{batch_id - 1}")
-            if batch_id > 0
-            else batch.sparkSession.createDataFrame([], run_schema)
-        )
-        marked = running_max(
-            batch, keys, [order], F.when(~F.col("failed"), F.col(order)), "last_success",
-            plan_segments(batch, order),
-        )
-        here = (
-            marked.groupBy(*keys, "last_success")
-            .agg(
-                F.count_if("failed").alias("n_failures"),
-                F.min(F.when(F.col("failed"), F.col(order))).alias("first_failure"),
-                F.max(F.when(F.col("failed"), F.col(order))).alias("last_failure"),
-            )
-            .withColumn("opened_before", F.col("last_success").isNull())
-            .withColumn("touched", F.lit(True))
-        )
-        # Failures before any success of this batch continue the stored run.
-        stored = previous.withColumn("opened_before", F.lit(True)).withColumn(
-            "touched", F.lit(False)
-        )
-        merged = (
-            here.unionByName(stored)
-            .groupBy(*keys, "opened_before", F.when(~F.col("opened_before"), F.col("last_success")).alias("own"))
-            .agg(
-                F.max("last_success").alias("last_success"),
-                F.sum("n_failures").alias("n_failures"),
-                F.min("first_failure").alias("first_failure"),
-                F.max("last_failure").alias("last_failure"),
-                F.bool_or("touched").alias("touched"),
-            )
-            .select(*run_schema.fieldNames(), "touched")
-            .persist()
-        )
-        merged.filter(F.col("touched") & (F.col("n_failures") >= limit)).drop("touched").write.mode("overwrite").parquet(
-            f"{log_path}/{BATCH}={batch_id}"
-        )
-        values = [c for c in run_schema.fieldNames() if c not in keys]
-        merged.groupBy(*keys).agg(
-            F.max_by(F.struct(*values), F.struct(F.col("last_success").isNotNull(), "last_success")).alias("v")
-        ).select(*keys, "v.*").write.mode("overwrite").parquet(f"{carry_path}/{batch_id}")
-        merged.unpersist()
-        batch.unpersist()
-
-    drain(snapshots, sink, "append", f"{log_path}/_checkpoint")
-    log = spark.read.schema(StructType(list(run_schema.fields)).add(BATCH, IntegerType())).option(
-        "basePath", log_path
-    ).parquet(log_path)
-    grown = log.groupBy(*keys, F.col("first_failure")).agg(
-        F.max_by(F.struct("last_success", "n_failures", "last_failure"), BATCH).alias("v")
-    )
-    return grown.select(
-        *keys, "v.last_success", "v.n_failures", "first_failure", "v.last_failure"
+    log = run_changelog(keyed.failure_runs(snapshots, keys, order, limit), "update", path)
+    return latest(log, [*keys, "first_failure"]).select(
+        *keys, "last_success", "n_failures", "first_failure", "last_failure"
     )
 
 
 def export_events(events: DataFrame, log_path: str) -> None:
     """Append state events to a log exactly once.
 
-    A replayed batch overwrites its own folder, and sequences already in the log
-    from other batches are left out. The checkpoint belongs to the log.
+    Which sequences of a run are in the log is kept as state, so a batch reads no more
+    than its own rows. A replayed batch overwrites its own folder. The checkpoint
+    belongs to the log.
     """
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(["run_id", "sequence"])
-        if batch_id > 0:
-            done = (
-                batch.sparkSession.read.schema(StructType(list(batch.schema.fields)).add(BATCH, IntegerType()))
-                .option("basePath", log_path)
-                .parquet(log_path)
-                .filter(F.col(BATCH) < batch_id)
-                .select("run_id", "sequence")
-            )
-            fresh = not_exported(fresh, done)
-        fresh.write.mode("overwrite").parquet(f"{log_path}/{BATCH}={batch_id}")
-
-    drain(events, sink, "append", f"{log_path}/_checkpoint")
+    drain(keyed.fresh_events(events), changelog(log_path), "append", f"{log_path}/_checkpoint")

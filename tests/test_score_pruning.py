@@ -1,4 +1,4 @@
-"""Scores, triggers, windows that are cut into segments, and their brute-force twins."""
+"""Scores, triggers, ordered scans, and their brute-force twins."""
 
 import json
 import random
@@ -8,7 +8,6 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from posewatch.operators import pruning, score
-from posewatch.operators.segments import numbered, offsets, plan_segments, running_max
 
 SAMPLE = "run_id string, pose_id string, replica_id string, time_ps double, rmsd_nm double"
 POSE = "run_id string, pose_id string, n_replicas_requested int, pruned boolean, pruning_threshold_angstrom double"
@@ -71,8 +70,8 @@ def test_unreadable_series_blocks_the_score(spark):
 def test_rank_counts_lower_scores(spark):
     data = [("r", f"p{i}", s) for i, s in enumerate([1.0, 1.0, 2.0, None, 0.5, 2.0])]
     df = spark.createDataFrame(data, "run_id string, pose_id string, md_score_angstrom double")
-    for cuts in ([], [0.7, 1.5]):
-        got = dict(rows(score.rank_of(df, cuts).select("pose_id", "score_rank")))
+    for window_rows in (None, 0):
+        got = dict(rows(score.rank_of(df, window_rows).select("pose_id", "score_rank")))
         assert got == {"p0": 2, "p1": 2, "p2": 4, "p3": None, "p4": 1, "p5": 4}
     order = [r.pose_id for r in score.ranked(df).collect()]
     assert order == ["p4", "p0", "p1", "p2", "p5", "p3"]
@@ -137,53 +136,23 @@ def brute(hot):
     return by_key
 
 
-def test_segments_bound_a_hot_key(hot):
-    cuts = plan_segments(hot, "o", rows_per_segment=300)
-    assert 8 <= len(cuts) <= 10
-    assert plan_segments(hot, "o") == []
-    from posewatch.operators.segments import SEGMENT, with_segment
-
-    largest = with_segment(hot, "o", cuts).groupBy("k", SEGMENT).count().agg(F.max("count")).first()[0]
-    assert largest <= 450
-
-
-@pytest.mark.parametrize("inclusive", [True, False])
-def test_running_max_over_cuts(hot, inclusive):
-    cuts = plan_segments(hot, "o", rows_per_segment=300)
-    got = {(r.k, r.o): r.m for r in running_max(hot, ["k"], ["o"], F.col("v"), "m", cuts, inclusive).collect()}
+@pytest.mark.parametrize("window_rows", [None, 0])
+def test_running_maximum_of_a_hot_replica(hot, window_rows):
+    named = hot.select(F.lit("r").alias("run_id"), F.col("k").alias("pose_id"), F.col("k").alias("replica_id"),
+                       F.col("o").alias("time_ps"), F.col("v").cast("double").alias("rmsd_nm"))
+    got = {(r.pose_id, r.time_ps): r.running_max_rmsd_nm for r in pruning.running_maximum(named, window_rows).collect()}
     want = {}
     for k, items in brute(hot).items():
-        top = None
+        top = 0
         for r in items:
-            if not inclusive:
-                want[(k, r.o)] = top
-            top = r.v if top is None else max(top, r.v)
-            if inclusive:
-                want[(k, r.o)] = top
+            top = max(top, r.v)
+            want[(k, r.o)] = top
     assert got == want
 
 
-def test_numbering_over_cuts(hot):
-    cuts = plan_segments(hot, "o", rows_per_segment=300)
-    got = {(r.k, r.o): r.n for r in numbered(hot, ["k"], ["o"], "n", cuts).collect()}
-    assert got == {(k, r.o): i for k, items in brute(hot).items() for i, r in enumerate(items, 1)}
-    flat = [r.n for r in numbered(hot, [], ["o"], "n", cuts).orderBy("o").collect()]
-    assert flat == list(range(1, 3001))
-
-
-def test_offsets_over_cuts(hot):
-    cuts = plan_segments(hot, "o", rows_per_segment=300)
-    for some in (cuts, []):
-        got = {(r.k, r.o): r.s for r in offsets(hot, ["k"], "o", "v", "s", some).collect()}
-        total = {}
-        for r in sorted(hot.collect(), key=lambda r: r.o):
-            assert got[r.k, r.o] == total.get(r.k, 0)
-            total[r.k] = total.get(r.k, 0) + r.v
-
-
-def test_failure_runs_over_cuts(hot):
-    cuts = plan_segments(hot, "o", rows_per_segment=300)
-    got = {(r.k, r.first_failure): r.n_failures for r in pruning.consecutive_failures(hot, ["k"], "o", 3, cuts).collect()}
+@pytest.mark.parametrize("window_rows", [None, 0])
+def test_failure_runs_of_a_hot_key(hot, window_rows):
+    got = {(r.k, r.first_failure): r.n_failures for r in pruning.consecutive_failures(hot, ["k"], "o", 3, window_rows).collect()}
     want = {}
     for k, items in brute(hot).items():
         run = []
@@ -197,9 +166,9 @@ def test_failure_runs_over_cuts(hot):
     assert got == want
 
 
-def test_time_order_over_cuts(spark):
+@pytest.mark.parametrize("window_rows", [None, 0])
+def test_time_order_over_tasks(spark, window_rows):
     data = [("f", i, float(i if i % 40 else i - 2)) for i in range(1, 400)]
     lines = spark.createDataFrame(data, "source string, line_no bigint, time_ps double")
-    cuts = plan_segments(lines, "line_no", rows_per_segment=40)
-    got = rows(pruning.time_order_faults(lines, ["source"], "line_no", cuts).select("line_no"), "line_no")
+    got = rows(pruning.time_order_faults(lines, ["source"], "line_no", window_rows).select("line_no"), "line_no")
     assert got == [(i,) for i in range(40, 400, 40)]

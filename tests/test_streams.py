@@ -42,7 +42,7 @@ def test_overlapping_snapshots(spark, tmp_path):
     assert rows(newer.select("time_ps", monitor.BATCH), "time_ps") == [(0.0, 0), (10.0, 0), (20.0, 1)]
     state = monitor.latest(monitor.run_changelog(monitor.replica_state(stream(spark, path, SAMPLE))), REPLICA_KEY)
     row = state.first()
-    assert row.latest_time_ps == 20.0 and row.maximum_rmsd_angstrom == pytest.approx(4.1)
+    assert (row.samples_observed, row.latest_time_ps, row.maximum_rmsd_angstrom) == (3, 20.0, pytest.approx(4.1))
     triggers = monitor.run_changelog(monitor.replica_triggers(stream(spark, path, SAMPLE), poses))
     assert [(r.trigger_simulation_time_ps, r.code) for r in monitor.pruning_events(triggers).collect()] == [(20.0, "POSE_PRUNED")]
 
@@ -117,6 +117,34 @@ def test_export_is_exactly_once(spark, tmp_path):
     assert rows(spark.read.parquet(log).select("sequence"), "sequence") == [(1,), (2,), (3,), (4,)]
 
 
+def test_state_rows_are_replicas(spark, tmp_path):
+    """Four growing snapshots of many samples: one state row a replica, equal to batch."""
+    data = [("r", f"p{i % 3}", f"r{i % 2}", float(i), (i * 37 % 101) / 100) for i in range(600)]
+    path = land(spark, tmp_path, SAMPLE, *[data[max(0, n - 200) : n] for n in (150, 300, 450, 600)])
+    log = str(tmp_path / "state")
+    found = monitor.latest(monitor.run_changelog(monitor.replica_state(stream(spark, path, SAMPLE)), "update", log), REPLICA_KEY)
+    poses = spark.createDataFrame([("r", f"p{i}", 5.0) for i in range(3)], POSE)
+    batch = spark.createDataFrame(data, SAMPLE)
+    want = pruning.observation_summary(batch, poses, batch.select(*REPLICA_KEY).distinct())
+    columns = [*REPLICA_KEY, "samples_observed", "latest_time_ps", "maximum_rmsd_nm"]
+    assert rows(found.select(*columns), *REPLICA_KEY) == rows(want.select(*columns), *REPLICA_KEY)
+    state = spark.read.format("statestore").option("stateVarName", "watch").load(f"{log}/_checkpoint")
+    assert state.count() == 6
+
+
+def test_export_keeps_intervals_and_not_the_log(spark, tmp_path):
+    schema = "run_id string, sequence bigint, code string"
+    parts = [[("r", i, "A") for i in range(lo, lo + 300)] + [("s", 70_000 + lo, "B"), (None, lo, "C")] for lo in (0, 200, 600)]
+    path = land(spark, tmp_path, schema, *parts)
+    log = str(tmp_path / "log")
+    monitor.export_events(stream(spark, path, schema), log)
+    got = rows(spark.read.parquet(log).groupBy("run_id").agg(F.count("*"), F.count_distinct("sequence")), "run_id")
+    assert got == [(None, 3, 3), ("r", 800, 800), ("s", 3, 3)]
+    state = spark.read.format("statestore").option("stateVarName", "done").load(f"{log}/_checkpoint")
+    kept = {tuple(r.key): r.value["intervals"] for r in state.collect()}
+    assert kept[("r", 0)] == "[[0, 600], [499, 899]]" and len(kept) == 3
+
+
 def test_series_files_as_a_stream(spark, tmp_path):
     folder = tmp_path / "xvg"
     folder.mkdir()

@@ -247,8 +247,8 @@ def test_two_poses_of_five(spark):
 def test_each_run_starts_at_its_first_queue(spark):
     specs = spark.createDataFrame([("r", "a", 1, [1, 2, 3], [4, 7]), ("q", "b", 2, [4, 5, 6, 7], [9, 8, 5]), ("r", "c", 3, [8, 9], [4, 7])],
                                   "run_id string, pose_id string, pose_no bigint, seeds array<bigint>, gpu_ids array<int>")
-    for cuts in ([], [2.0, 3.0]):
-        plan = planning.expand_tasks(specs, cuts=cuts)
+    for window_rows in (None, 0):
+        plan = planning.expand_tasks(specs, window_rows=window_rows)
         assert rows(plan.select("run_id", "task_index", "assigned_gpu_id"), "run_id", "task_index") == [
             *[("q", i, g) for i, g in enumerate([9, 8, 5, 9])], *[("r", i, g) for i, g in enumerate([4, 7, 4, 7, 4])]]
         totals = planning.plan_totals(plan, specs.select("run_id", "gpu_ids").distinct())
@@ -355,4 +355,6 @@ def test_event_numbers_go_on_after_the_stored_ones(spark):
     got = tr.append_events(step, stored, now())
     assert rows(got.filter("run_id = 'r'").select("sequence"), "sequence") == [(i,) for i in range(8, 308)]
     assert rows(got.filter("run_id = 's'").select("sequence"), "sequence") == [(1,), (2,)]
+    whole = spark.createDataFrame([("r", p, "STATE", c, "{}") for p, c in [(schemas.RUN_SCOPE, "STATE_CREATED"), ("b", "POSE_REGISTERED"), ("a", "POSE_REGISTERED")]], step.schema)
+    assert rows(tr.append_events(whole, stored, now()).select("pose_id"), "sequence") == [("a",), ("b",), (schemas.RUN_SCOPE,)]
     assert got.filter("ts is null").count() == 0

@@ -160,7 +160,7 @@ def scan(
     return joined.select(*df.columns, result.alias(name))
 
 
-def _new_key(keys: list[pa.Array], before: list | None, n: int) -> np.ndarray:
+def new_key(keys: list[pa.Array], before: list | None, n: int) -> np.ndarray:
     """Where a row's key differs from that of the row before, batches included; nulls are equal."""
     new = np.zeros(n, bool)
     for i, key in enumerate(keys):
@@ -190,7 +190,7 @@ def _scanned(ranged: DataFrame, keys: list[str], kind: str) -> DataFrame:
             if held is not None:  # another batch follows, so its last row is not the task's
                 yield pa.RecordBatch.from_arrays([*held, pa.array(np.zeros(len(held[0]), bool))], schema=types)
             key = [batch.column(k) for k in keys]
-            new = _new_key(key, before, n)
+            new = new_key(key, before, n)
             first = np.zeros(n, bool)
             first[0] = before is None
             changes = np.flatnonzero(new & ~first)

@@ -58,21 +58,28 @@ class Aligner:
         self.size_b = np.array([len(x) for x in self.b.bytes_of], np.int64)
         self.n_b = len(self.size_b)
         self.shift = (len(self.size_a) * self.n_b).bit_length()
-        # Id and the mark after it: inside a group, between its sides, after the group.
-        most = max(len(self.size_a), self.n_b)
-        self.most, self.marked = most, [f"{i}{mark}" for mark in ",|;" for i in range(most)]
+        # Id and the mark after it (inside a group, between its sides, after the group) as
+        # bytes, each in a row that zeros fill up.
+        self.most = max(len(self.size_a), self.n_b)
+        self.marked = np.array([f"{i}{mark}".encode() for mark in ",|;" for i in range(self.most)])
+        self.marked = self.marked.view(np.uint8).reshape(len(self.marked), -1)
 
     def cuts(self, text: str, ids_b: list[int]):
         """Ids of both sides and the index after each group's last token; None if the
-        sides do not spell space and text."""
+        sides do not spell space and text.
+
+        The byte vocabulary has all bytes and no normaliser, so its ids cut the text as it is
+        and only their length is checked.
+        """
         raw = b" " + text.encode()
-        ids_a = self.a.encode(" " + text).astype(np.int64)
-        spelled = self.b.bytes_of.__getitem__
-        if b"".join(map(spelled, ids_b)) != raw or b"".join(map(self.a.bytes_of.__getitem__, ids_a.tolist())) != raw:
+        if b"".join(map(self.b.bytes_of.__getitem__, ids_b)) != raw:
+            return None
+        ids_a, ids_b = self.a.encode(" " + text).astype(np.int64), np.array(ids_b, np.int64)
+        ends_a, ends_b = self.size_a[ids_a].cumsum(), self.size_b[ids_b].cumsum()
+        if ends_a[-1] != len(raw):
             return None
-        ids_b = np.array(ids_b, np.int64)
-        index_a = dict(zip(self.size_a[ids_a].cumsum().tolist(), range(1, len(ids_a) + 1), strict=True))
-        index_b = dict(zip(self.size_b[ids_b].cumsum().tolist(), range(1, len(ids_b) + 1), strict=True))
+        index_a = dict(zip(ends_a.tolist(), range(1, len(ids_a) + 1), strict=True))
+        index_b = dict(zip(ends_b.tolist(), range(1, len(ids_b) + 1), strict=True))
         ends = sorted(index_a.keys() & index_b.keys())
         n = len(ends)
         return (
@@ -80,7 +87,7 @@ class Aligner:
             np.fromiter(map(index_a.__getitem__, ends), np.int64, n), np.fromiter(map(index_b.__getitem__, ends), np.int64, n),
         )
 
-    def groups_text(self, ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> str:
+    def groups_text(self, ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> bytes:
         """`a1,a2|b1;a3|b2,b3`: each id is put where its group and side have it."""
         out = np.empty(len(ids_a) + len(ids_b), np.int64)
         shown_a, shown_b = ids_a.copy(), ids_b.copy()
@@ -88,7 +95,8 @@ class Aligner:
         shown_b[cut_b - 1] += 2 * self.most
         out[np.arange(len(ids_a)) + np.repeat(np.r_[0, cut_b[:-1]], np.diff(cut_a, prepend=0))] = shown_a
         out[np.arange(len(ids_b)) + np.repeat(cut_a, np.diff(cut_b, prepend=0))] = shown_b
-        return "".join(map(self.marked.__getitem__, out.tolist()))[:-1]
+        shown = self.marked[out]
+        return shown[shown > 0].tobytes()[:-1]
 
     def links(self, found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per text its number of links; and (text, pair, times) of each text's distinct pairs, sorted."""

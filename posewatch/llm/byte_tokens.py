@@ -38,6 +38,7 @@ class ByteTokens:
         self.fast = tiktoken.Encoding(
             "bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=named if specials else {}
         )
+        self.specials = specials
         self.slow = Tokenizer.from_file(path)
         self.slow.encode_special_tokens = not specials
 
@@ -45,7 +46,9 @@ class ByteTokens:
         """Ids as unsigned 32-bit numbers."""
         if len(text) > LONG_TEXT:
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text, allowed_special="all")
+        if self.specials:
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        return np.array(self.fast.encode_ordinary(text), np.uint32)
 
 
 @lru_cache(maxsize=2)

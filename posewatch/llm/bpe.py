@@ -21,6 +21,7 @@ from itertools import chain
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from posewatch.llm import tables
 
@@ -40,6 +41,44 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(0x100)]
 
 
+def char_class(points: list[int]) -> regex.Pattern:
+    """Pattern of one character out of the given rising code points."""
+    ranges, start = [], None
+    for c, after in zip(points, [*points[1:], None], strict=True):
+        start = c if start is None else start
+        if after != c + 1:
+            ranges.append(f"\\U{start:08x}-\\U{c:08x}")
+            start = None
+    return regex.compile(f"[{''.join(ranges)}]" if ranges else "(?!)")
+
+
+class Newer:
+    """Code points that Python's tables have not assigned.
+
+    Python, the pattern library and the tokenizers library follow different Unicode
+    versions and agree on what the oldest, Python's, has assigned. For the rest the
+    tokenizers library is asked: how it normalises a text with such a character, and
+    which of those that the pattern library takes for letters or numbers it does not.
+    """
+
+    def __init__(self, path: str):
+        library = Tokenizer.from_file(path)
+        points = [c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn"]
+        named = regex.compile(r"[\p{L}\p{N}]")
+        cut = library.pre_tokenizer.pre_tokenize_str
+        self.any = char_class(points)
+        # In one piece with a mark: neither a letter nor a number.
+        self.no_letter = char_class([c for c in points if named.match(chr(c)) and len(cut("!" + chr(c))) == 1])
+        self.normalized = library.normalizer.normalize_str
+
+    def within(self, text: str) -> bool:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.any.search(text) is not None
+        return False
+
+
 class WordEncoder:
     """Vocabulary, merge order and the walk over the prefix tree."""
 
@@ -56,6 +95,7 @@ class WordEncoder:
         self.space = regex.compile(f"[{space}]+")
         self.separators = regex.compile("[\x1c-\x1f]")
         self.split = regex.compile(split.replace(r"\s", space))
+        self.newer = Newer(path)
         self.letters = byte_letters()
         self.names = {i: t for t, i in [*self.vocab.items(), *self.specials.items()]}
         self.merged: dict[tuple[int, int], tuple[int, int]] = {}  # pair -> rank, token
@@ -80,6 +120,14 @@ class WordEncoder:
         self.words: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[int, ...]] = {}
 
+    def cut(self, chunk: str) -> list[str]:
+        """Words of a chunk without white space."""
+        if chunk.isascii() or not self.newer.no_letter.search(chunk):
+            return self.split.findall(chunk)
+        # U+0378 is no letter in any version; what it stands for is cut as it is.
+        spans = self.split.finditer(self.newer.no_letter.sub("\u0378", chunk))
+        return [chunk[m.start() : m.end()] for m in spans]
+
     def _stays(self, left: int, right: int, until: int) -> bool:
         """Whether no merge across the border comes before the rank `until`.
 
@@ -162,6 +210,8 @@ class WordEncoder:
                 out.append(self.specials[part])
             elif part:
                 if not part.isascii():
+                    if self.newer.within(part):
+                        part = self.newer.normalized(part)
                     # lower case is taken letter by letter, so sigma has one form
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
                 if self.separators.search(part):
@@ -179,7 +229,7 @@ class WordEncoder:
             self.chunks.clear()
             self.words.clear()
         new = {
-            c: (c,) if isinstance(c, int) else self.split.findall(c)
+            c: (c,) if isinstance(c, int) else self.cut(c)
             for c in wanted
             if c not in self.chunks
         }

@@ -245,10 +245,11 @@ def verified(
     spark = docs.sparkSession
     vids = pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct()
     ids = session.materialise(first.join(vids, "vid", "left_semi"), "fetch")
-    wanted = ids.select(F.col("doc").alias(id_col)).distinct()
+    wanted = ids.select("doc").distinct()
     if ids.count() <= FETCH:
         wanted = F.broadcast(wanted)  # checked just now; a larger one is shuffled
-    texts = docs.select(id_col, text_col).join(wanted, id_col, "left_semi").select(text_col)
+    named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    texts = named.join(wanted, F.col("_id").eqNullSafe(F.col("doc")), "left_semi").select("_text")
 
     def batches(it):
         for batch in it:
@@ -386,8 +387,19 @@ def link(
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
-    """The table without documents that link, directly or not, to one with a smaller id."""
-    linked = link(docs, id_col, text_col, n, percent)
-    stays: Column = F.col("component").eqNullSafe(F.col(id_col))
-    gone = linked.where(~stays).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """One row of each group of documents that link, directly or not; columns unchanged.
+
+    The row with the smallest id stays, a null id being the greatest. Rows are told apart
+    by a number that is written once, so null and repeated ids, also of different texts or
+    of equal rows, are documents of their own. Rows without words stay.
+    """
+    keyed = session.materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    linked = link(keyed, "_row", text_col, n, percent)
+    named = linked.join(keyed.select("_row", F.col(id_col).alias("_id")), "_row").select("_row", "_id", "component")
+    named = session.materialise(named, "components")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first")
+    gone = (
+        named.join(named.groupBy("component").agg(first), "component")
+        .where(F.col("_row") != F.col("first._row")).select("_row")
+    )
+    return keyed.join(gone, "_row", "left_anti").drop("_row")

@@ -195,3 +195,23 @@ def test_pipeline(spark, sf):
 
 def test_every_operator_has_a_query():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+
+
+def test_rows_with_null_and_repeated_ids(spark, sf):
+    """Verdicts, links and what stays go by row, not by id."""
+    import corpus_pipeline
+
+    good, other = (" ".join(f"{c}{j}{'aeiou'[j * j % 5]}" for j in range(60)) for c in "mv")
+    near, bad = f"{good} tail", "bad"
+    rows = [(5, good), (None, near), (None, bad), (None, other), (None, other), (3, other + " x y z w v u t s"), (3, bad), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select(
+        "*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    kept = corpus_pipeline.keep_good(spark, docs.repartition(3), sf)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted((i or 0, t) for i, t in rows if len(t) > 3)
+    assert kept.columns == docs.columns
+    linked = collections.Counter((r.doc_id, r.component) for r in jaccard_join.link(docs).collect())
+    assert linked[None, 5] == 1 and linked[5, 5] == 1
+    stays = corpus_pipeline.keep_distinct(spark, kept, sf).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in stays) == [(0, other), (3, rows[5][1]), (5, good)]
+    same = corpus_pipeline.keep_distinct(spark, docs.where("doc_id IS NULL").unionByName(docs.where("doc_id IS NULL")), sf)
+    assert sorted(r.text for r in same.collect()) == sorted([near, bad, other])

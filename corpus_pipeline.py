@@ -17,14 +17,16 @@ from posewatch.llm import bpe, decontaminate, jaccard_join, quality, secret_scan
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go. An id with a rejected row goes."""
-    judged = quality.judge(docs, tables.read(spark, sf_dir, "labels"))
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """Rows that the quality rules reject go. A label counts for one row of its document."""
+    keyed = session.materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    named = keyed.groupBy("doc_id").agg(F.min("_row").alias("_row"))
+    labels = named.join(tables.read(spark, sf_dir, "labels"), "doc_id").select(F.col("_row").alias("doc_id"), "quality")
+    judged = quality.judge(keyed, labels, id_col="_row")
+    return keyed.join(judged.where(~F.col("kept")).select("_row"), "_row", "left_anti").drop("_row")
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that link, directly or not, the one with the smallest id stays."""
+    """Of rows that link, directly or not, the one with the smallest id stays."""
     return jaccard_join.keep_first(docs)
 
 

@@ -9,13 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posewatch.functions.identity import file_suffix, safe_relative_path
+from posewatch.functions.staging import staged
 
 MIB = 1024 * 1024
 
 
 @dataclass(frozen=True)
 class Rule:
-    """One content rule. ``detail`` is reported, or the matched text after it."""
+    """One content rule. ``detail`` is reported, or the matched text after it.
+
+    A match of the pattern in ASCII text holds one of ``needs``, in lower case.
+    """
 
     category: str
     detail: str
@@ -24,6 +28,7 @@ class Rule:
     or_literal: str | None = None  # matches too
     show_match: bool = False
     suffixes: tuple[str, ...] | None = None
+    needs: tuple[str, ...] = ()
 
 
 # Suffix classes and patterns of the publication policy.
@@ -52,24 +57,52 @@ ACTIVITY = {
     "activity_threshold_label": r"(?iU)\b(?:1|10)[- ]?(?:u|µ|μ)m\b",
 }
 
+NEEDS = {
+    "activity_key": ("activity_",),
+    "activity_database": ("pdbbind", "chembl", "pubchem"),
+    "activity_measure": ("ki", "kd", "ic50", "pchembl"),
+    "activity_label": ("activity_label", "label", "active/inactive"),
+    "activity_threshold_label": ("um",),
+}
+
 
 def default_rules(forbidden: Sequence[str] = (), private: Sequence[str] = PRIVATE_PREFIXES) -> list[Rule]:
     """The content rules; project-specific literals are given by the caller."""
     rules = [Rule("private_development_content", t, t, literal=True) for t in forbidden]
     rules += [
         Rule("restricted_release_metadata", label, p, show_match=True,
-             suffixes=METADATA_SUFFIXES)
+             suffixes=METADATA_SUFFIXES, needs=NEEDS[label])
         for label, p in ACTIVITY.items()
     ]
     rules += [Rule("private_path_or_identity", p, p, literal=True) for p in private]
     rules += [
-        Rule("email_address", "email-like value", EMAIL),
-        Rule("secret", "credential-like value", CREDENTIAL, or_literal=PRIVATE_KEY),
-        Rule("forbidden_feature_or_execution", "shell execution enabled", SHELL, suffixes=(".py",)),
+        Rule("email_address", "email-like value", EMAIL, needs=("@",)),
+        Rule("secret", "credential-like value", CREDENTIAL, or_literal=PRIVATE_KEY,
+             needs=("akia", "gho_", "ghp_", "ghs_", "ghu_")),
+        Rule("forbidden_feature_or_execution", "shell execution enabled", SHELL, suffixes=(".py",), needs=("shell",)),
     ]
     return rules
 
 
+def _matches(rule: Rule) -> Column:
+    """Whether the pattern matches.
+
+    In ASCII text the Unicode flags change nothing, so there the plain pattern is used,
+    and only after one of the texts was found that a match holds.
+    """
+    text = F.col("text")
+    if rule.literal:
+        return text.contains(rule.pattern)
+    ascii_pattern = rule.pattern.replace("(?iU)", "(?i)").replace("(?U)", "")
+    quick = text.rlike(ascii_pattern)
+    if rule.needs:
+        present = F.lit(False)
+        for needed in rule.needs:
+            present = present | F.col("__lower").contains(needed)
+        quick = present & quick
+    return F.when(F.col("__lower").isNotNull(), quick).otherwise(text.rlike(rule.pattern))
+
+
 def content_findings(
     files: DataFrame, rules: Sequence[Rule], text_suffixes: Sequence[str] = TEXT_SUFFIXES
 ) -> DataFrame:
@@ -79,12 +112,14 @@ def content_findings(
     once, no join and no shuffle. ``files`` has (path, suffix, text); files with
     other suffixes are not text and have no content findings.
     """
-    files = files.filter(F.col("suffix").isin(*text_suffixes))
+    is_ascii = F.octet_length("text") == F.char_length("text")
+    files = staged(
+        files.filter(F.col("suffix").isin(*text_suffixes)), ["path", "suffix", "text"],
+        __lower=F.when(is_ascii, F.lower("text")),
+    )
     findings = []
     for rule in rules:
-        hit = (
-            F.col("text").contains(rule.pattern) if rule.literal else F.col("text").rlike(rule.pattern)
-        )
+        hit = _matches(rule)
         if rule.or_literal is not None:
             hit = F.col("text").contains(rule.or_literal) | hit
         if rule.suffixes is not None:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from posewatch.functions.documents import document_lines, json_text
 from posewatch.functions.identity import pose_id_valid, replica_id, resname_valid, task_id
 from posewatch.operators import prefix
 from posewatch.schemas import EXTERNAL_DESTINATION, RUN_SCOPE, SEED_MAX
@@ -258,11 +259,48 @@ def plan_totals(tasks: DataFrame, runs: DataFrame) -> DataFrame:
     return counts.join(workers, "run_id").select("run_id", "poses", "replicas", "workers")
 
 
-def plan_documents(tasks: DataFrame) -> DataFrame:
+def plan_lines(
+    runs: DataFrame, tasks: DataFrame, poses: DataFrame, stages: Sequence[str], work_stealing: bool = True,
+    available_cpus: int | None = None,
+) -> DataFrame:
+    """Lines of the execution plan of each run; see ``documents.document_lines``.
+
+    ``runs`` has (run_id, gpu_ids), ``tasks`` the task rows with resolved_ntomp and
+    ``poses`` (run_id, pose_id, pose_json) as of ``pose_documents``.
+    """
+    threads = tasks.groupBy("run_id").agg(F.max("resolved_ntomp").alias("__ntomp"))
+    # Names and constants of the document.
+    members = {
+        "schema_version": F.lit("2"),
+        "plan_type": json_text(F.lit("local_single_node_multi_pose")),
+        "run_id": json_text(F.col("run_id")),
+        "gpu_ids": F.to_json("gpu_ids"),
+        "worker_count": F.size("gpu_ids").cast("string"),
+        "worker_model": json_text(F.lit("one_persistent_worker_per_gpu")),
+        "tasks_per_gpu": F.lit("1"),
+        "resolved_ntomp_per_task": json_text(F.col("__ntomp")),
+        "available_cpu_count": json_text(F.lit(available_cpus).cast("int")),
+        "stages": F.to_json(F.array(*map(F.lit, stages))),
+        "work_stealing": json_text(F.lit(work_stealing)),
+        "launches_external_processes": F.lit("false"),
+    }
+    task_item = F.lpad(F.col("task_index").cast("string"), 20, "0").alias("item")
+    item = F.col("pose_id").alias("item")
+    return document_lines(
+        runs.join(threads, "run_id", "left"), members,
+        {
+            "pose_ids": poses.select("run_id", item, json_text(F.col("pose_id")).alias("entry")),
+            "tasks": plan_documents(tasks, work_stealing).select("run_id", task_item, F.col("task_json").alias("entry")),
+            "poses": poses.select("run_id", item, F.col("pose_json").alias("entry")),
+        },
+    )
+
+
+def plan_documents(tasks: DataFrame, work_stealing: bool = True) -> DataFrame:
     """Task entries of the execution plan as sorted-key JSON, one row per task."""
     body = F.to_json(
         F.struct(
-            F.lit(True).alias("eligible_for_work_stealing"),
+            F.lit(work_stealing).alias("eligible_for_work_stealing"),
             F.col("assigned_gpu_id").alias("initial_gpu_id"),
             "pose_id",
             "replica_id",

@@ -165,14 +165,16 @@ def resolve_includes(
 def include_closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """(system, path, depth) of all files reachable from the roots, each once.
 
-    ``roots`` has (system, path), ``edges`` (path, target). One level is one join;
-    visited files are dropped, so include cycles end. Each level is written to the
-    scratch folder, which keeps the plan short and survives lost executors. The
-    number of levels is the depth of the include graph.
+    ``roots`` has (system, path), ``edges`` (path, target). The closure is taken once
+    for each distinct start file and joined to the systems at the end, however many
+    start there. One level is one join; visited files are dropped, so include cycles
+    end. Each level is written to the scratch folder, which keeps the plan short and
+    survives lost executors. The number of levels is the depth of the include graph.
     """
     spark = roots.sparkSession
     base = scratch_dir(spark, "closure")
-    columns = ["system", "path"]
+    columns = ["start", "path"]
+    starts = roots.select(F.col("path").alias("start"), "path").distinct()
 
     def write(rows: DataFrame, depth: int) -> DataFrame:
         path = f"{base}/depth={depth}"
@@ -180,22 +182,24 @@ def include_closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
         return spark.read.schema(rows.select(*columns).schema).parquet(path)
 
     def visited() -> DataFrame:
-        schema = roots.select(*columns).schema.add("depth", IntegerType())
+        schema = starts.schema.add("depth", IntegerType())
         return spark.read.schema(schema).option("basePath", base).parquet(base)
 
     step = materialise(edges.select("path", "target").distinct(), "edges")
-    level = write(roots.select(*columns).distinct(), 0)
+    level = write(starts, 0)
     depth = 0
     while not level.isEmpty():
         depth += 1
         reached = (
             level.join(step, "path")
-            .select("system", F.col("target").alias("path"))
+            .select("start", F.col("target").alias("path"))
             .distinct()
             .join(visited().select(*columns), columns, "left_anti")
         )
         level = write(reached, depth)
-    return visited()
+    wanted = roots.select("system", F.col("path").alias("start"))
+    # A system with several start files has each file once, at its least depth.
+    return wanted.join(visited(), "start").groupBy("system", "path").agg(F.min("depth").alias("depth"))
 
 
 # --- stage settings ------------------------------------------------------

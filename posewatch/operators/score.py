@@ -13,15 +13,21 @@ POSE_KEY = ["run_id", "pose_id"]
 
 
 def replica_maxima(samples: DataFrame) -> DataFrame:
-    """Largest RMSD of each replica and the first time it was reached."""
+    """Largest RMSD of each replica, the first time it was reached, and its source.
+
+    ``source`` is the series file of the sample; null where the samples have none.
+    """
+    if "source" not in samples.columns:
+        samples = samples.withColumn("source", F.lit(None).cast("string"))
     peak = F.max_by(
-        F.struct("time_ps", "rmsd_nm"), F.struct(F.col("rmsd_nm"), -F.col("time_ps"))
+        F.struct("time_ps", "rmsd_nm", "source"), F.struct(F.col("rmsd_nm"), -F.col("time_ps"))
     )
     return (
         samples.groupBy(*REPLICA_KEY)
         .agg(peak.alias("p"))
         .select(
             *REPLICA_KEY,
+            F.col("p.source").alias("source"),
             F.col("p.time_ps").alias("time_ps"),
             F.col("p.rmsd_nm").alias("max_rmsd_nm"),
             nm_to_angstrom(F.col("p.rmsd_nm")).alias("max_rmsd_angstrom"),
@@ -113,7 +119,7 @@ def score_documents(scores: DataFrame, maxima: DataFrame) -> DataFrame:
         .agg(
             F.sort_array(
                 F.collect_list(
-                    F.struct("replica_id", "max_rmsd_angstrom", "max_rmsd_nm", "time_ps")
+                    F.struct("replica_id", "max_rmsd_angstrom", "max_rmsd_nm", "time_ps", "source")
                 )
             ).alias("replica_maxima")
         )
@@ -132,6 +138,7 @@ def score_documents(scores: DataFrame, maxima: DataFrame) -> DataFrame:
                     m["max_rmsd_angstrom"].alias("max_rmsd_angstrom"),
                     m["max_rmsd_nm"].alias("max_rmsd_nm"),
                     m["replica_id"].alias("replica_id"),
+                    m["source"].alias("source"),
                     m["time_ps"].alias("time_ps"),
                 ),
             ).alias("replica_maxima"),

@@ -7,9 +7,12 @@ table and not arrays in the payload, so a very large pose or run stays spread ou
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from posewatch.functions.documents import document_lines, json_text
 from posewatch.operators import prefix
 from posewatch.operators.score import POSE_KEY, REPLICA_KEY
 from posewatch.schemas import FINISH_STATUSES, PROCESS_STATES, RUN_SCOPE
@@ -830,22 +833,26 @@ def failed_evidence(replicas: DataFrame) -> DataFrame:
     )
 
 
-def run_report(runs: DataFrame, poses: DataFrame) -> DataFrame:
+# Fixed value: the line that closes the report of a run that was executed.
+EXECUTED = "- Validation surface: local prepared-system execution"
+
+
+def run_report(runs: DataFrame, poses: DataFrame, closing: Sequence[str] = (EXECUTED,)) -> DataFrame:
     """Lines of the run reports, ordered by (run_id, section, pose_id) at the sink."""
     counts = poses.groupBy("run_id").agg(F.count("*").alias("n"))
-    head = runs.join(counts, "run_id", "left").select(
-        "run_id",
-        F.posexplode(
-            F.array(
-                F.concat(F.lit("# Run report: "), F.col("run_id")),
-                F.concat(F.lit("- Status: "), F.col("status")),
-                F.concat(F.lit("- Pose count: "), F.coalesce("n", F.lit(0))),
-            )
-        ).alias("section", "line"),
+    head = [
+        F.concat(F.lit("# Run report: "), F.col("run_id")),
+        F.lit(""),
+        F.concat(F.lit("- Status: "), F.col("status")),
+        F.concat(F.lit("- Pose count: "), F.coalesce("n", F.lit(0))),
+    ]
+    sections = [*enumerate(head), *((len(head) + 1 + i, F.lit(line)) for i, line in enumerate(closing))]
+    whole = runs.join(counts, "run_id", "left").select(
+        "run_id", F.inline(F.array(*[F.struct(F.lit(i).alias("section"), x.alias("line")) for i, x in sections]))
     )
     body = poses.select(
         "run_id",
-        F.lit(3).alias("section"),
+        F.lit(len(head)).alias("section"),
         "pose_id",
         F.concat(
             F.lit("- Pose `"), F.col("pose_id"), F.lit("`: status="), F.col("status"),
@@ -854,7 +861,29 @@ def run_report(runs: DataFrame, poses: DataFrame) -> DataFrame:
             F.coalesce(F.col("md_score_angstrom").cast("string"), F.lit("null")),
         ).alias("line"),
     )
-    return head.withColumn("pose_id", F.lit("")).select(*body.columns).unionByName(body)
+    return whole.withColumn("pose_id", F.lit("")).select(*body.columns).unionByName(body)
+
+
+def run_manifest(runs: DataFrame, poses: DataFrame) -> DataFrame:
+    """Lines of the manifest document of each run; see ``documents.document_lines``."""
+    # Names of a run's files and the version of the document.
+    fixed = {
+        "schema_version": 2, "input_manifest": "input_manifest.json", "pose_manifest": "resolved_pose_manifest.yaml",
+        "resolved_config": "resolved_config.yaml", "state": "state.sqlite3",
+    }
+    members = {name: json_text(F.lit(value)) for name, value in fixed.items()}
+    members |= {name: json_text(F.col(name)) for name in ("run_id", "status", "started_at", "finished_at") if name in runs.columns}
+    entry = F.to_json(
+        F.struct("pose_id", "status", "n_replicas_requested", "md_score_angstrom"), {"ignoreNullFields": "false"}
+    )
+    item = F.col("pose_id").alias("item")
+    return document_lines(
+        runs, members,
+        {
+            "pose_ids": poses.select("run_id", item, json_text(F.col("pose_id")).alias("entry")),
+            "poses": poses.select("run_id", item, entry.alias("entry")),
+        },
+    )
 
 
 def event_code_counts(events: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Frames read from ``embeddings``: 21 points of three values each."""
+"""Frames read from ``embeddings``: 22 points of three values, the last value twice more."""
 
 from __future__ import annotations
 
@@ -10,18 +10,18 @@ from posewatch.plans.registry import query
 from posewatch.sources.frames import atoms_long
 
 BOX = 0.15
-COMPLEX = list(range(1, 22))
-LIGAND = [15, 16, 17, 18, 19, 20, 21]
+COMPLEX = list(range(1, 23))
+LIGAND = [15, 16, 17, 18, 19, 20, 21, 22]
 FIT = [1, 3, 5, 7, 9, 11]
-HEAVY = [16, 18, 20]
+HEAVY = [16, 18, 20, 22]
 
 
 def frames(spark, sf):
     points = F.transform(
-        F.sequence(F.lit(0), F.lit(20)),
+        F.sequence(F.lit(0), F.lit(21)),
         lambda a: F.transform(
             F.sequence(F.lit(0), F.lit(2)),
-            lambda k: F.get(F.col("embedding"), a * 3 + k).cast("double"),
+            lambda k: F.get(F.col("embedding"), F.least(a * 3 + k, F.lit(63))).cast("double"),
         ),
     )
     return s.table(spark, sf, "embeddings").select(
@@ -36,7 +36,7 @@ def frames(spark, sf):
 FRAMES_SQL = [
     """long AS (SELECT concat('t', label) AS trajectory_id, vec_id AS frame_no,
          CAST((i - i % 3) / 3 AS INT) + 1 AS atom, i % 3 AS axis, v FROM (
-           SELECT label, vec_id, unnest(embedding[1:63])::DOUBLE AS v, unnest(range(63)) AS i FROM embeddings))""",
+           SELECT label, vec_id, unnest(embedding || [embedding[64], embedding[64]])::DOUBLE AS v, unnest(range(66)) AS i FROM embeddings))""",
 ]
 SHIFT_SQL = f"""shifted AS (SELECT frame_no, axis, round_even((avg(v) FILTER (atom <= 14) - avg(v) FILTER (atom > 14)) / {BOX}, 0)
   * {BOX} AS shift FROM long GROUP BY frame_no, axis)"""

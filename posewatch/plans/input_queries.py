@@ -159,7 +159,7 @@ def group_sequence_check(spark, sf):
 
 # --- includes over parts -------------------------------------------------
 
-# Part p is a file; it includes the part p/2. Every fifth part lives outside the
+# Part p is a file; it includes the part p/2, so part 0 includes itself. Every fifth part lives outside the
 # prepared root, every thirteenth does not exist.
 FILE_PATH = (
     "CASE WHEN {k} % 5 = 0 THEN concat('/ext', {k} % 2, '/f', {k}, '.itp') "
@@ -174,7 +174,7 @@ INCLUDE_NAME = (
 EDGES_SQL = [
     f"""files AS (SELECT {FILE_PATH.format(k='p_partkey')} AS path FROM part WHERE p_partkey % 13 <> 1)""",
     f"""raw AS (SELECT p_partkey, {HALF} AS h, {FILE_PATH.format(k='p_partkey')} AS path,
-          {INCLUDE_NAME} AS include FROM part WHERE p_partkey > 0)""",
+          {INCLUDE_NAME} AS include FROM part)""",
     # The candidate folders hold a file of that name only in these cases.
     """edges AS (SELECT path, include, CASE
           WHEN h % 13 = 1 THEN NULL
@@ -189,7 +189,7 @@ def include_texts(spark, sf):
     body = F.concat(
         F.lit("; topology\n#include \""), F.expr(INCLUDE_NAME), F.lit("\"\n; #include \"none.itp\"\n[ end ]\n")
     )
-    return s.table(spark, sf, "part").filter("p_partkey > 0").select(
+    return s.table(spark, sf, "part").select(
         F.expr(FILE_PATH.format(k="p_partkey")).alias("path"), body.alias("text")
     )
 

@@ -11,7 +11,9 @@ from posewatch.operators import prefix, pruning, score
 from posewatch.plans import standins as s
 from posewatch.plans.registry import query
 from posewatch.session import materialise, scratch_dir
-from posewatch.sources import series
+from posewatch.sources import growing, series
+from posewatch.sources import lines as line_source
+from posewatch.streaming import monitor
 
 SCORES_SQL = """
 maxima AS (SELECT run_id, pose_id, replica_id, max(rmsd_nm) AS m FROM samples GROUP BY ALL),
@@ -39,13 +41,15 @@ CROSSED_SQL = """crossed AS (
     s.with_ctes(
         BASE,
         """SELECT run_id, pose_id, replica_id,
+             concat(pose_id, '/', replica_id, '.xvg') AS source,
              arg_min(time_ps, {'a': -rmsd_nm, 'b': time_ps}) AS time_ps,
              max(rmsd_nm) AS max_rmsd_nm, max(rmsd_nm) * 10 AS max_rmsd_angstrom
            FROM samples GROUP BY run_id, pose_id, replica_id""",
     ),
 )
 def replica_maximum(spark, sf):
-    return score.replica_maxima(s.samples(spark, sf))
+    file = F.concat("pose_id", F.lit("/"), "replica_id", F.lit(".xvg"))
+    return score.replica_maxima(s.samples(spark, sf).withColumn("source", file))
 
 
 @query("md_score", s.with_ctes([*BASE, SCORES_SQL], "SELECT * FROM scores"))
@@ -488,3 +492,76 @@ def angstrom_series(spark, sf):
         F.min("simulation_time_ps").alias("first_time_ps"),
         F.max("rmsd_angstrom").alias("max_angstrom"),
     )
+
+
+# Lines of 16 series files, some with faults.
+SERIES_LINE = {
+    "g": "CAST(user_id % 16 AS INT)",
+    "event_id": "event_id",
+    "line": "CASE WHEN user_id % 16 = 1 AND event_id % 997 = 5 THEN 'x y' "
+            "WHEN user_id % 16 = 2 AND event_id % 499 = 7 THEN '0 0.1' "
+            "WHEN user_id % 16 = 3 AND event_id % 997 = 11 THEN '1 2 3' "
+            "ELSE concat(event_id, ' ', value / 1000) END",
+}
+SERIES_LINES_SQL = [
+    s.select_sql("numbered", SERIES_LINE, "events"),
+    """parsed AS (SELECT g, event_id, string_split(line, ' ') AS w, TRY_CAST(string_split(line, ' ')[1] AS DOUBLE) AS t,
+         TRY_CAST(string_split(line, ' ')[2] AS DOUBLE) AS r FROM numbered)""",
+    """checked AS (SELECT *, CASE WHEN len(w) <> 2 THEN 'column_count' WHEN t IS NULL THEN 'non_numeric'
+         WHEN t <= lag(t) OVER (PARTITION BY g ORDER BY event_id) THEN 'time_not_increasing' END AS reason FROM parsed)""",
+]
+
+
+def series_lines(spark, sf, path, some="true"):
+    """One file per group below ``path``, lines in order of the events, led by a comment."""
+    head = F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("# note\n\n"), "line")).otherwise(F.col("line"))
+    lines = s.table(spark, sf, "events").where(some).selectExpr(*s.exprs(SERIES_LINE)).withColumn("line", head)
+    ordered = lines.repartition("g").sortWithinPartitions("g", "event_id").select("line", "g")
+    ordered.write.mode("append").partitionBy("g").text(path)
+
+
+def group_of(path):
+    return F.regexp_extract(path, r"g=(\d+)", 1).cast("int").alias("g")
+
+
+@query(
+    "series_ranges",
+    s.with_ctes(
+        SERIES_LINES_SQL,
+        """SELECT g, arg_min(reason, event_id) FILTER (reason IS NOT NULL) AS file_reason, count(reason) AS n_faults,
+             CASE WHEN count(reason) = 0 THEN count(*) ELSE 0 END AS n_samples,
+             CASE WHEN count(reason) = 0 THEN max(r) END AS max_rmsd_nm FROM checked GROUP BY g""",
+    ),
+)
+def series_ranges(spark, sf):
+    """Series files scanned in byte ranges: faults, verdicts and accepted samples."""
+    path = scratch_dir(spark, "series-files")
+    series_lines(spark, sf, path)
+    found = line_source.scan(spark, path, "*.txt")
+    faults = line_source.quarantine(found).groupBy(group_of(F.col("path"))).agg(F.count("line_no").alias("n_faults"))
+    good = line_source.accepted(found).groupBy(group_of(F.col("path"))).agg(
+        F.count("*").alias("n_samples"), F.max("rmsd_nm").alias("max_rmsd_nm")
+    )
+    files = found.files.select(group_of(F.col("path")), "file_reason")
+    return files.join(faults, "g", "left").join(good, "g", "left").fillna(0, ["n_faults", "n_samples"])
+
+
+@query(
+    "stream_growing_series",
+    s.with_ctes(
+        SERIES_LINES_SQL,
+        """SELECT g, count(*) AS n_lines, count(CASE WHEN len(w) <> 2 OR t IS NULL THEN 1 END) AS n_rejected, max(r) FILTER (len(w) = 2 AND t IS NOT NULL) AS max_rmsd_nm
+           FROM checked GROUP BY g""",
+    ),
+)
+def stream_growing_series(spark, sf):
+    """Lines of a folder that grows between two runs of the same stream."""
+    path, log = scratch_dir(spark, "growing"), scratch_dir(spark, "growing-log")
+    for some in ("event_id % 2 = 0", "event_id % 2 = 1"):
+        series_lines(spark, sf, path, some)
+        lines = monitor.run_changelog(growing.appended_samples(spark, path, "*.txt"), "append", log)
+    rejected = F.col("reason").isNotNull()
+    return lines.groupBy(group_of(F.col("path"))).agg(
+        F.count("*").alias("n_lines"), F.count_if(rejected).alias("n_rejected"),
+        F.max(F.when(~rejected, F.col("rmsd_nm"))).alias("max_rmsd_nm"),
+    )

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from posewatch.functions.documents import ORDER
 from posewatch.functions.settings import utc_text
 from posewatch.operators import planning, quality, queues
 from posewatch.operators import transitions as tr
 from posewatch.plans import standins as s
 from posewatch.plans.registry import query
-from posewatch.schemas import EVENTS, EXTERNAL_DESTINATION
+from posewatch.schemas import EVENTS, EXTERNAL_DESTINATION, POSE_SUMMARY_COLUMNS
 from posewatch.session import materialise, scratch_dir
+from posewatch.sources import exports
 from posewatch.sources.manifest import parse_pose_manifest
 from posewatch.sources.state import (
     as_log_events,
@@ -25,7 +27,6 @@ from posewatch.sources.state import (
 from posewatch.sources.state import replace_artifacts as write_artifacts
 
 
-
 def now():
     return F.lit("2026-01-01T00:00:00Z")
 
@@ -130,6 +131,39 @@ def execution_plan(spark, sf):
     return planning.plan_documents(seeded_tasks(spark, sf).withColumn("resolved_ntomp", F.lit(4)))
 
 
+@query(
+    "execution_plan_lines",
+    s.with_ctes(
+        PLAN_SQL,
+        """SELECT run_id, count(DISTINCT pose_id) AS n_poses, count(*) AS n_tasks, max(gpu) AS last_gpu,
+             2 AS schema_version, true AS in_order FROM numbered GROUP BY run_id""",
+    ),
+)
+def execution_plan_lines(spark, sf):
+    """The plan document of each run, put together from its lines and parsed again."""
+    poses = plan_poses(spark, sf).select(
+        "run_id", "pose_id", "pose_no", "gpu_ids",
+        planning.base_seeds(F.col("base_seed"), F.col("replicas")).alias("seeds"),
+        F.lit(False).alias("pruning_enabled"), F.lit(None).cast("double").alias("pruning_threshold_angstrom"),
+    )
+    tasks = materialise(planning.expand_tasks(poses).withColumn("resolved_ntomp", F.lit(4)), "plan")
+    named = planning.pose_documents(
+        poses.withColumn("n_replicas_requested", F.size("seeds")),
+        planning.checksum_maps(spark.createDataFrame([], "run_id string, pose_id string, destination string, sha256 string")),
+    )
+    lines = planning.plan_lines(plan_runs(spark, sf), tasks, named, ["nvt", "npt", "production"])
+    # The runs of this stand-in have few poses, so a document fits a row.
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, "line"))), lambda x: x["line"]), "\n")
+    plan = F.from_json("text", "schema_version int, run_id string, pose_ids array<string>, poses array<struct<pose_id:string>>, "
+                       "tasks array<struct<task_id:string,initial_gpu_id:int>>")
+    parsed = lines.groupBy("run_id").agg(text.alias("text")).select(plan.alias("p"))
+    return parsed.select(
+        "p.run_id", F.size("p.poses").cast("long").alias("n_poses"), F.size("p.tasks").cast("long").alias("n_tasks"),
+        F.array_max(F.transform("p.tasks", lambda t: t["initial_gpu_id"])).alias("last_gpu"), "p.schema_version",
+        (F.col("p.pose_ids") == F.array_sort(F.col("p.poses.pose_id"))).alias("in_order"),
+    )
+
+
 @query(
     "plan_state_tables",
     s.with_ctes(
@@ -1037,17 +1071,62 @@ def failed_evidence(spark, sf):
     s.with_ctes(
         s.STATE_SQL,
         """SELECT run_id, 0 AS section, '' AS pose_id, concat('# Run report: ', run_id) AS line FROM runs
-           UNION ALL SELECT run_id, 1, '', concat('- Status: ', status) FROM runs
-           UNION ALL SELECT run_id, 2, '', concat('- Pose count: ', count(*)) FROM poses GROUP BY run_id
-           UNION ALL SELECT run_id, 3, pose_id, concat('- Pose `', pose_id, '`: status=', status, ', replicas=',
+           UNION ALL SELECT run_id, 1, '', '' FROM runs
+           UNION ALL SELECT run_id, 2, '', concat('- Status: ', status) FROM runs
+           UNION ALL SELECT run_id, 3, '', concat('- Pose count: ', count(*)) FROM poses GROUP BY run_id
+           UNION ALL SELECT run_id, 4, pose_id, concat('- Pose `', pose_id, '`: status=', status, ', replicas=',
              n_replicas_requested, ', MD-score (angstrom)=',
-             coalesce(CAST(md_score_angstrom AS VARCHAR), 'null')) FROM poses""",
+             coalesce(CAST(md_score_angstrom AS VARCHAR), 'null')) FROM poses
+           UNION ALL SELECT run_id, 5, '', '- Validation surface: local prepared-system execution' FROM runs""",
     ),
 )
 def run_report(spark, sf):
     return tr.run_report(s.runs(spark, sf), s.poses(spark, sf))
 
 
+@query(
+    "export_read_back",
+    s.with_ctes(
+        s.STATE_SQL,
+        """SELECT right(run_id, 1) AS run_id, count(*) AS n_poses, count(DISTINCT pose_id) AS n_names,
+             count(md_score_angstrom) AS n_scores, max(md_score_angstrom) AS max_score, 4 AS n_files,
+             6 + count(*) - 1 AS n_report_lines, true AS manifest_whole
+           FROM poses GROUP BY ALL""",
+    ),
+)
+def export_read_back(spark, sf):
+    """Summaries, report and manifest of ten large runs, published and read back."""
+    whole = F.right("run_id", F.lit(1))
+    poses = s.poses(spark, sf).withColumns(
+        {"run_id": whole, "started_at": F.lit(None).cast("string"), "finished_at": F.lit(None).cast("string")}
+    )
+    replicas = s.replicas(spark, sf).withColumn("run_id", whole)
+    runs = s.runs(spark, sf).groupBy(whole.alias("run_id")).agg(F.min("status").alias("status"))
+    export = exports.Export(spark, scratch_dir(spark, "exports"))
+    export.csv(tr.pose_summary(poses, replicas), "pose_summary.csv", POSE_SUMMARY_COLUMNS, ["pose_id"])
+    maxima = replicas.select("run_id", "pose_id", "replica_id", "max_rmsd_nm")
+    export.csv(maxima, "replica_maxima.csv", maxima.columns, ["pose_id", "replica_id"])
+    export.lines(tr.run_report(runs, poses), "run_report.md", ["section", "pose_id"])
+    export.lines(tr.run_manifest(runs, poses), "run_manifest.json", ORDER)
+    export.publish()
+    folder = exports.current(export.root)
+    back = exports.read_csv(spark, folder, "pose_summary.csv", "run_id string, pose_id string, status string, "
+                            "n_replicas_requested int, n_replicas_completed long, md_score_angstrom double")
+    found = back.groupBy("run_id").agg(
+        F.count("*").alias("n_poses"), F.count_distinct("pose_id").alias("n_names"),
+        F.count("md_score_angstrom").alias("n_scores"), F.max("md_score_angstrom").alias("max_score"),
+    )
+    listed = exports.read_lines(spark, folder, exports.CHECKSUMS).groupBy("run_id").agg(F.count("*").alias("n_files"))
+    report = exports.read_lines(spark, folder, "run_report.md").groupBy("run_id").agg(F.count("*").alias("n_report_lines"))
+    manifest = spark.read.text(f"{folder}/table-*/part-*/*/run_manifest.json", wholetext=True).select(
+        F.from_json("value", "run_id string, poses array<struct<pose_id:string>>").alias("m")
+    ).select("m.run_id", F.size("m.poses").cast("long").alias("n_listed"))
+    return (
+        found.join(listed, "run_id").join(report, "run_id").join(manifest, "run_id")
+        .withColumn("manifest_whole", F.col("n_listed") == F.col("n_poses")).drop("n_listed")
+    )
+
+
 EXPORTED = "event_id % 3 = 1"
 PARAMS = (
     "CASE WHEN event_id % 9 = 1 THEN concat('{\"state_sequence\": \"', event_id, '\"}') "

@@ -65,3 +65,28 @@ def manifest_presence(raw_json: Column) -> Column:
         for name in names
     ]
     return F.struct(unknown.alias("unknown_fields"), *flags)
+
+
+def manifest_documents(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Whole manifest documents (manifest, text): their entries and what is wrong with the root.
+
+    A document is an object of ``schema_version`` 1 and a list ``poses`` with at least one
+    entry. Returns (manifest, pose_no, value) with the entry texts for
+    ``parse_pose_manifest``, and (manifest, reason).
+    """
+    root = F.from_json("text", "schema_version string, poses array<string>", {"mode": "PERMISSIVE"})
+    keys = F.coalesce(F.json_object_keys("text"), F.array().cast("array<string>"))
+    version = F.get_json_object("text", "$.schema_version")
+    read = texts.select("manifest", "text", root.alias("r"), keys.alias("keys"), version.alias("version"))
+    # Keys and version of the document.
+    extra = F.array_except("keys", F.array(F.lit("schema_version"), F.lit("poses")))
+    reasons = F.array_compact(
+        F.array(
+            F.when(F.try_parse_json("text").isNull() | ~F.ltrim("text").startswith("{"), "not an object"),
+            F.when(F.col("version").isNull() | (F.col("version") != "1"), "schema_version is not 1"),
+            F.when(F.col("r.poses").isNull() | (F.size("r.poses") < 1), "no poses"),
+            F.when(F.size(extra) > 0, F.concat(F.lit("unknown field "), F.array_join(extra, ", "))),
+        )
+    )
+    entries = read.select("manifest", F.posexplode("r.poses").alias("pose_no", "value"))
+    return entries, read.select("manifest", F.explode(reasons).alias("reason"))

@@ -42,7 +42,7 @@ def test_bpe_letters_of_one_unicode_version(library):
     e = bpe.WordEncoder(public_tokenizers.path(queries.TOKENIZER))
     odd = [chr(c) for c in range(0x110000) if e.newer.any.match(chr(c)) and (e.newer.no_letter.match(chr(c)) or chr(c).isalnum() or e.split.fullmatch(chr(c) * 2))]
     rest = [chr(c) for c in range(0, 0x110000, 97) if not 0xD800 <= c < 0xE000]
-    texts = [f"A{c}1{c}B {c}{c}!" for c in [*odd, *rest, "\u0558", "\u088f", "\u1c89", "\ua7cb", "\U0003347f"]]
+    texts = [f"A{c}1{c}B {c}{c}!" for c in [*odd[::4], *rest, "\u0558", "\u088f", "\u1c89", "\ua7cb", "\U0003347f"]]
     want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
     assert e.encode(texts) == want
 

@@ -194,7 +194,7 @@ def test_pipeline(spark, sf):
 
 
 def test_every_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
 
 
 def test_rows_with_null_and_repeated_ids(spark, sf):

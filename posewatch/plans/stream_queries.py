@@ -16,25 +16,38 @@ from posewatch.streaming import monitor
 PARTS = 4
 
 
-def event_stream(spark, sf):
-    """The events as at least four micro-batches, in the order of their id.
+def arriving(spark, sf, drained):
+    """The events arrive in four parts, in the order of their id; the result of the last drain.
 
-    The parts are written one after the other, so later ids lie in later files.
+    ``drained(events)`` runs a stream over what has landed to its end and goes on from its own
+    checkpoint. A part is written only after the one before it was drained, so a batch never
+    holds earlier ids than the batches before it, whatever the number of files and their times.
+    A part reads the row groups of its ids.
     """
     events = s.table(spark, sf, "events")
     path = scratch_dir(spark, "arriving")
     lo, hi = events.agg(F.min("event_id"), F.max("event_id")).first()
-    step = ((hi or 0) - (lo or 0)) // PARTS + 1
-    part = F.coalesce((F.col("event_id") - F.lit(lo or 0)) / step, F.lit(0)).cast("int")
+    lo, hi = lo or 0, hi or 0
+    step = (hi - lo) // PARTS + 1
     for k in range(PARTS):
-        events.filter(part == k).write.mode("append").parquet(path)
-    arrived = spark.read.schema(events.schema).parquet(path)
-    return monitor.parquet_stream(spark, path, events.schema, max(1, len(arrived.inputFiles()) // PARTS))
+        low = lo + k * step
+        part = (F.col("event_id") >= low) & (F.col("event_id") < low + step)
+        if k == 0:
+            part = part | F.col("event_id").isNull()
+        events.filter(part).write.mode("append").parquet(path)
+        result = drained(monitor.parquet_stream(spark, path, events.schema))
+    return result
 
 
-def sample_stream(spark, sf):
+def timed(events):
     time_ps = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
-    return s.with_time(event_stream(spark, sf), time_ps)
+    return s.with_time(events, time_ps)
+
+
+def changes(spark, sf, job):
+    """Changelog of the stream ``job(events)`` over the arriving events."""
+    path = scratch_dir(spark, "changelog")
+    return arriving(spark, sf, lambda events: monitor.run_changelog(job(events), path=path))
 
 
 @query(
@@ -47,9 +60,14 @@ def sample_stream(spark, sf):
 )
 def stream_dedup(spark, sf):
     """Every sample arrives twice, as in overlapping snapshots."""
-    samples = sample_stream(spark, sf).drop("event_id")
-    twice = samples.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).drop("copy")
-    return monitor.newer_samples(twice).groupBy(*REPLICA_KEY).agg(
+    path = scratch_dir(spark, "changelog")
+
+    def drained(events):
+        samples = timed(events).drop("event_id")
+        twice = samples.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).drop("copy")
+        return monitor.newer_samples(twice, path)
+
+    return arriving(spark, sf, drained).groupBy(*REPLICA_KEY).agg(
         F.count("*").alias("samples_observed"), F.min("rmsd_nm").alias("least_rmsd_nm")
     )
 
@@ -64,15 +82,14 @@ def stream_dedup(spark, sf):
     ),
 )
 def stream_maximum(spark, sf):
-    log = monitor.run_changelog(monitor.replica_state(sample_stream(spark, sf)))
+    log = changes(spark, sf, lambda events: monitor.replica_state(timed(events)))
     return monitor.latest(log, REPLICA_KEY)
 
 
 @query("stream_trigger", s.with_ctes([*BASE, CROSSED_SQL], TRIGGER_SQL))
 def stream_trigger(spark, sf):
-    log = monitor.run_changelog(
-        monitor.triggers(sample_stream(spark, sf), s.sample_poses(spark, sf))
-    )
+    poses = s.sample_poses(spark, sf)
+    log = changes(spark, sf, lambda events: monitor.triggers(timed(events), poses))
     return monitor.latest(log, ["run_id", "pose_id"])
 
 
@@ -86,8 +103,9 @@ def stream_trigger(spark, sf):
 )
 def stream_pruning_events(spark, sf):
     """Every crossing replica gives one event, the first of a pose prunes it."""
-    reports = monitor.replica_triggers(sample_stream(spark, sf), s.sample_poses(spark, sf))
-    events = monitor.pruning_events(monitor.run_changelog(reports))
+    poses = s.sample_poses(spark, sf)
+    reports = changes(spark, sf, lambda events: monitor.replica_triggers(timed(events), poses))
+    events = monitor.pruning_events(reports)
     return events.groupBy("run_id", "pose_id").agg(
         F.count_if(F.col("code") == "POSE_PRUNED").alias("n_pruned"),
         F.count("*").alias("n_reports"),
@@ -99,20 +117,21 @@ def stream_pruning_events(spark, sf):
 def stream_catch_up(spark, sf):
     """The stream sees two thirds of the samples; the rest is scanned afterwards."""
     poses = s.sample_poses(spark, sf)
-    live = sample_stream(spark, sf).filter("event_id % 3 <> 0")
-    seen = monitor.latest(
-        monitor.run_changelog(monitor.triggers(live, poses)), ["run_id", "pose_id"]
-    )
+    log = changes(spark, sf, lambda events: monitor.triggers(timed(events).filter("event_id % 3 <> 0"), poses))
+    seen = monitor.latest(log, ["run_id", "pose_id"])
     late = s.samples(spark, sf).filter("event_id % 3 = 0")
     return monitor.caught_up_triggers(seen, late, poses)
 
 
 @query("stream_failures", FAILURES_SQL)
 def stream_failures(spark, sf):
-    snapshots = event_stream(spark, sf).select(
-        "user_id", "event_id", (F.col("event_type") == "error").alias("failed")
-    )
-    return monitor.failure_runs(snapshots, ["user_id"], "event_id", 3)
+    path = scratch_dir(spark, "changelog")
+
+    def drained(events):
+        snapshots = events.select("user_id", "event_id", (F.col("event_type") == "error").alias("failed"))
+        return monitor.failure_runs(snapshots, ["user_id"], "event_id", 3, path)
+
+    return arriving(spark, sf, drained)
 
 
 @query(
@@ -126,8 +145,7 @@ def stream_failures(spark, sf):
     ),
 )
 def stream_progress(spark, sf):
-    messages = event_stream(spark, sf).selectExpr(*s.exprs(s.MESSAGE))
-    log = monitor.run_changelog(monitor.progress(messages))
+    log = changes(spark, sf, lambda events: monitor.progress(events.selectExpr(*s.exprs(s.MESSAGE))))
     return monitor.latest(log, ["task_id", *REPLICA_KEY]).select(
         "task_id", "stage_reached", "trajectory_time_completed_ps", "max_rmsd_nm", "n_heartbeats"
     )
@@ -139,11 +157,15 @@ def stream_progress(spark, sf):
 )
 def stream_event_export(spark, sf):
     """State events appended to a log once, although each arrives twice."""
-    events = event_stream(spark, sf).select(
-        (F.col("user_id") % 4).alias("run_id"), F.col("event_id").alias("sequence"),
-        F.col("event_type").alias("code"),
-    )
-    twice = events.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).drop("copy")
     path = scratch_dir(spark, "event-log")
-    monitor.export_events(twice, path)
-    return spark.read.schema(events.schema).parquet(path).select(*events.columns)
+
+    def drained(arrived):
+        events = arrived.select(
+            (F.col("user_id") % 4).alias("run_id"), F.col("event_id").alias("sequence"),
+            F.col("event_type").alias("code"),
+        )
+        twice = events.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).drop("copy")
+        monitor.export_events(twice, path)
+        return spark.read.schema(events.schema).parquet(path).select(*events.columns)
+
+    return arriving(spark, sf, drained)

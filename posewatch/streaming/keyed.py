@@ -27,13 +27,14 @@ BLOCK = 1 << 16
 
 def _rows(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """The rows of one key in one micro-batch."""
-    return pd.concat(list(batches), ignore_index=True)
+    held = list(batches)
+    return held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
 
 
 def _later(rows: pd.DataFrame, latest: float | None) -> pd.DataFrame:
     """One row per time above the latest one seen, in time order."""
-    rows = rows.sort_values("time_ps", kind="stable").drop_duplicates("time_ps")
-    return rows if latest is None else rows[rows["time_ps"] > latest]
+    time, first = np.unique(rows["time_ps"].to_numpy(float), return_index=True)
+    return rows.iloc[first if latest is None else first[time > latest]]
 
 
 class NewSamples(StatefulProcessor):
@@ -61,11 +62,14 @@ class ReplicaWatch(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         n, latest, top = self.watch.get() or (0, None, None)
-        new = _later(_rows(rows), latest)
-        if len(new):
-            n += len(new)
-            latest = float(new["time_ps"].iloc[-1])
-            here = float(new["rmsd_nm"].max())
+        rows = _rows(rows)
+        time = np.unique(rows["time_ps"].to_numpy(float))
+        time = time if latest is None else time[time > latest]
+        if len(time):
+            n += len(time)
+            latest = float(time[-1])
+            # of all rows, as samples of one time may differ
+            here = float(rows["rmsd_nm"].max())
             top = here if top is None else max(top, here)
             self.watch.update((n, latest, top))
         yield pd.DataFrame([[*key, n, latest, top]], columns=[*REPLICA_KEY, "samples_observed", "latest_time_ps", "maximum_rmsd_nm"])

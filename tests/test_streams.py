@@ -152,3 +152,44 @@ def test_series_files_as_a_stream(spark, tmp_path):
     (folder / "b.xvg").write_text("0 0.1\n0 0.2\n")
     got = monitor.run_changelog(monitor.series_file_stream(spark, str(folder)), "append")
     assert rows(got.select(F.element_at(F.split("path", "/"), -1), "time_ps"), "time_ps") == [("a.xvg", 0.0), ("a.xvg", 10.0)]
+
+
+def many_files(spark, folder, n=40_000):
+    """Events in a file of several row groups, which a scan of small splits reads in many tasks."""
+    rows_ = spark.range(n).selectExpr(
+        "id AS event_id", "timestamp_micros(id * 1000) AS ts", "id % 3 AS user_id",
+        "CASE WHEN id DIV 3 % 5 < 4 THEN 'error' ELSE 'view' END AS event_type",
+        "CAST(id % 977 AS DOUBLE) AS value", "'{}' AS props",
+    )
+    rows_.toPandas().to_parquet(
+        folder / "events.parquet", index=False, row_group_size=n // 13, coerce_timestamps="us", allow_truncated_timestamps=True
+    )
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["stream_failures", "stream_dedup", "stream_maximum"])
+def test_parts_of_many_files_arrive_in_order(spark, tmp_path, name):
+    import duckdb
+
+    import __spark_entry__ as contract
+
+    sf = many_files(spark, tmp_path)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        found = contract.queries()[name](spark, sf)
+        found = sorted(map(tuple, found.select(*sorted(found.columns)).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    columns = ", ".join(sorted(r[0] for r in db.execute("DESCRIBE " + contract.oracle_sql()[name]).fetchall()))
+    wanted = db.execute(f"SELECT {columns} FROM ({contract.oracle_sql()[name]})").fetchall()
+    assert found == sorted(wanted, key=str)
+
+
+def test_maximum_counts_samples_of_one_time(spark, tmp_path):
+    path = land(spark, tmp_path, SAMPLE, [("r", "p", "a", 0.0, 0.1), ("r", "p", "a", 0.0, 0.3)], [("r", "p", "a", 1.0, 0.2)])
+    log = monitor.run_changelog(monitor.replica_state(stream(spark, path, SAMPLE)))
+    row = monitor.latest(log, REPLICA_KEY).first()
+    assert (row.samples_observed, row.latest_time_ps, row.maximum_rmsd_nm) == (2, 1.0, 0.3)

@@ -189,7 +189,7 @@ def include_texts(spark, sf):
     body = F.concat(
         F.lit("; topology\n#include \""), F.expr(INCLUDE_NAME), F.lit("\"\n; #include \"none.itp\"\n[ end ]\n")
     )
-    return s.table(spark, sf, "part").select(
+    return s.spread(s.table(spark, sf, "part"), "p_partkey").select(
         F.expr(FILE_PATH.format(k="p_partkey")).alias("path"), body.alias("text")
     )
 
@@ -241,7 +241,7 @@ CASE WHEN p_partkey % 37 = 0 THEN '\nDT = 0.002\n' ELSE '\n' END) END"""
 
 def settings(spark, sf):
     """(system, stage, key, value) parsed from one text per part and stage."""
-    stages = s.table(spark, sf, "part").select(
+    stages = s.spread(s.table(spark, sf, "part"), "p_partkey").select(
         "*", F.explode(F.array(*map(F.lit, ["nvt", "npt", "production"]))).alias("stage")
     )
     texts = stages.selectExpr(
@@ -249,10 +249,8 @@ def settings(spark, sf):
         "stage",
         SETTINGS_TEXT.replace("CASE {stage}", "CASE stage").replace("; {stage}", "; text") + " AS text",
     )
-    files = texts.select(F.struct("system", "stage").alias("path"), "text")
-    return prepared_source.scan_settings(files).filter("reason IS NULL").select(
-        "path.system", "path.stage", "key", "value"
-    )
+    # The rows stay dealt by system, so sums by system shuffle nothing.
+    return prepared_source.scan_settings(texts).filter("reason IS NULL").select("system", "stage", "key", "value")
 
 
 def systems(spark, sf):

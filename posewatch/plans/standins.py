@@ -15,6 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SPREAD_ROWS = 20_000
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """A table dealt by its key, so many rows a task that texts made of them stay small.
+
+    A table of few bytes is one split of a scan however long the texts made of its rows are.
+    """
+    return rows.repartition(max(1, -(-rows.count() // SPREAD_ROWS)), key)
+
+
 def exprs(columns: dict[str, str]) -> list[str]:
     return [f"{e} AS {name}" for name, e in columns.items()]
 

@@ -100,7 +100,8 @@ def scan_index(files: DataFrame) -> DataFrame:
 
 
 def scan_settings(files: DataFrame) -> DataFrame:
-    """(path, line_no, key, value, reason) of stage settings files."""
+    """(file columns, line_no, key, value, reason) of stage settings files."""
+    kept = [c for c in files.columns if c != "text"]
     content = F.transform(
         F.split("text", text.TEXT_LINE_END),
         lambda line, i: F.struct(
@@ -118,8 +119,8 @@ def scan_settings(files: DataFrame) -> DataFrame:
         )
 
     settings = F.transform(F.filter(content, lambda x: x["line"] != ""), setting)
-    return files.select("path", F.inline(settings)).select(
-        "path",
+    return files.select(*kept, F.inline(settings)).select(
+        *kept,
         "line_no",
         F.when(F.col("n") == 2, normalise_key(F.col("key"))).alias("key"),
         F.nullif("value", F.lit("")).alias("value"),

@@ -13,6 +13,8 @@ DIGEST = r"^[0-9a-f]{64}\z"
 CONTROL = r"[\x00-\x1f]"
 UNSAFE_RUN = r"[^A-Za-z0-9_.-]+"
 SLUG_LENGTH = 40
+# What the slug is made of: past leading dots, dashes and unsafe characters, a run of those is one.
+SLUG_SOURCE = rf"^[^A-Za-z0-9_]*+((?:[A-Za-z0-9_.-]|[^A-Za-z0-9_.-]++){{0,{SLUG_LENGTH}}})"
 
 
 def pose_id_valid(pose_id: Column) -> Column:
@@ -34,16 +36,16 @@ def safe_relative_path(path: Column) -> Column:
 
 def pose_key(pose_id: Column) -> Column:
     """Readable slug plus the SHA-256 of the raw ID; distinct IDs keep distinct keys."""
-    slug = F.regexp_replace(pose_id, UNSAFE_RUN, "-")
-    slug = F.regexp_replace(slug, r"^[-.]+|[-.]+\z", "")
-    slug = F.regexp_replace(F.substring(slug, 1, SLUG_LENGTH), r"[-.]+\z", "")
-    slug = F.when(slug == "", "pose").otherwise(slug)
+    # Characters beyond the slug change nothing: cutting strips the end anyway.
+    slug = F.regexp_replace(F.regexp_extract(pose_id, SLUG_SOURCE, 1), UNSAFE_RUN, "-")
+    slug = F.regexp_replace(slug, r"[-.]+\z", "")
+    slug = F.regexp_replace(slug, r"^\z", "pose")
     return F.concat(slug, F.lit("--"), F.sha2(pose_id.cast("binary"), 256))
 
 
 def safe_label(value: Column) -> Column:
     cleaned = F.regexp_replace(F.regexp_replace(value, UNSAFE_RUN, "-"), r"^-+|-+\z", "")
-    return F.when(cleaned == "", "run").otherwise(cleaned)
+    return F.regexp_replace(cleaned, r"^\z", "run")  # a condition would work it out twice
 
 
 def replica_id(number: Column) -> Column:

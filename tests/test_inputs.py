@@ -305,3 +305,26 @@ def test_settings_texts_are_spread_by_rows(spark, sf, monkeypatch):
     parts = spark.read.parquet(f"{sf}/part.parquet").count()
     assert input_queries.settings(spark, sf).rdd.getNumPartitions() == -(-parts // 50)
     assert input_queries.include_texts(spark, sf).rdd.getNumPartitions() == -(-parts // 50)
+
+
+def test_pose_key_reads_no_more_than_the_slug_needs(spark):
+    import hashlib
+    import random
+    import re
+
+    from posewatch.functions import identity
+
+    draw = random.Random(5)
+    texts = ["", "---", ".-. \n", "é" * 50, "a" * 41, "a" * 39 + "--b", "x" + "-" * 60 + "y", "-." * 30 + "b c"]
+    texts += ["".join(draw.choices("ab_.- \n\u00e9\U0001f600", k=draw.randrange(120))) for _ in range(500)]
+    keyed = spark.createDataFrame([(x,) for x in texts], "t string").select("t", identity.pose_key(F.col("t")).alias("k"))
+
+    def slow(x):
+        slug = re.sub(r"^[-.]+|[-.]+\Z", "", re.sub(r"[^A-Za-z0-9_.-]+", "-", x))
+        return (re.sub(r"[-.]+\Z", "", slug[:40]) or "pose") + "--" + hashlib.sha256(x.encode()).hexdigest()
+
+    assert all(r.k == slow(r.t) for r in keyed.collect())
+    plan = keyed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 1 and plan.count("sha2") == 1
+    label = spark.range(1).select(identity.safe_label(F.col("id").cast("string")).alias("label"))
+    assert label._jdf.queryExecution().optimizedPlan().toString().count(identity.UNSAFE_RUN) == 1

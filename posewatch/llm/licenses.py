@@ -59,18 +59,17 @@ def declared(files: DataFrame, known: DataFrame, threshold: float = THRESHOLD) -
     """
     posts = known.select("template", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy(
         "template", "license", "term").agg(F.count("*").alias("tf"))
-    # lists of template words are bounded by the templates given
-    vocabulary = F.broadcast(posts.select("term").distinct())
-    seen = (
+    # In how many files each word occurs, template word or not; summed in the tasks first.
+    seen = session.materialise(
         files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-        .join(vocabulary, "term", "left_semi")
         .groupBy("term")
-        .agg(F.count("*").alias("df"))
+        .agg(F.count("*").alias("df")),
+        "licence-words",
     )
     total = files.agg(F.count("text").alias("total"))
     idf = F.log((F.col("total") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     weighed = session.materialise(
-        posts.join(seen, "term", "left")
+        posts.join(seen.join(F.broadcast(posts.select("term").distinct()), "term", "left_semi"), "term", "left")
         .crossJoin(F.broadcast(total))  # one row
         .select("template", "license", "term", idf.alias("idf"), (F.col("tf") * idf).alias("w")),
         "licence-templates",
@@ -90,9 +89,9 @@ def declared(files: DataFrame, known: DataFrame, threshold: float = THRESHOLD) -
     )
     counted = likely.select("key", "line", F.explode(terms(F.col("words"))).alias("term")).groupBy(
         "key", "line", "term").agg(F.count("*").alias("n"))
-    idfs = weighed.select("term", "idf").distinct()
-    vectors = counted.join(F.broadcast(idfs), "term", "left").crossJoin(F.broadcast(total)).select(
-        "key", "line", "term", (F.col("n") * F.coalesce("idf", F.log((F.col("total") + 1) / 2) + 1)).alias("x"))
+    # The large side is the lines' words; every one of them occurs in a file.
+    vectors = counted.join(seen, "term").crossJoin(F.broadcast(total)).select(
+        "key", "line", "term", (F.col("n") * idf).alias("x"))
     length = vectors.groupBy("key", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
     dots = (
         vectors.join(F.broadcast(weighed.select("template", "license", "term", "w", "norm")), "term")

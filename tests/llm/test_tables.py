@@ -215,3 +215,33 @@ def test_rows_with_null_and_repeated_ids(spark, sf):
     assert sorted((r.doc_id or 0, r.text) for r in stays) == [(0, other), (3, rows[5][1]), (5, good)]
     same = corpus_pipeline.keep_distinct(spark, docs.where("doc_id IS NULL").unionByName(docs.where("doc_id IS NULL")), sf)
     assert sorted(r.text for r in same.collect()) == sorted([near, bad, other])
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_license_lines_weigh_every_word_by_its_files(spark, copies):
+    import math
+    import re
+    from collections import Counter
+
+    texts = ["This file is released under the MIT License.", "this file is long\nand this file is plain"]
+    texts += [f"this file is number {i}, all rights kept" for i in range(60 * copies)] + ["ALL rights reserved here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    got = {r.key: (r.license, r.similarity) for r in licenses.declared(df, licenses.templates(spark), 0.5).collect()}
+    split = lambda x: re.findall("[a-z]+|[0-9]+", x.lower())
+    seen = Counter(w for x in texts for w in set(split(x)))
+
+    def vector(x):
+        return {w: n * (math.log((len(texts) + 1) / (seen[w] + 1)) + 1) for w, n in Counter(split(x)).items()}
+
+    def cosine(a, b):
+        length = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+        return sum(x * b.get(w, 0) for w, x in a.items()) / length
+
+    wanted = {}
+    for key, text in enumerate(texts):
+        found = [(round(cosine(vector(line), vector(t)), 9), name) for line in text.split("\n") for name, t in licenses.TEMPLATES if split(line)]
+        if max(found)[0] >= 0.5:
+            wanted[key] = max(found)[::-1]
+    assert got.keys() == wanted.keys() and 0 in got
+    for key, (name, similarity) in wanted.items():
+        assert got[key][0] == name and got[key][1] == pytest.approx(similarity, abs=2e-9)

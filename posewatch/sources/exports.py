@@ -20,7 +20,9 @@ import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow.fs import FileSelector, FileSystem
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,19 +57,51 @@ class _Open:
         self.size += len(data)
 
 
+def _text(value: str) -> pa.Scalar:
+    return pa.scalar(value, pa.large_string())
+
+
+def _plain(column: pa.Array) -> pa.Array:
+    """Values as Python's ``str`` has them; nulls stay."""
+    if pa.types.is_string(column.type) or pa.types.is_integer(column.type):
+        return column.cast(pa.large_string())
+    if pa.types.is_boolean(column.type):
+        return pc.if_else(column, _text("True"), _text("False"))
+    return pa.array([None if x is None else str(x) for x in column.to_pylist()], pa.large_string())
+
+
+def _field(column: pa.Array) -> pa.Array:
+    """Values as fields that ``csv.writer`` writes: quoted where they must be, nulls empty."""
+    out = _plain(column).fill_null("")
+    if pa.types.is_integer(column.type) or pa.types.is_boolean(column.type):
+        return out
+    whole = out.buffers()[2]
+    whole = whole.to_pybytes() if whole is not None else b""
+    if not any(mark in whole for mark in b'",\r\n'):
+        return out
+    marked = pc.match_substring_regex(out, '[",\r\n]')
+    return pc.if_else(marked, pc.binary_join_element_wise(_text('"'), pc.replace_substring(out, '"', '""'), _text('"'), _text("")), out)
+
+
 class _Writer(DataSourceArrowWriter):
     """Rows come sorted by file: (run_id, file, then the fields)."""
 
     def __init__(self, options: dict, fields: list[str]):
         self.root, self.lines, self.fields = options["path"], options["kind"] == "lines", fields
 
-    def _text(self, batch: pa.RecordBatch, low: int, high: int) -> bytes:
-        columns = [batch.column(i).slice(low, high - low).to_pylist() for i in range(2, batch.num_columns)]
+    def _rows(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the rows, and where each begins."""
+        columns = batch.columns[2:]
         if self.lines:
-            return "".join(f"{x}\n" for x in columns[0]).encode()
-        out = io.StringIO(newline="")
-        csv.writer(out).writerows(zip(*columns, strict=True))
-        return out.getvalue().encode()
+            rows = pc.binary_join_element_wise(_plain(columns[0]).fill_null("None"), _text(""), _text("\n"))
+        else:
+            fields = [_field(x) for x in columns]
+            if len(fields) == 1:  # an empty line would be no row
+                fields = [pc.if_else(pc.equal(fields[0], _text("")), _text('""'), fields[0])]
+            rows = pc.binary_join_element_wise(pc.binary_join_element_wise(*fields, _text(",")), _text(""), _text("\r\n"))
+        rows = rows.cast(pa.large_binary())
+        data = rows.buffers()[2]
+        return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), np.frombuffer(rows.buffers()[1], np.int64)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         task = TaskContext.get()
@@ -83,20 +117,18 @@ class _Writer(DataSourceArrowWriter):
                 listed.append([name[0], name[1], current.size, current.digest.hexdigest()])
 
         for batch in iterator:
-            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            data, starts = self._rows(batch)
             low = 0
-            while low < len(names):
-                high = low
-                while high < len(names) and names[high] == names[low]:
-                    high += 1
-                if names[low] != name:
+            for high in np.union1d(*(pc.run_end_encode(batch.column(i)).run_ends.to_numpy() for i in range(2))).tolist():
+                found = (batch.column(0)[low].as_py(), batch.column(1)[low].as_py())
+                if found != name:
                     close()
-                    name, current = names[low], _Open(store, f"{base}/{names[low][0]}/{names[low][1]}")
+                    name, current = found, _Open(store, f"{base}/{found[0]}/{found[1]}")
                     if not self.lines:
                         out = io.StringIO(newline="")
                         csv.writer(out).writerow(self.fields)
                         current.write(out.getvalue().encode())
-                current.write(self._text(batch, low, high))
+                current.write(data[starts[low] : starts[high]].tobytes())
                 low = high
         close()
         out = io.StringIO(newline="")
@@ -147,7 +179,9 @@ class Export:
             part = F.floor((F.col("__number") - 1) / rows_per_file).cast("long")
             stem, dot, end = name.rpartition(".")
             file = F.when(part == 0, name).otherwise(F.concat(F.lit(f"{stem}-"), F.lpad(part.cast("string"), 5, "0"), F.lit(dot + end)))
-        placed = df.withColumn("__file", file).repartition("run_id", "__file").sortWithinPartitions("run_id", "__file", *order)
+        # A given number of tasks: few large files would be put together into fewer.
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        placed = df.withColumn("__file", file).repartition(tasks, "run_id", "__file").sortWithinPartitions("run_id", "__file", *order)
         out = placed.select(F.col("run_id").alias("__run"), F.col("__file").alias("file"), *fields)
         label = f"table-{len(self.tables)}"
         self.tables.append(label)

@@ -2,6 +2,7 @@
 
 import csv
 import hashlib
+import io
 import json
 import os
 from pathlib import Path
@@ -120,3 +121,27 @@ def test_manifest_roots(spark):
     assert found["old"] == {"schema_version is not 1"} and found["none"] == {"no poses"} and found["more"] == {"unknown field x"}
     assert "not an object" in found["list"] and "not an object" in found["broken"] and "good" not in found
     assert rows(entries.where("manifest = 'good'").select("pose_no", "value"), "pose_no") == [(0, '{"pose_id":"a"}'), (1, '{"pose_id":"b"}')]
+
+
+def test_fields_are_those_of_the_csv_module(spark, tmp_path):
+    texts = ["a,b", "a\rb", '"', "", None, " x ", "é\u2028", "'", "\n", ";", "None"]
+    numbers = [0.0, -0.0, 1e16, 1e-7, float("nan"), float("inf"), None, 0.1, 1 / 3, 2.0, -5e-324]
+    data = [(i, t, x, i % 3 == 0 if i else None, -i) for i, (t, x) in enumerate(zip(texts, numbers, strict=True))]
+    export = exports.Export(spark, str(tmp_path))
+    df = spark.createDataFrame([("r", *x) for x in data], "run_id string, i int, t string, x double, b boolean, n long")
+    for name, fields in (("all.csv", ["i", "t", "x", "b", "n"]), ("one.csv", ["t"])):
+        export.csv(df, name, fields, ["i"])
+        want = io.StringIO(newline="")
+        csv.writer(want).writerows([fields, *([[dict(zip("itxbn", x, strict=True))[f] for f in fields] for x in data])])
+        assert written(export, name)["r"].read_bytes() == want.getvalue().encode()
+
+
+def test_large_runs_have_a_task_each(spark, tmp_path):
+    """Runs of few bytes once compressed are not put together into one task."""
+    runs = [f"r{i}" for i in range(6)]
+    export = exports.Export(spark, str(tmp_path))
+    df = spark.range(6000).select(F.concat(F.lit("r"), F.col("id") % 6).alias("run_id"), "id")
+    export.csv(df, "ids.csv", ["id"], ["id"])
+    parts = {p.parent.parent.name for p in written(export, "ids.csv").values()}
+    want = df.select(F.pmod(F.hash("run_id", F.lit("ids.csv")), F.lit(8)).alias("p")).distinct().count()
+    assert set(written(export, "ids.csv")) == set(runs) and len(parts) == want > 1

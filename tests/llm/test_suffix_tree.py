@@ -3,12 +3,17 @@
 import collections
 import math
 import random
+import time
 import zlib
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from given import docs, odd  # noqa: F401  (fixtures)
+from pyspark.sql import functions as F
 
+from posewatch import session
 from posewatch.llm import suffix_tree as st
 
 
@@ -77,3 +82,35 @@ def test_rare_passages_are_learned_in_a_large_corpus(spark):
         got = st.score(df).where(f"doc_id = {new}").first()
         gains.append(got.score / got.n_tokens)
     assert min(gains) > -0.5 and abs(gains[0] - gains[1]) < 0.1
+
+
+def test_runs_are_linked_by_few_texts(spark):
+    """A passage in 600 texts tells what its runs are made of from the texts of one class, not from all."""
+    texts = [f"one passage that all have t{i}" for i in range(600)]
+    df = spark.createDataFrame([(x,) for x in texts], "text string").repartition(4)
+
+    def pairs(tok, begin):
+        at = np.flatnonzero(st.places(begin, len(tok)) > 0)
+        return at, st.run_keys(tok, at, 2)
+
+    listed = st.counted(df, "text", pairs, "run-counts", st.LEAST)
+    owners = st.bitmap(st.owned(listed))
+    tok, begin = st.tokens(pa.array(texts))
+    at, key = pairs(tok, begin)
+    runs = {r.key for r in listed.collect()}
+    mine = np.isin(key.view(np.int64), list(runs)) & owners.holds(st.marked(key, st.classes(tok, begin)[at]))
+    assert len(runs) == 4 and set(key[mine].view(np.int64)) == runs
+    assert mine.sum() < 4 * 600 / 20
+
+
+def test_shuffles_are_removed(spark):
+    """Shuffle files of a written table go with its query, not with the next collection of garbage."""
+    statuses = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    before = statuses.size()
+    with session.shuffles_removed(spark):
+        session.materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):
+        if statuses.size() <= before:
+            break
+        time.sleep(0.1)
+    assert statuses.size() <= before

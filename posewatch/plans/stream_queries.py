@@ -14,6 +14,8 @@ from posewatch.streaming import monitor
 
 
 PARTS = 4
+# Rows of an arriving file; the tasks that read a part are as many as its files allow.
+FILE_ROWS = 250_000
 
 
 def arriving(spark, sf, drained):
@@ -34,7 +36,7 @@ def arriving(spark, sf, drained):
         part = (F.col("event_id") >= low) & (F.col("event_id") < low + step)
         if k == 0:
             part = part | F.col("event_id").isNull()
-        events.filter(part).write.mode("append").parquet(path)
+        events.filter(part).write.option("maxRecordsPerFile", FILE_ROWS).mode("append").parquet(path)
         result = drained(monitor.parquet_stream(spark, path, events.schema))
     return result
 

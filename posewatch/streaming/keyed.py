@@ -5,6 +5,10 @@ replica rise, so its latest time stands for all samples seen; a run of failures
 numbers; the sequences of an event block that were exported are the borders of their
 intervals. State and output of a micro-batch are committed together, so a replayed batch
 starts from the state before it.
+
+A call per replica costs a millisecond whatever it does. Replicas are dealt into buckets, and
+a bucket is one call: its state is a list with an entry per replica, its rows come as the
+few Arrow tables that the tasks before the shuffle made of them.
 """
 
 from __future__ import annotations
@@ -14,15 +18,21 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ListState
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from posewatch.operators.score import REPLICA_KEY
 
 # Sequences of one run per state row; a run with very many events is many rows.
 BLOCK = 1 << 16
+# Buckets that keys are dealt into; a checkpoint holds its state by them.
+BUCKETS = 1 << 9
+# Rows that a task takes together before it parts them by bucket.
+CHUNK = 1 << 19
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -37,6 +47,90 @@ def _later(rows: pd.DataFrame, latest: float | None) -> pd.DataFrame:
     return rows.iloc[first if latest is None else first[time > latest]]
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= CHUNK:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _stream(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, rows) with the rows of a bucket and chunk as one Arrow stream."""
+    for table in _chunks(batches):
+        bucket = table["__bucket"].to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        lows = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        table = table.drop_columns("__bucket").take(pa.array(order)).combine_chunks()
+        parts = [_stream(table.slice(lo, hi - lo)) for lo, hi in zip(lows, np.r_[lows[1:], len(bucket)])]
+        yield pa.record_batch([pa.array(bucket[lows], pa.int32()), pa.array(parts, pa.binary())], ["bucket", "rows"])
+
+
+def _in_buckets(rows: DataFrame, keys: Sequence[str]):
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    return rows.withColumn("__bucket", bucket).mapInArrow(_by_bucket, "bucket int, rows binary").groupBy("bucket")
+
+
+def _table(batches: Iterator[pd.DataFrame]) -> pa.Table:
+    """The rows of one bucket in one micro-batch."""
+    return pa.concat_tables([pa.ipc.open_stream(part).read_all() for held in batches for part in held["rows"]])
+
+
+def _entries(state: ListState, schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*state.get())) or [()] * len(schema)
+    return pa.table([pa.array(c, kind) for c, kind in zip(columns, schema.types)], schema)
+
+
+def _keep(state: ListState, entries: pa.Table, old: np.ndarray, changed: np.ndarray) -> None:
+    """Write entries by their numbers; the list is written anew only if an old one changed."""
+    only_new = not np.isin(changed, old).any()
+    rows = entries.take(pa.array(changed)) if only_new else entries
+    rows = list(zip(*(c.to_pylist() for c in rows.columns)))
+    if only_new:
+        state.appendList(rows)
+    else:
+        state.put(rows)
+
+
+def _numbered(keys: pa.Table) -> tuple[np.ndarray, pa.Table]:
+    """A number for each row, from 0 for the key of each row of the second result."""
+    number = np.zeros(len(keys), np.int64)
+    for c in keys.columns:
+        # one dictionary for all chunks, with an entry for null
+        part = c.combine_chunks().dictionary_encode("encode")
+        number = number * len(part.dictionary) + part.indices.to_numpy()
+        _, first, number = np.unique(number, return_index=True, return_inverse=True)
+    return number, keys.take(pa.array(first))
+
+
+def _floats(column: pa.ChunkedArray, empty: float) -> np.ndarray:
+    return column.fill_null(empty).to_numpy()
+
+
+def _some(values: np.ndarray, there: np.ndarray) -> pa.Array:
+    return pa.array(values, pa.float64(), mask=~there)
+
+
+def _times_after(latest: np.ndarray, number: np.ndarray, time: np.ndarray) -> np.ndarray:
+    """Rows of each time above the latest one of their number, one a time, in order."""
+    at = np.lexsort((time, number))
+    at = at[time[at] > latest[number[at]]]
+    other = (number[at][1:] != number[at][:-1]) | (time[at][1:] != time[at][:-1])
+    return at[np.r_[True, other]] if len(at) else at
+
+
 class NewSamples(StatefulProcessor):
     """Samples later than all earlier ones of their replica."""
 
@@ -55,24 +149,40 @@ class NewSamples(StatefulProcessor):
 
 
 class ReplicaWatch(StatefulProcessor):
-    """Samples seen, latest time and largest RMSD of a replica."""
+    """Samples seen, latest time and largest RMSD of the replicas of a bucket.
+
+    Samples without a time are not counted; the RMSD is the largest of all rows, as samples of
+    one time may differ.
+    """
+
+    def __init__(self, entry: StructType):
+        self.entry = entry
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.watch = handle.getValueState("watch", "n long, time_ps double, rmsd_nm double")
+        self.watch = handle.getListState("watch", self.entry)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, latest, top = self.watch.get() or (0, None, None)
-        rows = _rows(rows)
-        time = np.unique(rows["time_ps"].to_numpy(float))
-        time = time if latest is None else time[time > latest]
-        if len(time):
-            n += len(time)
-            latest = float(time[-1])
-            # of all rows, as samples of one time may differ
-            here = float(rows["rmsd_nm"].max())
-            top = here if top is None else max(top, here)
-            self.watch.update((n, latest, top))
-        yield pd.DataFrame([[*key, n, latest, top]], columns=[*REPLICA_KEY, "samples_observed", "latest_time_ps", "maximum_rmsd_nm"])
+        rows = _table(rows)
+        kinds = [rows.schema.field(k) for k in REPLICA_KEY]
+        columns = [("samples_observed", pa.int64()), ("latest_time_ps", pa.float64()), ("maximum_rmsd_nm", pa.float64())]
+        before = _entries(self.watch, pa.schema([*kinds, *columns]))
+        number, keys = _numbered(pa.concat_tables([before.select(REPLICA_KEY), rows.select(REPLICA_KEY)]))
+        old, number = number[: len(before)], number[len(before) :]
+        n, latest, top, known = np.zeros(len(keys), np.int64), *np.full((2, len(keys)), -np.inf), np.zeros(len(keys), bool)
+        n[old] = before["samples_observed"].to_numpy()
+        latest[old] = _floats(before["latest_time_ps"], -np.inf)
+        time = _floats(rows["time_ps"], np.nan)
+        new = _times_after(latest, number, time)
+        n += np.bincount(number[new], minlength=len(keys))
+        np.maximum.at(latest, number[new], time[new])
+        for at, rmsd in ((old, before["maximum_rmsd_nm"]), (number, rows["rmsd_nm"])):
+            there = rmsd.is_valid().to_numpy()
+            known[at[there]] = True
+            np.maximum.at(top, at[there], _floats(rmsd, 0)[there])
+        now = pa.table([*keys.columns, pa.array(n), _some(latest, latest > -np.inf), _some(top, known)], before.schema)
+        here = np.unique(number)
+        _keep(self.watch, now, old, here)
+        yield now.take(pa.array(here)).to_pandas(types_mapper=pd.ArrowDtype)
 
     def close(self) -> None:
         pass
@@ -153,7 +263,8 @@ def replica_watch(samples: DataFrame) -> DataFrame:
         [*[samples.schema[k] for k in REPLICA_KEY], StructField("samples_observed", LongType()),
          StructField("latest_time_ps", DoubleType()), StructField("maximum_rmsd_nm", DoubleType())]
     )
-    return samples.groupBy(*REPLICA_KEY).transformWithStateInPandas(ReplicaWatch(), schema, "Update", "None")
+    rows = samples.select(*REPLICA_KEY, "time_ps", "rmsd_nm")
+    return _in_buckets(rows, REPLICA_KEY).transformWithStateInPandas(ReplicaWatch(schema), schema, "Update", "None")
 
 
 def failure_runs(snapshots: DataFrame, keys: Sequence[str], order: str, limit: int) -> DataFrame:

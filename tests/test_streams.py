@@ -193,3 +193,24 @@ def test_maximum_counts_samples_of_one_time(spark, tmp_path):
     log = monitor.run_changelog(monitor.replica_state(stream(spark, path, SAMPLE)))
     row = monitor.latest(log, REPLICA_KEY).first()
     assert (row.samples_observed, row.latest_time_ps, row.maximum_rmsd_nm) == (2, 1.0, 0.3)
+
+
+def test_replicas_are_watched_in_buckets(spark, tmp_path):
+    """Far fewer groups than replicas, and still one entry a replica, equal to batch."""
+    data = [("r", f"p{i % 2500}" if i % 2500 else None, f"r{i // 2500 % 2}", float(i // 5000), i % 97 / 100) for i in range(20_000)]
+    data[7] = (*data[7][:3], None, 5.0)
+    path = land(spark, tmp_path, SAMPLE, data[:12_000], data[11_000:], data[:2])
+    log = str(tmp_path / "state")
+    found = monitor.latest(monitor.run_changelog(monitor.replica_state(stream(spark, path, SAMPLE)), "update", log), REPLICA_KEY)
+    want = spark.createDataFrame(data, SAMPLE).groupBy(*REPLICA_KEY).agg(
+        F.count_distinct("time_ps"), F.max("time_ps"), F.max("rmsd_nm"), F.max("rmsd_nm") * 10
+    )
+    assert rows(found, *REPLICA_KEY) == rows(want, *REPLICA_KEY)
+    state = spark.read.format("statestore").option("stateVarName", "watch").load(f"{log}/_checkpoint")
+    assert state.count() == 5000 and state.select("key").distinct().count() <= 512
+
+
+def test_maximum_of_later_rows_of_one_time(spark, tmp_path):
+    path = land(spark, tmp_path, SAMPLE, [("r", "p", "a", 1.0, 0.1)], [("r", "p", "a", 1.0, 0.3)])
+    row = monitor.latest(monitor.run_changelog(monitor.replica_state(stream(spark, path, SAMPLE))), REPLICA_KEY).first()
+    assert (row.samples_observed, row.latest_time_ps, row.maximum_rmsd_nm) == (1, 1.0, 0.3)

@@ -41,12 +41,6 @@ def _rows(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
 
 
-def _later(rows: pd.DataFrame, latest: float | None) -> pd.DataFrame:
-    """One row per time above the latest one seen, in time order."""
-    time, first = np.unique(rows["time_ps"].to_numpy(float), return_index=True)
-    return rows.iloc[first if latest is None else first[time > latest]]
-
-
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     held, n = [], 0
     for batch in batches:
@@ -66,9 +60,11 @@ def _stream(table: pa.Table) -> bytes:
     return out.getvalue().to_pybytes()
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_bucket(batches: Iterator[pa.RecordBatch], once: bool) -> Iterator[pa.RecordBatch]:
     """(bucket, rows) with the rows of a bucket and chunk as one Arrow stream."""
     for table in _chunks(batches):
+        if once:
+            table = table.group_by(table.column_names, use_threads=False).aggregate([])
         bucket = table["__bucket"].to_numpy()
         order = np.argsort(bucket, kind="stable")
         bucket = bucket[order]
@@ -78,9 +74,14 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(bucket[lows], pa.int32()), pa.array(parts, pa.binary())], ["bucket", "rows"])
 
 
-def _in_buckets(rows: DataFrame, keys: Sequence[str]):
+def _in_buckets(rows: DataFrame, keys: Sequence[str], once: bool = False):
+    """Rows by bucket of their key; ``once``: equal rows that a task meets together stay one."""
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-    return rows.withColumn("__bucket", bucket).mapInArrow(_by_bucket, "bucket int, rows binary").groupBy("bucket")
+
+    def work(batches):
+        return _by_bucket(batches, once)
+
+    return rows.withColumn("__bucket", bucket).mapInArrow(work, "bucket int, rows binary").groupBy("bucket")
 
 
 def _table(batches: Iterator[pd.DataFrame]) -> pa.Table:
@@ -132,17 +133,34 @@ def _times_after(latest: np.ndarray, number: np.ndarray, time: np.ndarray) -> np
 
 
 class NewSamples(StatefulProcessor):
-    """Samples later than all earlier ones of their replica."""
+    """Samples later than all earlier ones of their replica, for the replicas of a bucket.
+
+    A sample without a time cannot be known again; it is kept once a batch.
+    """
+
+    def __init__(self, entry: StructType):
+        self.entry = entry
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "time_ps double")
+        self.latest = handle.getListState("latest", self.entry)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seen = self.latest.get()
-        new = _later(_rows(rows), seen[0] if seen else None)
+        rows = _table(rows)
+        kinds = [rows.schema.field(k) for k in REPLICA_KEY]
+        before = _entries(self.latest, pa.schema([*kinds, ("time_ps", pa.float64())]))
+        number, keys = _numbered(pa.concat_tables([before.select(REPLICA_KEY), rows.select(REPLICA_KEY)]))
+        old, number = number[: len(before)], number[len(before) :]
+        latest = np.full(len(keys), -np.inf)
+        latest[old] = _floats(before["time_ps"], -np.inf)
+        time = _floats(rows["time_ps"], np.nan)
+        new = _times_after(latest, number, time)
         if len(new):
-            self.latest.update((float(new["time_ps"].iloc[-1]),))
-            yield new
+            np.maximum.at(latest, number[new], time[new])
+            now = pa.table([*keys.columns, _some(latest, latest > -np.inf)], before.schema)
+            _keep(self.latest, now, old, np.unique(number[new]))
+            yield rows.take(pa.array(new)).to_pandas(types_mapper=pd.ArrowDtype)
+        if np.isnan(time).any():
+            yield rows.filter(pa.array(np.isnan(time))).to_pandas(types_mapper=pd.ArrowDtype).drop_duplicates()
 
     def close(self) -> None:
         pass
@@ -254,7 +272,9 @@ class FreshEvents(StatefulProcessor):
 
 def new_samples(samples: DataFrame) -> DataFrame:
     """Each simulation time of a replica once, for samples that arrive in time order."""
-    return samples.groupBy(*REPLICA_KEY).transformWithStateInPandas(NewSamples(), samples.schema, "Append", "None")
+    entry = StructType([*[samples.schema[k] for k in REPLICA_KEY], StructField("time_ps", DoubleType())])
+    rows = _in_buckets(samples, REPLICA_KEY, once=True)
+    return rows.transformWithStateInPandas(NewSamples(entry), samples.schema, "Append", "None")
 
 
 def replica_watch(samples: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Streams fed in several files must end where the batch operators end."""
 
 import random
+from datetime import datetime
 
 import pytest
 from conftest import rows
@@ -214,3 +215,21 @@ def test_maximum_of_later_rows_of_one_time(spark, tmp_path):
     path = land(spark, tmp_path, SAMPLE, [("r", "p", "a", 1.0, 0.1)], [("r", "p", "a", 1.0, 0.3)])
     row = monitor.latest(monitor.run_changelog(monitor.replica_state(stream(spark, path, SAMPLE))), REPLICA_KEY).first()
     assert (row.samples_observed, row.latest_time_ps, row.maximum_rmsd_nm) == (1, 1.0, 0.3)
+
+
+def test_new_samples_are_found_in_buckets(spark, tmp_path):
+    """Far fewer groups than replicas, one entry a replica, each time once, columns as they came."""
+    schema = SAMPLE + ", event_id long, seen timestamp"
+    data = [
+        ("r", f"p{i % 2500}" if i % 2500 else None, f"r{i // 2500 % 2}", float(i // 5000), i % 97 / 100, 2**60 + i if i % 3 else None, datetime(2024, 1, 1))
+        for i in range(20_000)
+    ]
+    untimed = ("r", "p1", "r0", None, 0.5, None, None)
+    folder, log = str(tmp_path / "landing"), str(tmp_path / "log")
+    for part in ([untimed, *data[:12_000], untimed], data[11_000:], data[:2]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(folder)
+        found = monitor.newer_samples(monitor.parquet_stream(spark, folder, spark.createDataFrame([], schema).schema), log)
+    order = ["event_id", "pose_id", "replica_id", "time_ps"]
+    assert rows(found.drop(monitor.BATCH), *order) == rows(spark.createDataFrame([untimed, *data], schema), *order)
+    state = spark.read.format("statestore").option("stateVarName", "latest").load(f"{log}/_checkpoint")
+    assert state.count() == 5000 and state.select("key").distinct().count() <= 512
